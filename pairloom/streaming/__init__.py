@@ -1,0 +1 @@
+"""Intentionally empty: none of the covered features is a stream."""
