@@ -3,7 +3,7 @@
 
 def all_checks():
     """Every registered query by name."""
-    from pairloom.plans import template_checks  # noqa: F401
+    from pairloom.plans import relational_checks, response_checks, template_checks  # noqa: F401
     from pairloom.plans.registry import CHECKS
 
     return CHECKS
