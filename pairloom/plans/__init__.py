@@ -3,7 +3,14 @@
 
 def all_checks():
     """Every registered query by name."""
-    from pairloom.plans import relational_checks, response_checks, template_checks  # noqa: F401
+    from pairloom.plans import (  # noqa: F401
+        label_checks,
+        prompt_checks,
+        relational_checks,
+        response_checks,
+        storage_checks,
+        template_checks,
+    )
     from pairloom.plans.registry import CHECKS
 
     return CHECKS
