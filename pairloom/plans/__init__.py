@@ -10,6 +10,7 @@ def all_checks():
         response_checks,
         storage_checks,
         template_checks,
+        workload_checks,
     )
     from pairloom.plans.registry import CHECKS
 

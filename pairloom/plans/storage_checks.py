@@ -49,9 +49,9 @@ def file_name(prefix: str, db_id: str):
 )
 def _(t):
     fields = ["dataset", "db_id", "question", "query"]
-    arrays = json_arrays(t.view("questions").withColumnRenamed("dataset", "d").withColumn("dataset", col("d")), ["d", "db_id"], ["dataset", "db_id", "question", "query"])
-    texts = arrays.select("text", "d", file_name("question_", "db_id").alias("file"))
-    folder = write_texts(texts, fresh_folder(t.spark, "questions"), "d", "file")
+    arrays = json_arrays(t.view("questions"), ["dataset", "db_id"], fields)
+    texts = arrays.select("text", "dataset", file_name("question_", "db_id").alias("file"))
+    folder = write_texts(texts, fresh_folder(t.spark, "questions"), "dataset", "file")
     return files.scan_questions(t.spark, folder).select(*fields, "ord")
 
 
