@@ -28,7 +28,8 @@ _KW = _any_of(KEYWORDS)
 _FN = _any_of(FUNCTIONS)
 # (?U): word boundaries follow Unicode whatever the Java version.
 _TABLE_NAME = rf"(?U)\b({'|'.join(TABLE_WORDS)})\s+{_KW}\b(?!\s*\()"
-_TOKENS = rf"(?U)(?<!\.)\b{_KW}\b|\b{_FN}(?=\s*\()|[(),*/+=\-<>]"
+# Signs come first and words are only looked up where one begins, which saves most attempts.
+_TOKENS = rf"(?U)[(),*/+=\-<>]|(?=[A-Z])\b(?:(?<!\.){_KW}\b|{_FN}(?=\s*\())"
 
 
 def strip_quoted(sql: Column) -> Column:

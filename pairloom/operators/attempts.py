@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions import json_text as J
 from pairloom.functions.vocabulary import ATTEMPTS_PER_PROMPT, ERROR_CLASSES, FAILURE_LIMIT
+from pairloom.operators.layout import spread_small
 from pairloom.operators.ordering import by_range, running_sum
 
 
@@ -32,7 +33,7 @@ def read_items(attempts: DataFrame, body: Column) -> DataFrame:
     The native parser reads nearly everything. Only what it turns down is handed
     to Python, where missing commas are put in and errors are told apart.
     """
-    first = attempts.withColumn("_body", body).withColumn("_items", J.json_items(F.col("_body")))
+    first = spread_small(attempts).withColumn("_body", body).withColumn("_items", J.json_items(F.col("_body")))
     again = J.reread_json(F.when(F.col("_items").isNull(), F.col("_body")))
     second = first.withColumn("_again", again).withColumn("_mended", J.json_items(F.col("_again.text")))
     return second.withColumns(
@@ -124,7 +125,7 @@ def as_mappings(items: DataFrame, fields, keep: list[str]) -> DataFrame:
 
 def number_mappings(items: DataFrame, keys: list[str], batch: str = "batch_no", pos: str = "pos", out: str = "ord") -> DataFrame:
     """Batches put one after the other: a running place per key, from 0."""
-    bucket = by_range(F.col(batch), 1 << 12)
+    bucket = by_range(F.col(batch), 12)
     numbered = running_sum(items, keys, bucket, [F.col(batch), F.col(pos)], F.lit(1), out)
     return numbered.withColumn(out, F.col(out) - 1)
 

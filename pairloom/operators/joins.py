@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.operators.layout import estimated_bytes
+
 SALTS = 64
 
 
@@ -13,11 +15,6 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(limit)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, which for filters and aggregates is an upper bound."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def lookup(
     rows: DataFrame,
     table: DataFrame,

@@ -8,16 +8,18 @@ one bucket are sorted together.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_ROWS = 1 << 16
+BUCKET_BITS = 16  # 65536 consecutive positions
 HASH_DIGITS = 3  # 4096 buckets per key for hash-ordered rows
 GROUP_LIMIT = 1000  # up to here Spark cuts each key to the limit before the shuffle
 
 
-def by_range(position: Column, rows: int = BUCKET_ROWS) -> Column:
-    """Buckets of consecutive positions."""
-    return F.floor(position / F.lit(rows)).cast("bigint")
+def by_range(position: Column, bits: int = BUCKET_BITS) -> Column:
+    """Buckets of 2^bits consecutive positions."""
+    return F.shiftright(position.cast("bigint"), bits)
 
 
 def running_sum(
@@ -58,8 +60,6 @@ def fixed_seed(seed: int) -> int:
 
     A random number per row would change when a lost task is run again.
     """
-    import time
-
     return seed if seed != 0 else time.time_ns()
 
 
@@ -102,4 +102,4 @@ def number_questions(
 
 def batch_number(pos: Column, size: int) -> Column:
     """Batches of ``size`` questions, from 0."""
-    return F.floor((pos - 1) / F.lit(size)).cast("bigint")
+    return F.call_function("div", pos - 1, F.lit(size)).cast("bigint")

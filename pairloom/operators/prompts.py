@@ -134,14 +134,3 @@ def with_target_samples(rows: DataFrame, samples: DataFrame, spread_by: list[str
         F.col("dataset").alias("target_dataset"), F.col("db_id").alias("target_db_id"), "samples_json"
     )
     return lookup(rows, table, ["target_dataset", "target_db_id"], spread_by)
-
-
-def rating_prompt(base: str, pairs_json: Column, ddl: Column) -> Column:
-    """What the judge reads; a database without schema shows as ``None``."""
-    return F.concat(
-        F.lit(base + "\n\n## Rate the following questions and sql:\n\n# Source schema\n\""),
-        F.coalesce(ddl, F.lit("None")),
-        F.lit('"\n\n\n# Input pairs\n'),
-        pairs_json,
-        F.lit("\n\n# Output:\n\n"),
-    )

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.json_text import rating_part, rating_value
 from pairloom.operators.joins import lookup
+from pairloom.operators.ordering import by_range
 
 FILE = ["target_db_id", "source_db_id"]
+PART_BITS = 10
 RATED = ("meaningful_nl_question", "correct_target_nl_sql_mapping", "nl_thought", "sql_thought")
 
 
@@ -18,6 +20,29 @@ def select_pairs(rows: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.filter(named)
 
 
+def rating_parts(pairs: DataFrame, keys: list[str] | None = None, bits: int = PART_BITS) -> DataFrame:
+    """One row per judge prompt: the pairs of a file in order, as a JSON array.
+
+    A file makes one prompt. Only a file with more than 2^bits rows makes several,
+    one per stretch of positions, so that no task has to hold a whole huge file.
+    """
+    keys = keys or FILE
+    pair = F.struct("ord", F.col("target_question").alias("nl_question"), F.col("target_query").alias("sql_query"))
+    plain = F.transform(
+        F.array_sort(F.collect_list(pair)),
+        lambda p: F.struct(p["nl_question"].alias("nl_question"), p["sql_query"].alias("sql_query")),
+    )
+    return (
+        pairs.withColumn("part", by_range(F.col("ord"), bits))
+        .groupBy(*keys, "part")
+        .agg(
+            F.to_json(plain, {"ignoreNullFields": "false"}).alias("pairs_json"),
+            F.count(F.lit(1)).alias("n_sent"),
+            F.min("ord").alias("first_ord"),
+        )
+    )
+
+
 def read_ratings(items: DataFrame, keep: list[str]) -> DataFrame:
     """The four labels out of one rating element each (column ``item``)."""
     nl = rating_part(F.col("item"), "clarity_and_alignment_of_NL", "clarity")
@@ -59,3 +84,14 @@ def zip_ratings(pairs: DataFrame, ratings: DataFrame, file: list[str] | None = N
 def label_rated(zipped: DataFrame) -> DataFrame:
     """Only generated pairs are labelled; the others leave here."""
     return zipped.filter(F.col("is_generated") == "True")
+
+
+def rating_prompt(base: str, pairs_json: Column, ddl: Column) -> Column:
+    """What the judge reads; a database without schema shows as ``None``."""
+    return F.concat(
+        F.lit(base + "\n\n## Rate the following questions and sql:\n\n# Source schema\n\""),
+        F.coalesce(ddl, F.lit("None")),
+        F.lit('"\n\n\n# Input pairs\n'),
+        pairs_json,
+        F.lit("\n\n# Output:\n\n"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.templates import as_flag, is_generated, sql_template
+from pairloom.operators.layout import spread_small
 
 
 def label_generated(pairs: DataFrame, strict_null: bool = False) -> DataFrame:
@@ -15,11 +16,12 @@ def label_generated(pairs: DataFrame, strict_null: bool = False) -> DataFrame:
 def label_templates(pairs: DataFrame, strict_null: bool = False) -> DataFrame:
     """Add ``is_generated, same_template, source_query_template, target_query_template``.
 
-    A narrow step: no shuffle, and pairs that were not generated skip the regexes.
+    A narrow step: only a small table is spread over the cores first, and pairs that
+    were not generated skip the regexes.
     """
     made = F.col("is_generated") == "True"
     return (
-        label_generated(pairs, strict_null)
+        label_generated(spread_small(pairs), strict_null)
         .withColumns(
             {
                 f"{side}_query_template": F.when(made, sql_template(F.col(f"{side}_query"))).otherwise("null")

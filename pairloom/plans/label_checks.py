@@ -204,6 +204,32 @@ def _(t):
     return found.select(col("n_nationkey").alias("pair_no"), F.coalesce("schema_ddl", F.lit("None")).alias("ddl"))
 
 
+def _json_text(x: str) -> str:
+    quoted = f"replace({x}, chr(34), chr(92) || chr(34))"
+    return f"coalesce(chr(34) || {quoted} || chr(34), 'null')"
+
+
+@check(
+    "build_rating_prompt",
+    f"""SELECT p.target_db_id, p.source_db_id, p.part, 'base' || chr(10) || chr(10) || '## Rate the following questions and sql:' || chr(10) || chr(10)
+      || '# Source schema' || chr(10) || '"' || coalesce(s.schema_ddl, 'None') || '"' || chr(10) || chr(10) || chr(10) || '# Input pairs' || chr(10) || pairs_json
+      || chr(10) || chr(10) || '# Output:' || chr(10) || chr(10) AS prompt
+    FROM (SELECT target_db_id, source_db_id, ord // 1024 AS part,
+        '[' || string_agg('{{"nl_question":' || {_json_text('target_question')} || ',"sql_query":' || {_json_text('target_query')} || '}}', ',' ORDER BY ord) || ']' AS pairs_json
+      FROM pairs GROUP BY ALL) p
+    LEFT JOIN (SELECT * FROM schemas WHERE dataset <> 'P') s ON s.dataset = p.target_db_id AND s.db_id = p.source_db_id""",
+    "pairs",
+    "schemas",
+)
+def _(t):
+    ddl = t.view("schemas").filter(col("dataset") != "P").select(
+        col("dataset").alias("target_db_id"), col("db_id").alias("source_db_id"), "schema_ddl"
+    )
+    parts = lookup(R.rating_parts(t.view("pairs")), ddl, R.FILE, ["part"], how="left")
+    prompt = R.rating_prompt("base", col("pairs_json"), col("schema_ddl")).alias("prompt")
+    return parts.select(*R.FILE, "part", prompt)
+
+
 @check(
     "select_pairs",
     "SELECT o_orderkey AS ord, o_custkey % 3 AS kind FROM orders WHERE o_custkey % 3 <> 1",

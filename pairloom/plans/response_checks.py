@@ -198,7 +198,7 @@ def _(t):
     "responses",
 )
 def _(t):
-    run = A.stop_after_failures(used(t), ["prompt_id", "attempt"], by_range(F.col("prompt_id"), 1 << 4), limit=10)
+    run = A.stop_after_failures(used(t), ["prompt_id", "attempt"], by_range(F.col("prompt_id"), 4), limit=10)
     return run.select("prompt_id", "attempt", "error_class", "failures")
 
 

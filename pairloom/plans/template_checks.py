@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import templates as T
 from pairloom.functions.vocabulary import FUNCTIONS, KEYWORDS
+from pairloom.operators.layout import spread_small
 from pairloom.operators.rollups import at_level, template_summary
 from pairloom.operators.template_labels import label_generated, label_templates, not_generated
 from pairloom.plans.registry import check
@@ -122,7 +123,7 @@ def _(t):
 
 
 def _both_sides(function):
-    return lambda t: t.view("pairs").select(
+    return lambda t: spread_small(t.view("pairs")).select(
         "ord", function(F.col("source_query")).alias("source_text"), function(F.col("target_query")).alias("target_text")
     )
 
