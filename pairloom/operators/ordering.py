@@ -27,7 +27,8 @@ def running_sum(
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to and including each row, per key.
 
-    ``bucket`` must not decrease along ``order``. The sum of all earlier buckets
+    ``bucket`` (a number, or a struct of several columns) must not decrease along
+    ``order``. The sum of all earlier buckets
     enters its bucket as one extra row in front, so rows need no join and null keys
     count like any other. Without keys, one task handles one row per bucket only.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.json_text import rating_part, rating_value
 from pairloom.operators.joins import lookup
@@ -43,6 +43,15 @@ def rating_parts(pairs: DataFrame, keys: list[str] | None = None, bits: int = PA
     )
 
 
+def place_in_part(pairs: DataFrame, keys: list[str] | None = None, bits: int = PART_BITS) -> DataFrame:
+    """Add ``part`` and ``pos``, where each pair stands in the prompt that holds it."""
+    keys = keys or FILE
+    stretch = Window.partitionBy(*keys, "part").orderBy("ord")
+    return pairs.withColumn("part", by_range(F.col("ord"), bits)).withColumn(
+        "pos", F.row_number().over(stretch) - 1
+    )
+
+
 def read_ratings(items: DataFrame, keep: list[str]) -> DataFrame:
     """The four labels out of one rating element each (column ``item``)."""
     nl = rating_part(F.col("item"), "clarity_and_alignment_of_NL", "clarity")

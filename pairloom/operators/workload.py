@@ -43,6 +43,17 @@ def catalog_per_target(spark: SparkSession, tables: Mapping[str, Mapping[str, st
     return sessions
 
 
+def tables_below(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
+    """Tables laid out as ``<root>/<target>/<table>.parquet``, per target."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*.parquet")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    tables: dict[str, dict[str, str]] = {}
+    for status in found or []:
+        path = status.getPath()
+        tables.setdefault(path.getParent().getName(), {})[path.getName().removesuffix(".parquet")] = path.toString()
+    return tables
+
+
 def only_rows(sql: str) -> str:
     """The query with its fetch limit. In brackets it can only read: commands do not parse."""
     return f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {PREVIEW_ROWS + 1}"
