@@ -54,9 +54,15 @@ def tables_below(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
     return tables
 
 
-def only_rows(sql: str) -> str:
-    """The query with its fetch limit. In brackets it can only read: commands do not parse."""
-    return f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {PREVIEW_ROWS + 1}"
+def first_rows(session: SparkSession, sql: str) -> DataFrame:
+    """The query's result up to the fetch limit, without running anything yet.
+
+    ``sql()`` carries out commands at once, so the text is first analysed between
+    brackets, where nothing but a query parses.
+    """
+    query = sql.strip().rstrip(";")
+    session.sql(f"SELECT * FROM (\n{query}\n)")
+    return session.sql(query).limit(PREVIEW_ROWS + 1)
 
 
 def _cancel_when_late(context, tag: str, done: threading.Event, late: threading.Event, seconds: float) -> None:
@@ -78,7 +84,7 @@ def run_statement(session: SparkSession, target: str, sql: str, seconds: float =
     context.addJobTag(tag)
     watcher.start()
     try:
-        rows = session.sql(only_rows(sql)).collect()
+        rows = first_rows(session, sql).collect()
     except Exception as problem:  # whatever stops a query becomes its label
         if late.is_set():
             return target, sql, "timeout", 0, f"Timeout in {target}: {seconds} seconds", None
