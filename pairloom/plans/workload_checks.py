@@ -24,7 +24,7 @@ SELECT o_orderkey AS ord, o_orderstatus AS target_db_id, o_orderpriority AS sour
     WHEN 3 THEN 'SELECT * FROM orders ORDER BY o_orderkey;'
     WHEN 4 THEN 'SELECT count(*) FROM lineitem WHERE l_quantity > 5'
     WHEN 5 THEN 'SELECT nothing FROM nation'
-    WHEN 6 THEN 'SELECT n_name FROM nation WHERE'
+    WHEN 6 THEN 'SELECT count( FROM nation'
     WHEN 7 THEN 'DROP TABLE nation'
     ELSE 'SELECT c_name FROM customer WHERE c_nationkey = ' || CAST(o_custkey % 5 AS STRING) END AS target_query
 FROM {orders}"""
