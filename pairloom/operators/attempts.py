@@ -130,14 +130,26 @@ def number_mappings(items: DataFrame, keys: list[str], batch: str = "batch_no",
     return numbered.withColumn(out, F.col(out) - 1)
 
 
-def stop_after_failures(
-    used: DataFrame, order: list[str], bucket: Column, limit: int = FAILURE_LIMIT
-) -> DataFrame:
-    """The run up to and including the attempt whose exception reaches the limit."""
-    failed = (F.col("error_class") == "unexpected").cast("bigint")
-    failed = F.coalesce(failed, F.lit(0))
-    counted = running_sum(used, [], bucket, [F.col(name) for name in order], failed, "failures")
-    return counted.filter(F.col("failures") - failed < limit)
+def is_exception(error_class: Column) -> Column:
+    return F.coalesce(error_class == "unexpected", F.lit(False))
+
+
+def count_failures(used: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+    """Add ``failures``: exceptions in the whole run up to and including each attempt."""
+    failed = is_exception(F.col("error_class")).cast("bigint")
+    return running_sum(used, [], bucket, [F.col(name) for name in order], failed, "failures")
+
+
+def stop_after_failures(used: DataFrame, order: list[str], limit: int = FAILURE_LIMIT) -> DataFrame:
+    """The run up to and including the attempt whose exception reaches the limit.
+
+    That attempt is the last of the first ``limit`` exceptions, a top-k of keys only.
+    The attempts themselves are filtered where they lie.
+    """
+    at = F.struct(*order)
+    first = used.filter(is_exception(F.col("error_class"))).select(at.alias("at")).orderBy("at").limit(limit)
+    stop = first.agg(F.when(F.count(F.lit(1)) == limit, F.max("at"))).scalar()
+    return used.filter(F.coalesce(at <= stop, F.lit(True)))
 
 
 STATS = (

@@ -12,8 +12,11 @@ import time
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairloom.operators.layout import estimated_bytes
+
 BUCKET_BITS = 16  # 65536 consecutive positions
-HASH_DIGITS = 3  # 4096 buckets per key for hash-ordered rows
+HASH_DIGITS = 3  # 4096 buckets per key for hash-ordered rows,
+HUGE_INPUT = 1 << 40  # and 16 times as many from this input size on
 GROUP_LIMIT = 1000  # up to here Spark cuts each key to the limit before the shuffle
 
 
@@ -93,7 +96,8 @@ def number_questions(
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         numbered = rows.withColumn("pos", number.cast("bigint")).filter(F.col("pos") <= largest_limit)
     else:
-        hashed = F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("bigint")
+        digits = HASH_DIGITS if estimated_bytes(questions) < HUGE_INPUT else HASH_DIGITS + 1
+        hashed = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("bigint")
         bucket = F.coalesce(hashed, by_range(place))
         numbered = running_number(rows, keys, bucket, order, "pos")
         if largest_limit >= 0:

@@ -26,7 +26,6 @@ from pairloom.operators import attempts as A
 from pairloom.operators import prompts as P
 from pairloom.operators import ratings as R
 from pairloom.operators.joins import lookup
-from pairloom.operators.ordering import by_range
 from pairloom.operators.rollups import execution_summary, semantic_summary, template_summary
 from pairloom.operators.template_labels import label_templates, not_generated
 from pairloom.operators.workload import label_workload, run_workload
@@ -126,19 +125,12 @@ def mappings_stage(
     answers = responses.filter(F.col("attempt") < tries).join(asked, PROMPT)
     read = A.classify(answers, fields, checks.get("fields_checking", True), checks.get("db_id_matching", True))
     used = A.used_attempts(read, PROMPT, tries)
-    run = A.stop_after_failures(
-        used,
-        [*PROMPT, "attempt"],
-        F.struct("pipeline_no", "source_db_id", by_range(F.col("batch_no"), 12)),
-        options.get("max_fail_limit", FAILURE_LIMIT),
-    )
-    # written once and read by the four outputs below
-    run.withColumn("items", F.transform("items", lambda item: F.to_json(item))).write.mode("overwrite").parquet(
-        f"{work}/attempts/run_ts={run_ts}"
-    )
-    used = _run(spark, f"{work}/attempts", run_ts).withColumn(
-        "items", F.transform("items", lambda text: F.parse_json(text))
-    )
+    # written once, read by everything below: answers are validated a single time
+    as_text = F.transform("items", lambda item: F.to_json(item))
+    used.withColumn("items", as_text).write.mode("overwrite").parquet(f"{work}/attempts/run_ts={run_ts}")
+    stored = _run(spark, f"{work}/attempts", run_ts)
+    run = A.stop_after_failures(stored, [*PROMPT, "attempt"], options.get("max_fail_limit", FAILURE_LIMIT))
+    used = run.withColumn("items", F.transform("items", lambda text: F.parse_json(text)))
     keep = ["pipeline_no", "target_dataset", "target_db_id", "source_db_id", "batch_no"]
     items = A.explode_items(A.accepted(used), keep)
     numbered = A.number_mappings(items, ["pipeline_no", "target_dataset", "target_db_id", "source_db_id"])

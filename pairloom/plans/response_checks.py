@@ -191,15 +191,23 @@ def _(t):
     return A.exception_stats(used(t), ["source_db_id"])
 
 
+_COUNTED = f"""SELECT *, CAST(sum(CAST(error IS NOT NULL AS INT)) OVER (ORDER BY prompt_id, attempt) AS BIGINT) AS failures FROM ({_USED})"""
+
+
+@check("failure_count", f"SELECT prompt_id, attempt, failures FROM ({_COUNTED})", "responses")
+def _(t):
+    counted = A.count_failures(used(t), ["prompt_id", "attempt"], by_range(F.col("prompt_id"), 4))
+    return counted.select("prompt_id", "attempt", "failures")
+
+
 @check(
     "failure_cutoff",
-    "SELECT prompt_id, attempt, error_class, failures FROM (SELECT *, CAST(sum(CAST(error IS NOT NULL AS INT)) OVER (ORDER BY prompt_id, attempt) AS BIGINT) AS failures "
-    f"FROM ({_USED})) WHERE failures - CAST(error IS NOT NULL AS INT) < 10",
+    f"SELECT prompt_id, attempt, error_class FROM ({_COUNTED}) WHERE failures - CAST(error IS NOT NULL AS INT) < 10",
     "responses",
 )
 def _(t):
-    run = A.stop_after_failures(used(t), ["prompt_id", "attempt"], by_range(F.col("prompt_id"), 4), limit=10)
-    return run.select("prompt_id", "attempt", "error_class", "failures")
+    run = A.stop_after_failures(used(t), ["prompt_id", "attempt"], limit=10)
+    return run.select("prompt_id", "attempt", "error_class")
 
 
 @check(

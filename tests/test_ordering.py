@@ -125,7 +125,7 @@ def test_used_attempts(spark):
 @pytest.mark.parametrize("limit", [1, 4, 1000])
 def test_failure_limit(spark, limit):
     rows = [(p, a, False, "unexpected" if (p * 3 + a) % 5 == 0 else "json_decode") for p in range(200) for a in range(3)]
-    got = A.stop_after_failures(attempts(spark, rows).repartition(4), ["p", "attempt"], O.by_range(F.col("p"), 2), limit)
+    got = A.stop_after_failures(attempts(spark, rows).repartition(4), ["p", "attempt"], limit)
     expected, failures = [], 0
     for p, a, _, e in rows:
         failures += e == "unexpected"
