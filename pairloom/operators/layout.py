@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 SMALL_INPUT = 256 * 1024 * 1024
 
@@ -20,4 +20,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     if estimated_bytes(df) > SMALL_INPUT:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # by value rather than round robin, which would first sort all rows to be repeatable
+    plain = [field.name for field in df.schema if isinstance(field.dataType, T.AtomicType)]
+    return df.repartition(cores, *plain)
