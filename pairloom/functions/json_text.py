@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
+from pairloom.functions.vocabulary import NOT_AVAILABLE
+
 # Send the helper below to the executors as code, so that they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,4 +136,4 @@ def rating_part(item: Column, key: str, prefix: str) -> Column:
 
 def rating_value(part: Column, key: str) -> Column:
     """A missing answer reads ``N/A``."""
-    return F.coalesce(F.try_variant_get(part, f"$.{key}", "string"), F.lit("N/A"))
+    return F.coalesce(F.try_variant_get(part, f"$.{key}", "string"), F.lit(NOT_AVAILABLE))

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pairloom.functions.vocabulary import FUNCTIONS, KEYWORDS, NULL_SELECT, TABLE_WORDS, UNTRANSLATED
+from pairloom.functions.vocabulary import (
+    EQUALISED,
+    FUNCTIONS,
+    KEPT_SIGNS,
+    KEYWORDS,
+    NULL_SELECT,
+    QUOTED,
+    TABLE_WORDS,
+    UNTRANSLATED,
+)
 
 
 def _any_of(words) -> str:
@@ -29,12 +38,12 @@ _FN = _any_of(FUNCTIONS)
 # (?U): word boundaries follow Unicode whatever the Java version.
 _TABLE_NAME = rf"(?U)\b({'|'.join(TABLE_WORDS)})\s+{_KW}\b(?!\s*\()"
 # Signs come first and words are only looked up where one begins, which saves most attempts.
-_TOKENS = rf"(?U)[(),*/+=\-<>]|(?=[A-Z])\b(?:(?<!\.){_KW}\b|{_FN}(?=\s*\())"
+_TOKENS = rf"(?U){KEPT_SIGNS}|(?=[A-Z])\b(?:(?<!\.){_KW}\b|{_FN}(?=\s*\())"
 
 
 def strip_quoted(sql: Column) -> Column:
     """Drop quoted parts, one kind of quote after the other (the order matters)."""
-    for quoted in (r"'[^']*'", r'"[^"]*"', r"`[^`]*`", r"\[[^\]]*\]"):
+    for quoted in QUOTED:
         sql = F.regexp_replace(sql, quoted, "")
     return sql
 
@@ -45,7 +54,7 @@ def upper_sql(sql: Column) -> Column:
 
 def normalise_ops(sql: Column) -> Column:
     """Every comparison and arithmetic sign but ``*`` becomes ``=``."""
-    return F.regexp_replace(sql, r">=|<=|[:/+\-<>]", "=")
+    return F.regexp_replace(sql, EQUALISED, "=")
 
 
 def drop_reserved_table(sql: Column) -> Column:

@@ -40,6 +40,13 @@ FUNCTIONS = tuple(
 # Words after which a reserved word is taken to be a table name.
 TABLE_WORDS = ("FROM", "JOIN", "INTO", "UPDATE", "TABLE")
 
+# What counts as quoted, taken out in this order.
+QUOTED = (r"'[^']*'", r'"[^"]*"', r"`[^`]*`", r"\[[^\]]*\]")
+
+# Signs that all become "=", and the signs a template keeps.
+EQUALISED = r">=|<=|[:/+\-<>]"
+KEPT_SIGNS = r"[(),*/+=\-<>]"
+
 # How a model says that it gave up.
 UNTRANSLATED = "Unable to translate this query"
 NULL_SELECT = "select null"
@@ -61,6 +68,57 @@ ERROR_CLASSES = (
     "max_token", "invalid_escape", "json_decode", "unexpected",
 )
 
+# The text of a prompt. The places hold, in order: base text, source id, source DDL,
+# target id, target DDL, sample rows, questions.
+PROMPT_FORMAT = """%s
+
+## Generate the query for the following query:
+
+# Source schema
+{
+    "db_id": "%s",
+    "schema": "%s"
+}
+
+# Target schema
+{
+    "db_id": "%s",
+    "schema": "%s"
+}
+
+# Target sample data
+%s
+
+# Source query:
+%s
+
+#Output:
+
+"""
+
+# The text of a judge prompt: base text, target DDL, pairs.
+RATING_FORMAT = """%s
+
+## Rate the following questions and sql:
+
+# Source schema
+"%s"
+
+
+# Input pairs
+%s
+
+# Output:
+
+"""
+NO_SCHEMA = "None"
+
+# Labels.
+NOT_AVAILABLE = "N/A"
+NULL_QUERY = "Null_Query"
+BAD_SCHEMA_FILE = "schemas.json files are not valid JSON"
+EMPTY_SCHEMA_FILE = "schemas.json files are empty"
+
 # Default limits.
 QUESTIONS_PER_PROMPT = 10
 ATTEMPTS_PER_PROMPT = 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.functions.vocabulary import PREVIEW_ROWS
+from pairloom.functions.vocabulary import NULL_QUERY, PREVIEW_ROWS
 
 
 def is_null_query(sql: Column) -> Column:
@@ -15,7 +15,7 @@ def is_null_query(sql: Column) -> Column:
 def result_status(sql: Column, outcome: Column, fetched: Column) -> Column:
     """``outcome`` is ok, error or timeout; ``fetched`` counts at most one row over the preview."""
     return (
-        F.when(is_null_query(sql), "Null_Query")
+        F.when(is_null_query(sql), NULL_QUERY)
         .when(outcome == "timeout", "Error (Timeout)")
         .when(outcome == "error", "Error")
         .when(fetched == 0, "Empty")

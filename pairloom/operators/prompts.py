@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.functions.vocabulary import GUIDED_FIELDS, QUESTIONS_PER_PROMPT, ZEROSHOT_FIELDS
+from pairloom.functions.vocabulary import GUIDED_FIELDS, PROMPT_FORMAT, QUESTIONS_PER_PROMPT, ZEROSHOT_FIELDS
 from pairloom.operators.joins import lookup
 from pairloom.operators.ordering import batch_number, number_questions
 
@@ -96,22 +96,10 @@ def batch_questions(numbered: DataFrame, keys: list[str], size: int = QUESTIONS_
     )
 
 
-def db_block(heading: str, db_id: Column, ddl: Column) -> Column:
-    return F.concat(F.lit(f'# {heading} schema\n{{\n    "db_id": "'), db_id, F.lit('",\n    "schema": "'), ddl, F.lit('"\n}\n\n'))
-
-
 def prompt_text(base: str) -> Column:
     """The whole prompt, from ``source_*``, ``target_*``, ``samples_json`` and ``questions_json``."""
-    return F.concat(
-        F.lit(base + "\n\n## Generate the query for the following query:\n\n"),
-        db_block("Source", F.col("source_db_id"), F.col("source_ddl")),
-        db_block("Target", F.col("target_db_id"), F.col("target_ddl")),
-        F.lit("# Target sample data\n"),
-        F.col("samples_json"),
-        F.lit("\n\n# Source query:\n"),
-        F.col("questions_json"),
-        F.lit("\n\n#Output:\n\n"),
-    )
+    parts = ("source_db_id", "source_ddl", "target_db_id", "target_ddl", "samples_json", "questions_json")
+    return F.format_string(PROMPT_FORMAT, F.lit(base), *parts)
 
 
 def with_source_schema(rows: DataFrame, schemas: DataFrame, spread_by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.json_text import rating_part, rating_value
+from pairloom.functions.vocabulary import NO_SCHEMA, RATING_FORMAT
 from pairloom.operators.joins import lookup
 from pairloom.operators.ordering import by_range
 
@@ -97,10 +98,4 @@ def label_rated(zipped: DataFrame) -> DataFrame:
 
 def rating_prompt(base: str, pairs_json: Column, ddl: Column) -> Column:
     """What the judge reads; a database without schema shows as ``None``."""
-    return F.concat(
-        F.lit(base + "\n\n## Rate the following questions and sql:\n\n# Source schema\n\""),
-        F.coalesce(ddl, F.lit("None")),
-        F.lit('"\n\n\n# Input pairs\n'),
-        pairs_json,
-        F.lit("\n\n# Output:\n\n"),
-    )
+    return F.format_string(RATING_FORMAT, F.lit(base), F.coalesce(ddl, F.lit(NO_SCHEMA)), pairs_json)

@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import CapturedException
 
-from pairloom.functions.vocabulary import PREVIEW_ROWS, QUERY_SECONDS
+from pairloom.functions.vocabulary import NULL_QUERY, PREVIEW_ROWS, QUERY_SECONDS
 from pairloom.operators.execution_labels import is_null_query, label_executions
 from pairloom.operators.joins import lookup
 
@@ -140,5 +140,5 @@ def label_workload(pairs: DataFrame, outcomes: DataFrame, unique: list[str]) ->
     found = lookup(pairs, outcomes, STATEMENT, unique, how="left")
     nothing = is_null_query(F.col("target_query"))
     return label_executions(found).withColumn(
-        "execution_result", F.when(nothing, "Null_Query").otherwise(F.col("execution_result"))
+        "execution_result", F.when(nothing, NULL_QUERY).otherwise(F.col("execution_result"))
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions import json_text as J
-from pairloom.functions.vocabulary import GUIDED_FIELDS
+from pairloom.functions.vocabulary import BAD_SCHEMA_FILE, EMPTY_SCHEMA_FILE, GUIDED_FIELDS
 
 
 def path_key(path: Column, prefix: str, to_first_dot: bool = False) -> Column:
@@ -88,8 +88,8 @@ def scan_schemas(spark: SparkSession, *files: str) -> DataFrame:
 def schema_problems(spark: SparkSession, *files: str) -> DataFrame:
     """Schema files that cannot be used, and why."""
     empty = F.coalesce(F.try_variant_get("value", "$", "string") == "", F.lit(False))
-    reason = F.when(F.col("value").isNull(), "schemas.json files are not valid JSON").when(
-        empty, "schemas.json files are empty"
+    reason = F.when(F.col("value").isNull(), BAD_SCHEMA_FILE).when(
+        empty, EMPTY_SCHEMA_FILE
     )
     return readable(read_whole(spark, *files)).select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 

@@ -48,7 +48,7 @@ def test_schemas(spark, tmp_path):
 
 def test_mappings(spark, tmp_path):
     put(tmp_path / "m/dev/model-1/tgt/response_src_1.json", [{"target_query": "q0", "source_db_id": "ignored"}, {"target_query": None}])
-    put(tmp_path / "m/dev/model-1/tgt/llm_responses/response_src_1_llm.json", [{"target_query": "no"}])
+    put(tmp_path / "m/dev/model-1/tgt/raw/response_src_1_llm.json", [{"target_query": "no"}])
     rows = files.scan_mappings(spark, f"{tmp_path}/m").orderBy("ord").collect()
     assert [(r.target_dataset, r.model, r.target_db_id, r.source_db_id, r.ord, r.target_query) for r in rows] == [
         ("dev", "model-1", "tgt", "src_1", 0, "q0"), ("dev", "model-1", "tgt", "src_1", 1, None)]
