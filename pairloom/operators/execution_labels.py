@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.vocabulary import NULL_QUERY, PREVIEW_ROWS
+from pairloom.operators.ordering import first_rows_per_key
 
 
 def is_null_query(sql: Column) -> Column:
@@ -31,12 +32,8 @@ def label_executions(rows: DataFrame) -> DataFrame:
 
 
 def fetch_cap(results: DataFrame, query: list[str], order: list[str]) -> DataFrame:
-    """The first rows of every query's result, one more than the preview keeps.
-
-    Spark cuts each query to the cap inside every task before the shuffle.
-    """
-    place = F.row_number().over(Window.partitionBy(*query).orderBy(*order))
-    return results.withColumn("row_no", place).filter(F.col("row_no") <= PREVIEW_ROWS + 1)
+    """The first rows of every query's result, one more than the preview keeps."""
+    return first_rows_per_key(results, query, [F.col(name) for name in order], PREVIEW_ROWS + 1, "row_no", order)
 
 
 def preview_rows(capped: DataFrame, query: list[str], row: Column) -> DataFrame:

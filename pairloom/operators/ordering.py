@@ -17,6 +17,9 @@ from pairloom.operators.layout import estimated_bytes
 BUCKET_BITS = 16  # 65536 consecutive positions
 HASH_DIGITS = 3  # 4096 buckets per key for hash-ordered rows,
 HUGE_INPUT = 1 << 40  # and 16 times as many from this input size on
+SPLIT_BYTES = 128 * 1024 * 1024  # one scan task
+GATHERED_ROWS = 1_000_000  # of one key in one task
+SALTS = 64
 GROUP_LIMIT = 1000  # up to here Spark cuts each key to the limit before the shuffle
 
 
@@ -59,6 +62,30 @@ def running_number(df: DataFrame, keys: list[str], bucket: Column, order: list[C
     return running_sum(df, keys, bucket, order, F.lit(1), out)
 
 
+def first_rows_per_key(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    limit: int,
+    out: str,
+    spread_by: list[str],
+    gather_rows: int = GATHERED_ROWS,
+) -> DataFrame:
+    """The first ``limit`` rows of each key, numbered from 1 in ``out``.
+
+    Every task cuts each key to the limit before the shuffle. Over very many tasks
+    a key in all of them would still bring tasks x limit rows into one task; then keys
+    are cut once per salt first, which leaves salts x limit rows.
+    """
+    splits = estimated_bytes(df) // SPLIT_BYTES + 1
+    if splits * limit > gather_rows:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+        place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place", "_salt")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(out, number).filter(F.col(out) <= limit)
+
+
 def fixed_seed(seed: int) -> int:
     """Seed 0 means a new order for every run; it is drawn once, before the job starts.
 
@@ -93,8 +120,8 @@ def number_questions(
     rows = questions.withColumn("_hash", F.when(~in_order, shuffle_key(seed_col, F.col(db_id), place)))
     order = [F.col("_hash").asc_nulls_first(), place]
     if 0 <= largest_limit <= GROUP_LIMIT:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        numbered = rows.withColumn("pos", number.cast("bigint")).filter(F.col("pos") <= largest_limit)
+        first = first_rows_per_key(rows, keys, order, largest_limit, "pos", [position])
+        numbered = first.withColumn("pos", F.col("pos").cast("bigint"))
     else:
         digits = HASH_DIGITS if estimated_bytes(questions) < HUGE_INPUT else HASH_DIGITS + 1
         hashed = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("bigint")

@@ -87,6 +87,16 @@ def test_small_limits_are_cut_before_the_shuffle(rows):
     assert "WindowGroupLimit" in plan
 
 
+def test_first_rows_with_and_without_salt(rows):
+    """The salted way is the one for very many tasks; it must give the same rows."""
+    order = [F.col("v").desc(), F.col("ord")]
+    plain = O.first_rows_per_key(rows, ["db_id"], order, 9, "n", ["ord"])
+    salted = O.first_rows_per_key(rows, ["db_id"], order, 9, "n", ["ord"], gather_rows=0)
+    assert plain.columns == salted.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+    assert salted._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
 def test_limits_per_pipeline(spark):
     questions = spark.createDataFrame(
         [("d", db, i, f"q{i}", "s") for db in ("x", "y") for i in range(30)],
