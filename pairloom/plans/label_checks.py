@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import json_text as J
 from pairloom.operators import execution_labels as X
-from pairloom.operators import prompts as P
 from pairloom.operators import ratings as R
 from pairloom.operators.joins import lookup
 from pairloom.operators.rollups import at_level, execution_summary, semantic_summary

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.operators.joins import not_in
-from pairloom.operators.rollups import rate
 from pairloom.plans.registry import check
 
 col = F.col

@@ -11,8 +11,8 @@ from pairloom.operators import attempts as A
 from pairloom.operators.ordering import by_range
 from pairloom.operators.rollups import template_summary
 from pairloom.operators.template_labels import label_templates
-from pairloom.plans.label_checks import _RAW, raw_ratings  # noqa: F401
-from pairloom.plans.prompt_checks import _SAMPLES, samples, settings
+from pairloom.plans.label_checks import raw_ratings
+from pairloom.plans.prompt_checks import samples, settings
 from pairloom.plans.registry import check
 from pairloom.plans.response_checks import _STATS, used
 from pairloom.plans.template_checks import _LABELLED, SUMMARY_SQL
