@@ -13,6 +13,9 @@ Counting moves hashes only (128 bits a chunk) and adds up before the shuffle; te
 repeated chunks alone are moved for the comparison, joined with the one first chunk
 of their hash, which Spark can split however many repetitions there are.
 
+``clean`` rewrites documents: a document of which nothing is left goes, the others keep
+their columns with the remaining text (and its length, where there is an ``n_chars``).
+
 Null texts stay null, an empty text is one empty line, rows without doc_id sort
 first. Rows that agree in doc_id and text are repeated rows and share the decision.
 Other columns pass through.
@@ -28,8 +31,8 @@ WINDOW, DIVISOR = 2, 3
 _FACTOR, _MODULUS = 31, 1_000_003
 
 
-def _chunks(text: Column) -> Column:
-    """array<struct<no, from, size, text>> of all chunks; positions count from 1."""
+def _hashed(text: Column):
+    """The lines, their hashes, and the rolling hash at a line (counted from 1) over ``_hashes``."""
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
 
@@ -45,7 +48,7 @@ def _chunks(text: Column) -> Column:
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_lines`` and ``_ends``: the lines, and the number of each line after which a chunk ends."""
-    lines, hashes, rolling = _chunks(F.col(text))
+    lines, hashes, rolling = _hashed(F.col(text))
     count = F.size("_lines")
     ends = F.filter(F.sequence(F.lit(1), count), lambda at: (at == count) | (rolling(at) % DIVISOR == 0))
     return docs.withColumn("_lines", lines).withColumn("_hashes", hashes).withColumn("_ends", ends).drop("_hashes")
@@ -117,3 +120,11 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("_n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
     )
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents with what is left of their texts; those of which nothing is left go."""
+    out = remove_repeated(docs).filter(~((F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import chat, decontaminate, lines, near, sql
+from pairloom.llm import chat, decontaminate, lines, near, pieces, sql, toxicity
 from pairloom.llm.common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -20,6 +25,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.union(own)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -48,7 +64,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_chat": op3_chat,
+    "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_near_dedup": op10_near_dedup,
