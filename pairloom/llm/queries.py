@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import chat, decontaminate, lines, near, pieces, sql, toxicity
+from pairloom.llm import chat, decontaminate, lines, near, neighbours, pieces, sql, toxicity
 from pairloom.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
+    "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_near_dedup": op10_near_dedup,
