@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import chat, decontaminate, lines, near, neighbours, pieces, sql, toxicity
+from pairloom.llm import chat, decontaminate, lines, link_trust, near, neighbours, pieces, sql, toxicity
 from pairloom.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = link_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
@@ -69,6 +74,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
@@ -79,6 +85,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_url_filter": sql.trust(link_trust.STEPS, link_trust.DAMPING, link_trust.THRESHOLD),
     "op3_chat": sql.CHAT,
     "op6_line_dedup": sql.LINES,
     "op8_decontamination": sql.DECONTAMINATION,

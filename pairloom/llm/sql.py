@@ -119,3 +119,59 @@ reach AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, coalesce(d.doc_id = l.component_id, true) AS kept
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_reached l ON d.doc_id = l.doc_id
 """
+
+_TRUST_START = r"""
+WITH judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM (SELECT page_id, html,
+      translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+), hosts AS (
+  SELECT host, count(*) FILTER (WHERE rule IN ('org/', 'com/fr/')) AS good,
+    count(*) FILTER (WHERE rule IS NOT NULL AND rule NOT IN ('org/', 'com/fr/')) AS bad
+  FROM judged WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html,
+      'href\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM judged WHERE host <> ''
+), family AS (
+  SELECT h.host, arg_max(p.host, length(p.host)) AS parent FROM hosts h JOIN hosts p ON ends_with(h.host, '.' || p.host)
+  GROUP BY h.host
+), edges AS (
+  SELECT src, dst, sum(n) AS n FROM (
+    SELECT src, dst, 1 AS n FROM links WHERE src <> dst
+    UNION ALL SELECT host, parent, 1 FROM family UNION ALL SELECT parent, host, 1 FROM family) GROUP BY src, dst
+), ways AS (
+  SELECT 'good' AS kind, src AS host, dst AS target, n FROM edges UNION ALL SELECT 'bad', dst, src, n FROM edges
+), shares AS (SELECT *, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways),
+seeds AS (
+  SELECT 'good' AS kind, host, good / (SELECT sum(good) FROM hosts) AS seed FROM hosts WHERE good > 0
+  UNION ALL SELECT 'bad', host, bad / (SELECT sum(bad) FROM hosts) FROM hosts WHERE bad > 0
+), rank0 AS (SELECT kind, host, seed AS r FROM seeds)"""
+
+
+def trust(steps: int, damping: float, threshold: float) -> str:
+    """The rank iteration, written out step by step."""
+    parts = [_TRUST_START]
+    for i in range(steps):
+        parts.append(f"""rank{i + 1} AS (
+  SELECT kind, host, sum(r) AS r FROM (
+    SELECT s.kind, s.target AS host, r.r * s.share * {damping} AS r
+    FROM rank{i} r JOIN shares s ON r.kind = s.kind AND r.host = s.host
+    UNION ALL SELECT kind, host, seed * (1 - {damping}) FROM seeds) GROUP BY kind, host
+)""")
+    parts.append(f"""ranks AS (
+  SELECT host, coalesce(sum(r) FILTER (WHERE kind = 'good'), 0) AS trust,
+    coalesce(sum(r) FILTER (WHERE kind = 'bad'), 0) AS distrust FROM rank{steps} GROUP BY host
+)
+SELECT j.page_id, j.host, j.path, j.rule, CASE
+  WHEN j.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN j.rule IS NOT NULL THEN 'block'
+  WHEN r.distrust > ({threshold} + 1e-9) * (r.trust + r.distrust) THEN 'block' ELSE 'allow' END AS verdict
+FROM judged j LEFT JOIN ranks r ON j.host = r.host""")
+    return ",\n".join(parts)
