@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import chat, decontaminate, lines, link_trust, near, neighbours, pieces, sql, toxicity
+from pairloom.llm import (
+    chat, decontaminate, license_scan, lines, link_trust, near, neighbours, pieces, secrets_scan, sql, toxicity,
+)
 from pairloom.llm.common import table
 
 
@@ -57,6 +59,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(
+        "doc_id",
+        "start",
+        F.length("value").alias("length"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        "score",
+        (F.col("score") >= 0.5).alias("secret"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,6 +83,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -80,7 +98,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_near_dedup": op10_near_dedup,
 }
 
