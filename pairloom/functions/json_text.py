@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -15,6 +17,7 @@ from pairloom.functions.vocabulary import NOT_AVAILABLE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _END = "end of answer"
+_CLOSING = {"[": "]", "{": "}"}
 _REREAD = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -22,6 +25,7 @@ _REREAD = T.StructType(
         T.StructField("problem", T.StringType()),
     ]
 )
+_PARTS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]))
 
 
 def slice_json_array(text: Column) -> Column:
@@ -54,30 +58,88 @@ def json_items(text: Column) -> Column:
     return F.get(F.transform(F.array(pair), first), F.lit(0))
 
 
-def _insert_at(text: str, error_at: int) -> int:
-    """Where a missing comma belongs: at the end of the line before, if that has none."""
-    line_end = text.rfind("\n", 0, error_at)
-    if line_end < 0 or text[line_end - 1] == ",":
-        return error_at
-    return line_end
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|null|true|false|NaN|-?Infinity", re.A)
 
 
-def reread(text: str) -> tuple[str | None, bool, str | None]:
-    """(normal form, commas added?, problem) of an answer that is not plain JSON."""
-    mended = False
+def missing_commas(text: str) -> list[int]:
+    """Where commas must be put in so that reading goes on, found in one pass over the text.
+
+    A comma belongs at the end of the line before, if that has none yet, else right
+    where it is missed. If that line end lies before the value that was just read,
+    the comma does harm there; it is the last one, and reading the text will say so.
+    """
+    places: list[int] = []
+    mended_lines: set[int] = set()
+    open_: list[str] = []
+    line_end, looked = -1, 0
+    at, wants_key = _BLANK.match(text).end(), False
     while True:
-        try:
-            value = json.loads(text, parse_constant=str)
-        except json.JSONDecodeError as error:
-            if error.msg.startswith("Expecting ',' delimiter"):
-                at = _insert_at(text, error.pos)
-                text, mended = f"{text[:at]},{text[at:]}", True
+        if wants_key:
+            if text[at : at + 1] != '"':
+                return places
+            try:
+                at = scanstring(text, at + 1)[1]
+            except json.JSONDecodeError:
+                return places
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                return places
+            at = _BLANK.match(text, at + 1).end()
+        sign = text[at : at + 1]
+        if sign in ("[", "{") and sign:
+            inner = _BLANK.match(text, at + 1).end()
+            if text[inner : inner + 1] == _CLOSING[sign]:
+                end = inner + 1
+            else:
+                open_.append(sign)
+                at, wants_key = inner, sign == "{"
                 continue
-            bad_escape = "Invalid" in error.msg and "escape" in error.msg
-            return None, False, "invalid_escape" if bad_escape else "json_decode"
-        except RecursionError:
-            return None, False, "json_decode"
-        return json.dumps(value, separators=(",", ":")), mended, None
+        elif sign == '"':
+            try:
+                end = scanstring(text, at + 1)[1]
+            except json.JSONDecodeError:
+                return places
+        else:
+            found = _SCALAR.match(text, at)
+            if not found:
+                return places
+            end = found.end()
+        while True:
+            if not open_:
+                return places
+            at = _BLANK.match(text, end).end()
+            if text[at : at + 1] != _CLOSING[open_[-1]]:
+                break
+            open_.pop()
+            end = at + 1
+        if text[at : at + 1] == ",":
+            at = _BLANK.match(text, at + 1).end()
+        else:
+            line_end, looked = max(line_end, text.rfind("\n", looked, at)), at
+            if line_end < 0 or (line_end < end and (text[line_end - 1] == "," or line_end in mended_lines)):
+                places.append(at)
+            else:
+                places.append(line_end)
+                mended_lines.add(line_end)
+                if line_end < end:
+                    return places
+        wants_key = open_[-1] == "{"
+
+
+def reread(text: str) -> tuple[str | None, bool, str | None]:
+    """(normal form, commas added?, problem) of an answer that is not plain JSON."""
+    places = missing_commas(text)
+    ends = sorted(places)
+    mended = ",".join(text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True))
+    try:
+        value = json.loads(mended, parse_constant=str)
+    except json.JSONDecodeError as error:
+        bad_escape = "Invalid" in error.msg and "escape" in error.msg
+        return None, False, "invalid_escape" if bad_escape else "json_decode"
+    except RecursionError:
+        return None, False, "json_decode"
+    return json.dumps(value, separators=(",", ":")), bool(places), None
 
 
 @F.pandas_udf(_REREAD)
@@ -88,6 +150,26 @@ def reread_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "mended", "problem"])
 
 
+@F.pandas_udf(_PARTS)
+def json_parts(texts: pd.Series) -> pd.Series:
+    """The elements of an array (key null) or the entries of an object, each as JSON text of its own.
+
+    For texts too large for one variant, or turned down by the native parser; null if not readable.
+    """
+
+    def parts(text):
+        if text is None:
+            return None
+        try:
+            value = json.loads(text, parse_constant=str)
+        except (json.JSONDecodeError, RecursionError):
+            return None
+        pairs = value.items() if isinstance(value, dict) else ((None, x) for x in value) if isinstance(value, list) else None
+        return None if pairs is None else [{"key": k, "text": json.dumps(x, separators=(",", ":"))} for k, x in pairs]
+
+    return texts.map(parts)
+
+
 def has_fields(items: Column, fields) -> Column:
     """Every element is an object with exactly these keys."""
     wanted = F.lit(sorted(fields))

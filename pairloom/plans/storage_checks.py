@@ -52,7 +52,7 @@ def _(t):
     arrays = json_arrays(t.view("questions"), ["dataset", "db_id"], fields)
     texts = arrays.select("text", "dataset", file_name("question_", "db_id").alias("file"))
     folder = write_texts(texts, fresh_folder(t.spark, "questions"), "dataset", "file")
-    return files.scan_questions(t.spark, folder).select(*fields, "ord")
+    return files.scan_questions(t.spark, folder, deep=True).select(*fields, "ord")
 
 
 @check(
@@ -65,7 +65,7 @@ def _(t):
         col("samples_json").alias("text"), "dataset", F.concat(F.lit("sample_"), "db_id", F.lit(".json")).alias("file")
     )
     folder = write_texts(texts, fresh_folder(t.spark, "samples"), "dataset", "file")
-    rows = files.sample_rows(files.scan_samples(t.spark, folder))
+    rows = files.sample_rows(files.scan_samples(t.spark, folder, deep=True))
     dataset = F.regexp_extract("path", "dataset=([^/]*)/", 1).alias("dataset")
     return rows.select(dataset, "db_id", "table_name", "row_ord", F.to_json("row_values").alias("row_values"))
 

@@ -24,51 +24,66 @@ def folder_name(path: Column, up: int = 0) -> Column:
     return F.element_at(F.split(path, "/"), -1 - up)
 
 
-def read_whole(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every file below the paths as one row: ``path`` and ``text``."""
-    files = spark.read.option("recursiveFileLookup", "true").text(list(paths), wholetext=True)
+def existing(spark: SparkSession, *patterns: str) -> list[str]:
+    """The patterns that match something; a missing input is an empty one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = spark._jsc.hadoopConfiguration()
+    return [p for p in patterns if path(p).getFileSystem(hadoop).globStatus(path(p))]
+
+
+def read_whole(spark: SparkSession, *paths: str, deep: bool = False) -> DataFrame:
+    """Every JSON file of the paths as one row: ``path`` and ``text``.
+
+    A path is a file, or a folder of which the ``*.json`` directly inside are read (each a
+    file or a folder of part files), with ``deep`` those at any depth. What does not exist
+    gives no rows.
+    """
+    wanted = [p for path in paths for p in existing(spark, path if deep or path.endswith(".json") else f"{path}/*.json")]
+    if not wanted:
+        return spark.createDataFrame([], "path string, text string")
+    files = spark.read.option("recursiveFileLookup", "true").text(wanted, wholetext=True)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(path.alias("path"), F.col("value").alias("text"))
 
 
 def readable(files: DataFrame) -> DataFrame:
-    """Add ``value``: the file's JSON as a variant, null where the file is broken.
+    """Add ``value``, the file's JSON as a variant, and ``parts``, its elements or entries as texts.
 
-    Files the native parser turns down (repeated keys, NaN) get a second reading;
-    nothing is mended here.
+    ``parts`` holds what the native parser turns down: repeated keys, NaN, and files too
+    large for one variant. Nothing is mended here; a broken file has neither.
     """
     boxed = F.concat(F.lit("["), F.col("text"), F.lit("]"))
     alone = lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-    first = files.withColumn("_first", alone(J.json_items(boxed)))
-    again = J.reread_json(F.when(F.col("_first").isNull(), F.col("text")))
-    second = first.withColumn("_again", again)
-    value = F.when(~F.col("_again.mended"), F.try_parse_json(F.col("_again.text")))
-    return second.withColumn("value", F.coalesce("_first", value)).drop("_first", "_again")
+    first = files.withColumn("value", alone(J.json_items(boxed)))
+    return first.withColumn("parts", J.json_parts(F.when(F.col("value").isNull(), F.col("text"))))
 
 
 def _elements(files: DataFrame) -> DataFrame:
     items = F.try_variant_get("value", "$", "array<variant>")
-    return readable(files).select("path", F.posexplode(items).alias("ord", "item"))
+    again = F.transform(F.filter("parts", lambda p: p["key"].isNull()), lambda p: F.parse_json(p["text"]))
+    return readable(files).select("path", F.posexplode(F.coalesce(items, again)).alias("ord", "item"))
 
 
-def scan_questions(spark: SparkSession, *folders: str) -> DataFrame:
+def scan_questions(spark: SparkSession, *folders: str, deep: bool = False) -> DataFrame:
     """Source questions with their place in the file; broken and empty files give no rows."""
     names = ("dataset", "db_id", "question", "query")
-    return _elements(read_whole(spark, *folders)).select(
+    return _elements(read_whole(spark, *folders, deep=deep)).select(
         F.col("path").alias("src_file"),
         F.col("ord").cast("bigint").alias("ord"),
         *[J.text_field(F.col("item"), name).alias(name) for name in names],
     )
 
 
-def scan_samples(spark: SparkSession, *folders: str) -> DataFrame:
+def scan_samples(spark: SparkSession, *folders: str, deep: bool = False) -> DataFrame:
     """One JSON text of sample rows per target database, ``db_id`` from the file name."""
-    files = readable(read_whole(spark, *folders)).filter(F.col("value").isNotNull())
+    files = readable(read_whole(spark, *folders, deep=deep))
+    # '["key"]' without its brackets
+    entry = lambda p: F.concat(F.regexp_replace(F.to_json(F.array(p["key"])), r"^\[|\]$", ""), F.lit(":"), p["text"])
+    again = F.concat(F.lit("{"), F.array_join(F.transform("parts", entry), ","), F.lit("}"))
+    text = F.coalesce(F.to_json("value"), F.when(F.exists("parts", lambda p: p["key"].isNotNull()), again))
     return files.select(
-        "path",
-        path_key(F.col("path"), "sample_", to_first_dot=True).alias("db_id"),
-        F.to_json("value").alias("samples_json"),
-    )
+        "path", path_key(F.col("path"), "sample_", to_first_dot=True).alias("db_id"), text.alias("samples_json")
+    ).filter(F.col("samples_json").isNotNull())
 
 
 def sample_rows(samples: DataFrame) -> DataFrame:
@@ -82,16 +97,20 @@ def sample_rows(samples: DataFrame) -> DataFrame:
 def scan_schemas(spark: SparkSession, *files: str) -> DataFrame:
     """``(path, db_id, schema_ddl)`` from files that map database ids to DDL text."""
     ddls = F.try_variant_get("value", "$", "map<string,string>")
-    return readable(read_whole(spark, *files)).select("path", F.explode(ddls).alias("db_id", "schema_ddl"))
+    named = F.filter("parts", lambda p: p["key"].isNotNull())
+    again = F.map_from_entries(
+        F.transform(named, lambda p: F.struct(p["key"], F.try_variant_get(F.parse_json(p["text"]), "$", "string")))
+    )
+    return readable(read_whole(spark, *files, deep=True)).select("path", F.explode(F.coalesce(ddls, again)).alias("db_id", "schema_ddl"))
 
 
 def schema_problems(spark: SparkSession, *files: str) -> DataFrame:
     """Schema files that cannot be used, and why."""
     empty = F.coalesce(F.try_variant_get("value", "$", "string") == "", F.lit(False))
-    reason = F.when(F.col("value").isNull(), BAD_SCHEMA_FILE).when(
+    reason = F.when(F.col("value").isNull() & F.col("parts").isNull(), BAD_SCHEMA_FILE).when(
         empty, EMPTY_SCHEMA_FILE
     )
-    return readable(read_whole(spark, *files)).select("path", reason.alias("reason")).filter("reason IS NOT NULL")
+    return readable(read_whole(spark, *files, deep=True)).select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def scan_mappings(spark: SparkSession, *folders: str, fields=GUIDED_FIELDS) -> DataFrame:
@@ -100,7 +119,7 @@ def scan_mappings(spark: SparkSession, *folders: str, fields=GUIDED_FIELDS) -> D
     The path gives the keys and wins over ids inside the rows. Raw judge answers
     (``..llm.json``) lying beside are passed over.
     """
-    files = read_whole(spark, *folders)
+    files = read_whole(spark, *folders, deep=True)
     wanted = files.filter(path_key(F.col("path"), "response_") != "").filter(~F.rlike("path", F.lit(r"llm\.json(?:/[^/]*)?$")))
     segments = F.split(F.regexp_replace("path", r"/[^/]*response_[^/]*\.json(?:/[^/]*)?$", ""), "/")
     plain = lambda c: F.regexp_replace(c, r"^[^=]*=", "")

@@ -27,6 +27,36 @@ def test_questions(spark, tmp_path):
     assert got[0].src_file.endswith("/questions/question_a b+c.json")
 
 
+def test_files_beyond_the_limit_of_one_value(spark, tmp_path):
+    rows = [{"dataset": "d", "db_id": "big", "question": f"{i} " + "x" * 1000, "query": "q"} for i in range(140_000)]
+    put(tmp_path / "questions/question_big.json", json.dumps(rows))
+    put(tmp_path / "m/dev/m1/tgt/response_s.json", json.dumps(rows))
+    assert (tmp_path / "questions/question_big.json").stat().st_size > 128 * 2**20
+    got = files.scan_questions(spark, f"{tmp_path}/questions").selectExpr("count(*)", "max(ord)", "min(length(question))").first()
+    assert tuple(got) == (140_000, 139_999, 1002)
+    assert files.scan_mappings(spark, f"{tmp_path}/m", fields=["query"]).filter("query = 'q'").count() == 140_000
+
+
+def test_only_the_folders_own_json_files(spark, tmp_path):
+    rows = [{"dataset": "d", "db_id": "a", "question": "x", "query": "q"}]
+    put(tmp_path / "questions/question_a.json", rows)
+    put(tmp_path / "questions/question_parts.json/part-0.json", rows)
+    put(tmp_path / "questions/old/question_b.json", rows)
+    put(tmp_path / "questions/notes.txt", json.dumps(rows))
+    assert files.scan_questions(spark, f"{tmp_path}/questions").count() == 2
+    assert files.scan_questions(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_odd_samples_and_schemas(spark, tmp_path):
+    put(tmp_path / "s/sample_x.json", '{"t\\"": [[NaN, 1]], "u": [[1]], "u": [[2]]}')
+    put(tmp_path / "s/sample_y.json", '[1, NaN]')
+    got = files.sample_rows(files.scan_samples(spark, f"{tmp_path}/s")).select("table_name", F.to_json("row_values"))
+    assert sorted(tuple(r) for r in got.collect()) == [('t"', '["NaN",1]'), ("u", "[2]")]
+    put(tmp_path / "schemas.json", '{"a": "x", "a": "y"}')
+    assert [tuple(r)[1:] for r in files.scan_schemas(spark, f"{tmp_path}/schemas.json").collect()] == [("a", "y")]
+    assert files.schema_problems(spark, f"{tmp_path}/schemas.json").count() == 0
+
+
 def test_samples(spark, tmp_path):
     put(tmp_path / "s/sample_x.v2.json", {"t": [[1, 2.5, None, "a"], [2, 3, "b", "c"]], "u": []})
     put(tmp_path / "s/sample_bad.json", "{")

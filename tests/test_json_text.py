@@ -1,6 +1,7 @@
 """Reading what models write."""
 
 import json
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -84,6 +85,45 @@ def test_a_lost_comma_at_a_line_end_is_put_back(items, data):
     assert json.loads(fixed) == items
 
 
+def reread_step_by_step(text):
+    """The rule itself: read, put one comma in, read again from the start."""
+    mended = False
+    while True:
+        try:
+            value = json.loads(text, parse_constant=str)
+        except json.JSONDecodeError as error:
+            if error.msg.startswith("Expecting ',' delimiter"):
+                line_end = text.rfind("\n", 0, error.pos)
+                at = error.pos if line_end < 0 or text[line_end - 1] == "," else line_end
+                text, mended = f"{text[:at]},{text[at:]}", True
+                continue
+            return None, False, "invalid_escape" if "Invalid" in error.msg and "escape" in error.msg else "json_decode"
+        return json.dumps(value, separators=(",", ":")), mended, None
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet='[]{}:,"ab1 \n\\', max_size=30).map(lambda x: "[" + x + "]"))
+def test_one_pass_finds_the_same_commas(text):
+    assert J.reread(text) == reread_step_by_step(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(values, min_size=2, max_size=6), st.data())
+def test_one_pass_with_any_lost_commas(items, data):
+    text = json.dumps(items, indent=data.draw(st.sampled_from([None, 1])))
+    places = [i for i, c in enumerate(text) if c == ","]
+    for at in sorted(data.draw(st.sets(st.sampled_from(places), max_size=5)), reverse=True):
+        text = text[:at] + text[at + 1 :]
+    assert J.reread(text) == reread_step_by_step(text)
+
+
+def test_many_missing_commas_are_quick():
+    text = "[" + "\n".join('{"a":1}' for _ in range(16001)) + "]"
+    start = time.time()
+    fixed, mended, problem = J.reread(text)
+    assert (mended, problem, fixed.count("},{")) == (True, None, 16000) and time.time() - start < 1
+
+
 FIELDS = ("source_db_id", "target_db_id", "target_query")
 GOOD = {"source_db_id": "s", "target_db_id": "t", "target_query": "q"}
 ATTEMPTS = [
