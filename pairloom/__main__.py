@@ -2,10 +2,10 @@
 
     spark-submit --py-files pairloom.zip -m pairloom prompts --settings mapping.json --root . --work out --run 2025-01-01
     python -m pairloom mappings   --settings mapping.json --responses answers.parquet --model m --work out --run 2025-01-01
-    python -m pairloom template   --settings evaluation.json --work out
+    python -m pairloom template   --settings evaluation.json --work out --run 2025-01-01
     python -m pairloom execution  --settings evaluation.json --databases dbs --work out --run 2025-01-01
-    python -m pairloom ratings    --settings evaluation.json --schemas schemas.json --work out
-    python -m pairloom semantic   --settings evaluation.json --responses judged.parquet --work out
+    python -m pairloom ratings    --settings evaluation.json --schemas schemas.json --work out --run 2025-01-01
+    python -m pairloom semantic   --settings evaluation.json --responses judged.parquet --work out --run 2025-01-01
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--settings", required=True, help="settings file")
     parser.add_argument("--work", required=True, help="folder of the tables")
     parser.add_argument("--root", default=".", help="folder the data sets' paths start from")
-    parser.add_argument("--run", default="run", help="name of the run, such as its start time")
+    parser.add_argument("--run", required=True, help="name of the run, such as its start time; the same for all its stages")
     parser.add_argument("--model", default="model")
     parser.add_argument("--responses", help="parquet table of answers")
     parser.add_argument("--mappings", help="folder of response_<source>.json files, instead of the table of pairs")
@@ -37,22 +37,21 @@ def arguments() -> argparse.Namespace:
 def main() -> None:
     args = arguments()
     spark = build_session()
-    with open(args.settings, encoding="utf-8") as file:
-        settings = json.load(file)
+    settings = json.loads(jobs.read_text(spark, args.settings))
     if args.stage == "prompts":
         jobs.prompts_stage(spark, settings, args.root, args.work, args.run)
     elif args.stage == "mappings":
         jobs.mappings_stage(spark, settings, spark.read.parquet(args.responses), args.work, args.run, args.model)
     elif args.stage == "template":
-        pairs = files.scan_mappings(spark, args.mappings) if args.mappings else spark.read.parquet(f"{args.work}/mappings")
-        jobs.template_stage(spark, settings, pairs, args.work)
+        pairs = files.scan_mappings(spark, args.mappings) if args.mappings else jobs.read_run(spark, f"{args.work}/mappings", args.run)
+        jobs.template_stage(spark, settings, pairs, args.work, args.run)
     elif args.stage == "execution":
         sessions = catalog_per_target(spark, tables_below(spark, args.databases))
         jobs.execution_stage(spark, settings, sessions, args.work, args.run)
     elif args.stage == "ratings":
-        jobs.rating_prompts_stage(spark, settings, files.scan_schemas(spark, args.schemas), args.work)
+        jobs.rating_prompts_stage(spark, settings, files.scan_schemas(spark, args.schemas), args.work, args.run, root=args.root)
     else:
-        jobs.semantic_stage(spark, settings, spark.read.parquet(args.responses), args.work)
+        jobs.semantic_stage(spark, settings, spark.read.parquet(args.responses), args.work, args.run)
 
 
 if __name__ == "__main__":

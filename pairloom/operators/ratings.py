@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairloom.functions.json_text import rating_part, rating_value
 from pairloom.functions.vocabulary import NO_SCHEMA, RATING_FORMAT
 from pairloom.operators.joins import lookup
-from pairloom.operators.ordering import by_range
 
 FILE = ["target_db_id", "source_db_id"]
-PART_BITS = 10
 RATED = ("meaningful_nl_question", "correct_target_nl_sql_mapping", "nl_thought", "sql_thought")
 
 
@@ -21,11 +19,15 @@ def select_pairs(rows: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.filter(named)
 
 
-def rating_parts(pairs: DataFrame, keys: list[str] | None = None, bits: int = PART_BITS) -> DataFrame:
+def part_of(position: Column, size: int | None) -> Column:
+    """Which prompt of its file a pair stands in; without a size a file is one prompt."""
+    return F.lit(0).cast("bigint") if size is None else F.floor(position / size).cast("bigint")
+
+
+def rating_parts(pairs: DataFrame, keys: list[str] | None = None, size: int | None = None) -> DataFrame:
     """One row per judge prompt: the pairs of a file in order, as a JSON array.
 
-    A file makes one prompt. Only a file with more than 2^bits rows makes several,
-    one per stretch of positions, so that no task has to hold a whole huge file.
+    A file makes one prompt, or, with ``size``, one per so many positions.
     """
     keys = keys or FILE
     pair = F.struct("ord", F.col("target_question").alias("nl_question"), F.col("target_query").alias("sql_query"))
@@ -34,7 +36,7 @@ def rating_parts(pairs: DataFrame, keys: list[str] | None = None, bits: int = PA
         lambda p: F.struct(p["nl_question"].alias("nl_question"), p["sql_query"].alias("sql_query")),
     )
     return (
-        pairs.withColumn("part", by_range(F.col("ord"), bits))
+        pairs.withColumn("part", part_of(F.col("ord"), size))
         .groupBy(*keys, "part")
         .agg(
             F.to_json(plain, {"ignoreNullFields": "false"}).alias("pairs_json"),
@@ -44,11 +46,11 @@ def rating_parts(pairs: DataFrame, keys: list[str] | None = None, bits: int = PA
     )
 
 
-def place_in_part(pairs: DataFrame, keys: list[str] | None = None, bits: int = PART_BITS) -> DataFrame:
+def place_in_part(pairs: DataFrame, keys: list[str] | None = None, size: int | None = None) -> DataFrame:
     """Add ``part`` and ``pos``, where each pair stands in the prompt that holds it."""
     keys = keys or FILE
     stretch = Window.partitionBy(*keys, "part").orderBy("ord")
-    return pairs.withColumn("part", by_range(F.col("ord"), bits)).withColumn(
+    return pairs.withColumn("part", part_of(F.col("ord"), size)).withColumn(
         "pos", F.row_number().over(stretch) - 1
     )
 
@@ -74,9 +76,10 @@ def is_yes(label: Column) -> Column:
 def complete_files(pairs: DataFrame, ratings: DataFrame, file: list[str] | None = None) -> DataFrame:
     """Files that got exactly as many ratings as they have rows."""
     file = file or FILE
-    sent = pairs.groupBy(*file).agg(F.count(F.lit(1)).alias("n_sent"))
-    got = ratings.groupBy(*file).agg(F.count(F.lit(1)).alias("n_rated"))
-    return sent.join(got, file).filter(F.col("n_sent") == F.col("n_rated")).select(*file)
+    one = pairs.select(*file, F.lit(1).alias("sent"), F.lit(0).alias("rated"))
+    other = ratings.select(*file, F.lit(0).alias("sent"), F.lit(1).alias("rated"))
+    counts = one.unionByName(other).groupBy(*file).agg(F.sum("sent").alias("sent"), F.sum("rated").alias("rated"))
+    return counts.filter("sent = rated").select(*file)
 
 
 def zip_ratings(pairs: DataFrame, ratings: DataFrame, file: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@
 
 Settings have the shape of the two settings files: ``data`` and ``generation`` for
 the mapping run, ``data`` and ``evaluation`` for the evaluators. All paths may lie
-on any file system Spark reaches; ``work`` is where the tables go.
+on any file system Spark reaches; ``work`` is where the tables go. Every table lies below
+``<table>/run_ts=<run>``: a stage that is repeated overwrites its own run and reads no other.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from pairloom.operators.workload import label_workload, run_workload
 from pairloom.sources import files, sinks
 from pairloom.sources.sinks import PAIR_KEYS
 
+#: What a pair's file is called by; the method comes first, so that two methods never meet.
+FILE_KEYS = ("method", *PAIR_KEYS)
+
 PROMPT = ["pipeline_no", "source_db_id", "batch_no"]
 SETTINGS = (
     "pipeline_no int, source_dataset string, source_db_ids array<string>, seed bigint, "
@@ -39,17 +43,60 @@ SETTINGS = (
 )
 RESPONSES = (
     "pipeline_no int, source_db_id string, batch_no bigint, attempt int, response string, prompt_tokens bigint, "
-    "response_tokens bigint, time_taken double, finish_reason string, error string"
+    "response_tokens bigint, time_taken double, real_time double, finish_reason string, error string"
 )
 RATINGS = (
-    "target_dataset string, model string, target_db_id string, source_db_id string, part bigint, attempt int, "
+    "method string, target_dataset string, model string, target_db_id string, source_db_id string, part bigint, attempt int, "
     "response string, finish_reason string, error string"
 )
 
 
+METHODS = {"sql-exchange": "guided", "guided": "guided", "zeroshot": "zeroshot"}
+
+
 def method_of(options: Mapping) -> str:
-    """``zeroshot`` is named as such; every other known name means the guided method."""
-    return "zeroshot" if options.get("method") == "zeroshot" else "guided"
+    """The method the settings name; an unknown one is refused."""
+    name = options.get("method")
+    if name not in METHODS:
+        raise ValueError(f"unknown method {name!r}, expected one of {sorted(METHODS)}")
+    return METHODS[name]
+
+
+def fields_of(options: Mapping) -> tuple[str, ...]:
+    """The fields an answer must have: those of the settings, else those of the method."""
+    method = method_of(options)
+    listed = options.get("fields_to_check_zeroshot" if method == "zeroshot" else "fields_to_check")
+    return tuple(listed) if listed else P.method_fields(method)
+
+
+def read_text(spark: SparkSession, *parts: str) -> str:
+    """A small text file, from any file system; a missing or empty one stops the run."""
+    path = "/".join(part.rstrip("/") for part in parts if part)
+    if not files.existing(spark, path):
+        raise FileNotFoundError(f"{path} not found")
+    text = "".join(row.value for row in spark.read.text(path, wholetext=True).collect())
+    if not text:
+        raise ValueError(f"{path} is empty; put a space in it if that is intended")
+    return text
+
+
+def prompt_texts(spark: SparkSession, options: Mapping, root: str) -> tuple[str, str]:
+    """(base, system) text of the mapping prompts, from the files the settings name."""
+    zeroshot = method_of(options) == "zeroshot"
+    folder = f"{root}/{options.get('prompt_directory', 'prompts')}"
+    base = "" if zeroshot else options.get("base_prompt_file")
+    system = options.get("system_instruction_file_zeroshot" if zeroshot else "system_instruction_file")
+    return (
+        read_text(spark, folder, base) if base else options.get("base_prompt", ""),
+        read_text(spark, folder, system) if system else options.get("system_prompt", ""),
+    )
+
+
+def judge_text(spark: SparkSession, options: Mapping, root: str) -> str:
+    """What the judge reads first: its instructions, then the examples."""
+    folder = f"{root}/{options.get('prompt_directory', 'prompts')}"
+    names = [options[name] for name in ("prompt_file", "examples_file") if options.get(name)]
+    return "".join(read_text(spark, folder, name) for name in names)
 
 
 def settings_table(spark: SparkSession, data: list[Mapping]) -> DataFrame:
@@ -74,22 +121,51 @@ def _per_dataset(names, scan) -> DataFrame:
     return reduce(DataFrame.unionByName, scans)
 
 
+def skipped_pipelines(pipelines: DataFrame, schemas: DataFrame, samples: DataFrame, questions: DataFrame) -> DataFrame:
+    """(pipeline_no, dataset, db_id, reason): why a pipeline, or one of its sources, gives no prompts."""
+    unknown = P.unknown_dbs(pipelines, schemas).select("pipeline_no", "dataset", "db_id", F.lit("no schema").alias("reason"))
+    target = pipelines.select("pipeline_no", F.col("target_dataset").alias("dataset"), F.col("target_db_id").alias("db_id"))
+    no_samples = target.join(samples.select("dataset", "db_id"), ["dataset", "db_id"], "left_anti")
+    listed = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.explode("source_db_ids").alias("db_id"))
+    known = questions.select("dataset", "db_id").distinct()
+    no_questions = listed.join(known, ["dataset", "db_id"], "left_anti")
+    no_folder = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.lit(None).cast("string").alias("db_id"))
+    no_folder = no_folder.join(known.select("dataset").distinct(), "dataset", "left_anti")
+    out = unknown
+    for rows, reason in ((no_samples, "no samples"), (no_questions, "no questions"), (no_folder, "no questions")):
+        out = out.unionByName(rows.withColumn("reason", F.lit(reason)))
+    return out.distinct()
+
+
+def last_pipelines(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Of pipelines with the same source and target only the last one's rows stay, as a later file replaces an earlier."""
+    last = items.groupBy(*keys).agg(F.max("pipeline_no").alias("pipeline_no"))
+    return lookup(items, last, [*keys, "pipeline_no"], ["batch_no", "pos"], how="left_semi")
+
+
 def prompts_stage(spark: SparkSession, settings: Mapping, root: str, work: str, run_ts: str) -> DataFrame:
     """Source questions, schemas and samples to one prompt per batch of questions."""
     data, options = settings["data"], settings["generation"]
+    base, system = prompt_texts(spark, options, root)
     pipelines = settings_table(spark, data)
     sources = [one["source_dataset"] for one in data]
     targets = [one["target_dataset"] for one in data]
-    questions = _per_dataset(sources, lambda name: files.scan_questions(spark, f"{root}/{name}/questions"))
+
+    def own(name: str) -> DataFrame:
+        return files.scan_questions(spark, f"{root}/{name}/questions").withColumnRenamed("dataset", "own_dataset")
+
+    questions = _per_dataset(sources, own)
     schemas = _per_dataset(sources + targets, lambda name: files.scan_schemas(spark, f"{root}/{name}/schemas.json"))
     samples = _per_dataset(targets, lambda name: files.scan_samples(spark, f"{root}/{name}/target_samples"))
+    sinks.replace_run(skipped_pipelines(pipelines, schemas, samples, questions), f"{work}/skipped", run_ts)
+    skipped = read_run(spark, f"{work}/skipped", run_ts).filter("reason <> 'no questions'").select("pipeline_no").distinct()
     limits = [one.get("source_questions_limit", -1) for one in data]
     chosen = P.choose_questions(
         questions,
-        P.known_pipelines(pipelines, schemas),
+        pipelines.join(skipped, "pipeline_no", "left_anti"),
         largest_limit=-1 if min(limits) < 0 else max(limits),
     )
-    named = chosen.withColumns({"dataset": F.col("source_dataset"), "db_id": F.col("source_db_id")})
+    named = chosen.withColumns({"dataset": F.col("own_dataset"), "db_id": F.col("source_db_id")})
     keys = ["pipeline_no", "source_dataset", "source_db_id", "target_dataset", "target_db_id"]
     batches = P.batch_questions(named, keys, options.get("max_question_length_per_prompt", QUESTIONS_PER_PROMPT))
     rows = P.with_source_schema(batches, schemas, PROMPT)
@@ -99,16 +175,17 @@ def prompts_stage(spark: SparkSession, settings: Mapping, root: str, work: str,
         "batch_no",
         "n_questions",
         "questions_json",
-        F.lit(options.get("system_prompt", "")).alias("system"),
-        P.prompt_text(options.get("base_prompt", "")).alias("prompt"),
+        F.lit(system).alias("system"),
+        P.prompt_text(base).alias("prompt"),
     )
-    sinks.append_run(prompts, f"{work}/prompts", run_ts)
-    sinks.snapshot_settings(spark.createDataFrame([(json.dumps(settings),)], "settings string"), f"{work}/settings", run_ts)
-    return _run(spark, f"{work}/prompts", run_ts)
+    sinks.replace_run(prompts, f"{work}/prompts", run_ts)
+    snapshot = spark.createDataFrame([(json.dumps(settings),)], "settings string")
+    sinks.replace_run(snapshot.select(F.to_json(F.struct("*")).alias("settings_json")), f"{work}/settings", run_ts)
+    return read_run(spark, f"{work}/prompts", run_ts)
 
 
-def _run(spark: SparkSession, path: str, run_ts: str) -> DataFrame:
-    """The rows of one run; the filter prunes all other runs' folders."""
+def read_run(spark: SparkSession, path: str, run_ts: str) -> DataFrame:
+    """The rows of one run; no other run's folder is looked at."""
     return spark.read.option("basePath", path).parquet(f"{path}/run_ts={run_ts}").drop("run_ts")
 
 
@@ -117,9 +194,9 @@ def mappings_stage(
 ) -> DataFrame:
     """Model answers (``RESPONSES``) to mapped pairs, rejects, transcripts and counters."""
     options = settings["generation"]
+    method, fields = method_of(options), fields_of(options)
     checks = options.get("validation", {})
-    fields = P.method_fields(method_of(options))
-    prompts = _run(spark, f"{work}/prompts", run_ts)
+    prompts = read_run(spark, f"{work}/prompts", run_ts)
     asked = prompts.select(*PROMPT, "source_dataset", "target_dataset", "target_db_id")
     tries = options.get("max_retry_per_prompt", ATTEMPTS_PER_PROMPT)
     answers = responses.filter(F.col("attempt") < tries).join(asked, PROMPT)
@@ -127,32 +204,37 @@ def mappings_stage(
     used = A.used_attempts(read, PROMPT, tries)
     # written once, read by everything below: answers are validated a single time
     as_text = F.transform("items", lambda item: F.to_json(item))
-    used.withColumn("items", as_text).write.mode("overwrite").parquet(f"{work}/attempts/run_ts={run_ts}")
-    stored = _run(spark, f"{work}/attempts", run_ts)
+    sinks.replace_run(used.withColumn("items", as_text), f"{work}/attempts", run_ts)
+    stored = read_run(spark, f"{work}/attempts", run_ts)
     run = A.stop_after_failures(stored, [*PROMPT, "attempt"], options.get("max_fail_limit", FAILURE_LIMIT))
     used = run.withColumn("items", F.transform("items", lambda text: F.parse_json(text)))
-    keep = ["pipeline_no", "target_dataset", "target_db_id", "source_db_id", "batch_no"]
-    items = A.explode_items(A.accepted(used), keep)
-    numbered = A.number_mappings(items, ["pipeline_no", "target_dataset", "target_db_id", "source_db_id"])
+    file = ["target_dataset", "target_db_id", "source_db_id"]
+    named = A.accepted(used).withColumn("target_dataset", files.folder_name(F.col("target_dataset")))
+    items = last_pipelines(A.explode_items(named, ["pipeline_no", *file, "batch_no"]), file)
+    numbered = A.number_mappings(items, file)
     rest = [name for name in fields if name not in ("target_db_id", "source_db_id")]
-    mapped = A.as_mappings(numbered, rest, ["target_dataset", "target_db_id", "source_db_id", "ord"])
-    mapped = mapped.withColumns({"model": F.lit(model), "target_dataset": files.folder_name(F.col("target_dataset"))})
-    sinks.write_mappings(mapped, f"{work}/mappings")
+    mapped = A.as_mappings(numbered, rest, [*file, "ord"])
+    mapped = mapped.withColumns({"model": F.lit(model), "method": F.lit(method)})
+    sinks.replace_run(mapped, f"{work}/mappings", run_ts, FILE_KEYS)
     with_prompt = A.rejected(used).select(*PROMPT, "attempt", "error_class", "response").join(
         prompts.select(*PROMPT, "system", "prompt", "questions_json"), PROMPT
     )
-    sinks.write_rejects(
-        with_prompt.withColumn("errors", A.error_flags(F.col("error_class"))), f"{work}/rejects", run_ts
-    )
+    sinks.replace_run(with_prompt.withColumn("errors", A.error_flags(F.col("error_class"))), f"{work}/rejects", run_ts)
     transcript = used.select(*PROMPT, "attempt", "response").join(prompts.select(*PROMPT, "system", "prompt"), PROMPT)
-    sinks.append_transcripts(transcript, f"{work}/transcripts", run_ts)
-    A.generation_stats(used, ["pipeline_no", "source_db_id"]).write.mode("overwrite").parquet(
-        f"{work}/stats/run_ts={run_ts}"
-    )
-    A.exception_stats(used, ["pipeline_no", "source_db_id"]).write.mode("overwrite").parquet(
-        f"{work}/exceptions/run_ts={run_ts}"
-    )
-    return spark.read.parquet(f"{work}/mappings")
+    sinks.replace_run(transcript.filter(F.coalesce("response", F.lit("")) != ""), f"{work}/transcripts", run_ts)
+    sinks.replace_run(A.generation_stats(used, ["pipeline_no", "source_db_id"]), f"{work}/stats", run_ts)
+    sinks.replace_run(A.exception_stats(used, ["pipeline_no", "source_db_id"]), f"{work}/exceptions", run_ts)
+    merge_counters(spark, f"{work}/stats", run_ts, f"{work}/counters")
+    return read_run(spark, f"{work}/mappings", run_ts)
+
+
+def merge_counters(spark: SparkSession, stats: str, run_ts: str, path: str) -> None:
+    """Counters per source over all runs so far: this run's values win, sources only known before stay."""
+    earlier = [p for p in files.existing_runs(spark, path) if p < run_ts]
+    new = read_run(spark, stats, run_ts).filter("depth = 2").drop("depth")
+    new = new.groupBy("source_db_id").agg(*[F.sum(c).alias(c) for c in new.columns if c not in ("source_db_id", "pipeline_no")])
+    merged = sinks.upsert_stats(read_run(spark, path, max(earlier)), new) if earlier else new
+    sinks.replace_run(merged, path, run_ts)
 
 
 def _allowed(pairs: DataFrame, settings: Mapping) -> DataFrame:
@@ -165,12 +247,14 @@ def _allowed(pairs: DataFrame, settings: Mapping) -> DataFrame:
     return P.allow(pairs, "source_db_id", data.get("source_databases", []))
 
 
-def template_stage(spark: SparkSession, settings: Mapping, pairs: DataFrame, work: str) -> DataFrame:
+def template_stage(spark: SparkSession, settings: Mapping, pairs: DataFrame, work: str, run_ts: str) -> DataFrame:
     """Structural labels, rejects and the three-level summary."""
-    sinks.write_labelled(label_templates(_allowed(pairs, settings)), f"{work}/labelled_template")
-    labelled = _allowed(spark.read.parquet(f"{work}/labelled_template"), settings)
-    not_generated(labelled).write.mode("overwrite").parquet(f"{work}/not_generated")
-    sinks.write_summaries(template_summary(labelled), f"{work}/summary_template")
+    if "method" not in pairs.columns:
+        pairs = pairs.withColumn("method", F.lit(method_of(settings.get("evaluation", {"method": "guided"}))))
+    sinks.replace_run(label_templates(_allowed(pairs, settings)), f"{work}/labelled_template", run_ts, FILE_KEYS)
+    labelled = read_run(spark, f"{work}/labelled_template", run_ts)
+    sinks.replace_run(not_generated(labelled), f"{work}/not_generated", run_ts)
+    sinks.write_summaries(template_summary(labelled), f"{work}/summary_template/run_ts={run_ts}")
     return labelled
 
 
@@ -184,48 +268,53 @@ def execution_stage(
     parallel: int = 8,
 ) -> DataFrame:
     """Runs every distinct query once and labels all pairs with its outcome."""
-    pairs = _allowed(spark.read.parquet(f"{work}/labelled_template"), settings)
+    pairs = _allowed(read_run(spark, f"{work}/labelled_template", run_ts), settings)
     outcomes = run_workload(pairs, sessions, f"{work}/outcomes/run_ts={run_ts}", seconds, parallel)
-    sinks.write_labelled(label_workload(pairs, outcomes, [*PAIR_KEYS, "ord"]), f"{work}/labelled_execution")
-    labelled = _allowed(spark.read.parquet(f"{work}/labelled_execution"), settings)
-    sinks.write_summaries(execution_summary(labelled), f"{work}/summary_execution")
+    labelled = label_workload(pairs, outcomes, [*FILE_KEYS, "ord"])
+    sinks.replace_run(labelled, f"{work}/labelled_execution", run_ts, FILE_KEYS)
+    labelled = read_run(spark, f"{work}/labelled_execution", run_ts)
+    sinks.write_summaries(execution_summary(labelled), f"{work}/summary_execution/run_ts={run_ts}")
     return labelled
 
 
 def rating_prompts_stage(
-    spark: SparkSession, settings: Mapping, schemas: DataFrame, work: str, base_prompt: str = ""
+    spark: SparkSession, settings: Mapping, schemas: DataFrame, work: str, run_ts: str, base_prompt: str | None = None, root: str = "."
 ) -> DataFrame:
-    """One judge prompt per file of labelled pairs. ``schemas``: db_id, schema_ddl of the targets."""
-    pairs = _allowed(spark.read.parquet(f"{work}/labelled_execution"), settings)
-    parts = R.rating_parts(pairs, list(PAIR_KEYS))
+    """Judge prompts of the labelled pairs: one per file, or one per ``pairs_per_prompt`` of the settings.
+
+    ``schemas``: db_id, schema_ddl of the targets. The judge's text comes from the
+    settings' files unless it is given.
+    """
+    options = settings.get("evaluation", {})
+    base = judge_text(spark, options, root) if base_prompt is None else base_prompt
+    pairs = _allowed(read_run(spark, f"{work}/labelled_execution", run_ts), settings)
+    parts = R.rating_parts(pairs, list(FILE_KEYS), options.get("pairs_per_prompt"))
     ddl = schemas.select(F.col("db_id").alias("target_db_id"), "schema_ddl")
-    found = lookup(parts, ddl, ["target_db_id"], [*PAIR_KEYS, "part"], how="left")
-    prompt = R.rating_prompt(base_prompt, F.col("pairs_json"), F.col("schema_ddl"))
-    found.select(*PAIR_KEYS, "part", "n_sent", prompt.alias("prompt")).write.mode("overwrite").parquet(
-        f"{work}/rating_prompts"
-    )
-    return spark.read.parquet(f"{work}/rating_prompts")
+    found = lookup(parts, ddl, ["target_db_id"], [*FILE_KEYS, "part"], how="left")
+    prompt = R.rating_prompt(base, F.col("pairs_json"), F.col("schema_ddl"))
+    sinks.replace_run(found.select(*FILE_KEYS, "part", "n_sent", prompt.alias("prompt")), f"{work}/rating_prompts", run_ts)
+    return read_run(spark, f"{work}/rating_prompts", run_ts)
 
 
-def semantic_stage(spark: SparkSession, settings: Mapping, answers: DataFrame, work: str) -> DataFrame:
-    """Judge answers (``RATINGS``) to labels. A file whose answers never fit stays unrated."""
-    part = [*PAIR_KEYS, "part"]
-    failures = settings.get("evaluation", {}).get("max_retry_per_prompt", RATING_FAILURES)
-    asked = spark.read.parquet(f"{work}/rating_prompts").select(*part, "n_sent")
+def semantic_stage(spark: SparkSession, settings: Mapping, answers: DataFrame, work: str, run_ts: str) -> DataFrame:
+    """Judge answers (``RATINGS``) to labels. A file is labelled whole or, if an answer of its never fits, not at all."""
+    options = settings.get("evaluation", {})
+    file, part = list(FILE_KEYS), [*FILE_KEYS, "part"]
+    failures = options.get("max_retry_per_prompt", RATING_FAILURES)
+    asked = read_run(spark, f"{work}/rating_prompts", run_ts).select(*part, "n_sent")
     judged = A.rating_attempts(answers.join(asked, part), part, "n_sent", failures)
-    text = judged.withColumn("items", F.transform("items", lambda item: F.to_json(item)))
-    text.write.mode("overwrite").parquet(f"{work}/judged")
-    judged = spark.read.parquet(f"{work}/judged")
-    A.rejected(judged).select(*part, "attempt", "response", "error").write.mode("overwrite").parquet(f"{work}/unrated")
+    sinks.replace_run(judged.withColumn("items", F.transform("items", lambda item: F.to_json(item))), f"{work}/judged", run_ts)
+    judged = read_run(spark, f"{work}/judged", run_ts)
     good = A.accepted(judged).select(*part, F.posexplode("items").alias("pos", "rating_json"))
-    sinks.replace_partitions(good, f"{work}/ratings_raw")
-    ratings = R.read_ratings(
-        spark.read.parquet(f"{work}/ratings_raw").withColumn("item", F.parse_json("rating_json")), [*part, "pos"]
-    )
-    pairs = _allowed(spark.read.parquet(f"{work}/labelled_execution"), settings)
-    placed = R.place_in_part(pairs, list(PAIR_KEYS))
-    labelled = R.label_rated(placed.join(ratings, [*part, "pos"])).drop("part", "pos")
-    sinks.write_labelled(labelled, f"{work}/labelled_semantic")
-    labelled = _allowed(spark.read.parquet(f"{work}/labelled_semantic"), settings)
-    sinks.write_summaries(semantic_summary(labelled), f"{work}/summary_semantic")
+    sinks.replace_run(good, f"{work}/ratings_raw", run_ts, FILE_KEYS)
+    raw = read_run(spark, f"{work}/ratings_raw", run_ts)
+    ratings = R.read_ratings(raw.withColumn("item", F.parse_json("rating_json")), [*part, "pos"])
+    pairs = _allowed(read_run(spark, f"{work}/labelled_execution", run_ts), settings)
+    placed = R.place_in_part(pairs, file, options.get("pairs_per_prompt"))
+    whole = R.complete_files(pairs, raw, file)
+    sinks.replace_run(asked.select(*file).distinct().join(whole, file, "left_anti"), f"{work}/unrated", run_ts)
+    zipped = lookup(placed.join(ratings, [*part, "pos"]), whole, file, ["ord"])
+    sinks.replace_run(R.label_rated(zipped).drop("part", "pos"), f"{work}/labelled_semantic", run_ts, FILE_KEYS)
+    labelled = read_run(spark, f"{work}/labelled_semantic", run_ts)
+    sinks.write_summaries(semantic_summary(labelled), f"{work}/summary_semantic/run_ts={run_ts}")
     return labelled

@@ -224,7 +224,7 @@ def _(t):
     ddl = t.view("schemas").filter(col("dataset") != "P").select(
         col("dataset").alias("target_db_id"), col("db_id").alias("source_db_id"), "schema_ddl"
     )
-    parts = lookup(R.rating_parts(t.view("pairs")), ddl, R.FILE, ["part"], how="left")
+    parts = lookup(R.rating_parts(t.view("pairs"), size=1024), ddl, R.FILE, ["part"], how="left")
     prompt = R.rating_prompt("base", col("pairs_json"), col("schema_ddl")).alias("prompt")
     return parts.select(*R.FILE, "part", prompt)
 

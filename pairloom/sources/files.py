@@ -31,6 +31,13 @@ def existing(spark: SparkSession, *patterns: str) -> list[str]:
     return [p for p in patterns if path(p).getFileSystem(hadoop).globStatus(path(p))]
 
 
+def existing_runs(spark: SparkSession, path: str) -> list[str]:
+    """The names of the runs a table holds."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_ts=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(one.getPath().getName().removeprefix("run_ts=") for one in found or [])
+
+
 def read_whole(spark: SparkSession, *paths: str, deep: bool = False) -> DataFrame:
     """Every JSON file of the paths as one row: ``path`` and ``text``.
 

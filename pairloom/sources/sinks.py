@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.sources.files import existing
+
 PAIR_KEYS = ("target_dataset", "model", "target_db_id", "source_db_id")
 
 
@@ -32,6 +34,17 @@ def write_labelled(labelled: DataFrame, path: str, keys=PAIR_KEYS) -> None:
     replace_partitions(labelled, path, keys)
 
 
+def replace_run(df: DataFrame, path: str, run_ts: str, keys=()) -> None:
+    """Write the rows of one run; a repeated run takes the place of its first attempt, earlier runs stay."""
+    rows = df.hint("rebalance", *keys) if keys else df
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    folder = f"{path}/run_ts={run_ts}"
+    (writer.partitionBy(*keys) if keys else writer).parquet(folder)
+    if keys and not existing(df.sparkSession, f"{folder}/{keys[0]}=*"):
+        # no rows, no partitions: a file without rows keeps the columns known
+        df.limit(0).write.mode("overwrite").parquet(folder)
+
+
 def append_run(df: DataFrame, path: str, run_ts: str | Column) -> None:
     """Add the rows of one run; earlier runs stay."""
     stamp = F.lit(run_ts) if isinstance(run_ts, str) else run_ts
@@ -45,8 +58,8 @@ def append_transcripts(prompts: DataFrame, path: str, run_ts: str) -> None:
 
 
 def write_summaries(summary: DataFrame, path: str) -> None:
-    """One folder per level: source, target, total. The rows are few: one small file each."""
-    summary.coalesce(1).write.mode("overwrite").partitionBy("level").json(path)
+    """One folder per level: source, target, total; AQE puts small partitions together."""
+    summary.hint("rebalance", "level").write.mode("overwrite").partitionBy("level").json(path)
 
 
 def write_rejects(rejects: DataFrame, path: str, run_ts: str) -> None:

@@ -10,8 +10,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from pairloom.plans import all_checks  # noqa: E402
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = dict(all_checks())
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -50,7 +50,7 @@ def settings():
 
 def answer(pipeline, db, batch, attempt, rows, error=None):
     text = None if error else json.dumps(rows) if isinstance(rows, list) else rows
-    return pipeline, db, batch, attempt, text, 10, 5, 1.5, "", error
+    return pipeline, db, batch, attempt, text, 10, 5, 1.5, 0.5, "", error
 
 
 def mapped(db, query, question="How many?"):
@@ -120,7 +120,7 @@ def test_counters(spark, work):
 
 def test_evaluation(spark, work, tmp_path):
     settings = {"data": {"source_databases": [], "target_databases": ["school"]}, "evaluation": {"dataset_name": "dev", "model_dir": "m1"}}
-    labelled = jobs.template_stage(spark, settings, spark.read.parquet(f"{work}/mappings"), work)
+    labelled = jobs.template_stage(spark, settings, jobs.read_run(spark, f"{work}/mappings", RUN), work, RUN)
     assert rows(labelled, "ord", "is_generated", "same_template") == [
         (0, "True", "True"), (1, "False", "False"), (2, "True", "True")]
     total = spark.read.json(f"{work}/summary_template").filter("level = 'total'").first()
@@ -134,7 +134,7 @@ def test_evaluation(spark, work, tmp_path):
     assert len(json.loads(labelled.filter("ord = 0").first().execution_result)) == 50
 
     dump(tmp_path / "schemas.json", {"school": "CREATE TABLE pupils(name)"})
-    prompts = jobs.rating_prompts_stage(spark, settings, files.scan_schemas(spark, f"{tmp_path}/schemas.json"), work, "JUDGE")
+    prompts = jobs.rating_prompts_stage(spark, settings, files.scan_schemas(spark, f"{tmp_path}/schemas.json"), work, RUN, "JUDGE")
     assert prompts.first().n_sent == 3
     assert '"CREATE TABLE pupils(name)"' in prompts.first().prompt
 
@@ -144,13 +144,101 @@ def test_evaluation(spark, work, tmp_path):
             "correctness": {"is_correct_mapping": right},
         }
 
-    key = ("dev", "m1", "school", "cars", 0)
+    key = ("guided", "dev", "m1", "school", "cars", 0)
     full = json.dumps([rating("Yes", "no"), rating("yes", "yes"), rating("maybe", "YES")])
     answers = [(*key, 0, json.dumps([rating("yes", "yes")]), "", None), (*key, 1, full, "", None)]
-    labelled = jobs.semantic_stage(spark, settings, spark.createDataFrame(answers, jobs.RATINGS), work)
+    labelled = jobs.semantic_stage(spark, settings, spark.createDataFrame(answers, jobs.RATINGS), work, RUN)
     assert rows(labelled, "ord", "meaningful_nl_question", "correct_target_nl_sql_mapping", "nl_thought", "sql_thought") == [
         (0, "Yes", "no", "t", "N/A"), (2, "maybe", "YES", "t", "N/A")]
     assert "result_status" in labelled.columns and "same_template" in labelled.columns
     total = spark.read.json(f"{work}/summary_semantic").filter("level = 'total'").first()
     assert (total.meaningful_nl_question, total.correct_sql_mapping, total.total) == (1, 1, 2)
     assert spark.read.parquet(f"{work}/unrated").count() == 0
+
+
+def test_skipped_pipelines_have_reasons(spark, work):
+    skipped = spark.read.parquet(f"{work}/skipped")
+    assert rows(skipped, "pipeline_no", "dataset", "db_id", "reason") == [
+        (1, "data/train", "unknown", "no questions"),
+        (1, "data/train", "unknown", "no schema"),
+        (2, "data/dev", "nowhere", "no samples"),
+        (2, "data/dev", "nowhere", "no schema"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def real(settings, corpus):
+    """Settings of the real shape: texts in files."""
+    for name, text in (("base.txt", "BASE FILE"), ("sys.txt", "SYSTEM"), ("zero.txt", "ZERO"), ("judge.txt", "JUDGE "), ("ex.txt", "EXAMPLES")):
+        dump(corpus / "prompts" / name, text)
+    generation = {
+        "max_question_length_per_prompt": 10, "method": "sql-exchange", "prompt_directory": "prompts", "base_prompt_file": "base.txt",
+        "system_instruction_file": "sys.txt", "system_instruction_file_zeroshot": "zero.txt", "fields_to_check": list(GUIDED_FIELDS),
+        "fields_to_check_zeroshot": ["source_db_id", "target_db_id", "target_question", "target_query"],
+    }
+    return {"generation": generation, "data": settings["data"][:1] * 2}
+
+
+def zeroshot(real):
+    return {**real, "generation": {**real["generation"], "method": "zeroshot"}}
+
+
+def short(db, query):
+    return {"source_db_id": db, "target_db_id": "school", "target_question": "How?", "target_query": query}
+
+
+def test_texts_come_from_the_settings_files(spark, corpus, real, tmp_path):
+    guided = jobs.prompts_stage(spark, real, str(corpus), str(tmp_path), "a").first()
+    assert guided.prompt.startswith("BASE FILE\n") and guided.system == "SYSTEM"
+    # the row's own data set name, not the folder's
+    assert '"dataset":"train"' in guided.prompt
+    other = jobs.prompts_stage(spark, zeroshot(real), str(corpus), str(tmp_path), "b").first()
+    assert not other.prompt.startswith("BASE") and other.system == "ZERO"
+    assert jobs.judge_text(spark, {"prompt_file": "judge.txt", "examples_file": "ex.txt"}, str(corpus)) == "JUDGE EXAMPLES"
+    with pytest.raises(FileNotFoundError):
+        jobs.prompts_stage(spark, {**real, "generation": {**real["generation"], "base_prompt_file": "no.txt"}}, str(corpus), str(tmp_path), "c")
+    with pytest.raises(ValueError, match="unknown method"):
+        jobs.method_of({"method": "nonsense"})
+
+
+def test_methods_pipelines_and_repeated_runs(spark, corpus, real, tmp_path):
+    work = str(tmp_path)
+
+    def run(settings, stamp, answers):
+        jobs.prompts_stage(spark, settings, str(corpus), work, stamp)
+        return jobs.mappings_stage(spark, settings, spark.createDataFrame(answers, jobs.RESPONSES), work, stamp, "m1")
+
+    # two pipelines with the same source and target: the later one's pairs stay, keys are unique
+    both = [answer(n, "cars", 0, 0, [mapped("cars", f"SELECT {n}{i}") for i in range(2)]) for n in (0, 1)]
+    for _ in range(2):
+        pairs = run(real, "a", both)
+    assert rows(pairs, "method", "ord", "target_query") == [("guided", 0, "SELECT 10"), ("guided", 1, "SELECT 11")]
+    run(zeroshot(real), "b", [answer(0, "cars", 0, 0, [short("cars", "SELECT z")])])
+    assert rows(spark.read.option("mergeSchema", "true").parquet(f"{work}/mappings"), "method", "ord") == [("guided", 0), ("guided", 1), ("zeroshot", 0)]
+    assert spark.read.parquet(f"{work}/transcripts").filter("run_ts = 'a'").count() == 2
+    assert rows(jobs.read_run(spark, f"{work}/counters", "b"), "source_db_id", "request", "real_time") == [("cars", 1, 0.5)]
+    # an evaluation sees its own run only, also when nothing is left
+    options = {"evaluation": {"dataset_name": "dev"}}
+    assert jobs.template_stage(spark, options, jobs.read_run(spark, f"{work}/mappings", "a"), work, "a").count() == 2
+    options["evaluation"]["dataset_name"] = "other"
+    assert jobs.template_stage(spark, options, jobs.read_run(spark, f"{work}/mappings", "a"), work, "a").count() == 0
+
+
+def test_a_file_is_rated_whole_or_not_at_all(spark, tmp_path):
+    work, n = str(tmp_path), 1500
+    pairs = spark.range(n).selectExpr(
+        "'guided' AS method", "'dev' AS target_dataset", "'m1' AS model", "'t' AS target_db_id", "'s' AS source_db_id", "id AS ord",
+        "'q' AS target_question", "'SELECT 1' AS target_query", "'True' AS is_generated",
+    )
+    jobs.sinks.replace_run(pairs, f"{work}/labelled_execution", RUN, jobs.FILE_KEYS)
+    settings = {"evaluation": {"pairs_per_prompt": 1024}}
+    schemas = spark.createDataFrame([("t", "ddl")], "db_id string, schema_ddl string")
+    prompts = jobs.rating_prompts_stage(spark, settings, schemas, work, RUN, "J")
+    assert rows(prompts, "part", "n_sent") == [(0, 1024), (1, 476)]
+    good = json.dumps([{"correctness": {"is_correct_mapping": "yes"}}] * 1024)
+    key = ("guided", "dev", "m1", "t", "s")
+    answers = spark.createDataFrame([(*key, 0, 0, good, "", None), (*key, 1, 0, "[]", "", None)], jobs.RATINGS)
+    assert jobs.semantic_stage(spark, settings, answers, work, RUN).count() == 0
+    assert rows(spark.read.parquet(f"{work}/unrated"), "target_db_id", "source_db_id") == [("t", "s")]
+    # without the setting a file is one prompt
+    assert rows(jobs.rating_prompts_stage(spark, {}, schemas, work, RUN, "J"), "part", "n_sent") == [(0, n)]

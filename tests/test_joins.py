@@ -60,11 +60,11 @@ def test_parts_of_a_long_file(spark):
         F.lit("t").alias("target_db_id"), F.lit("s").alias("source_db_id"), (F.col("id") * 2).alias("ord"),
         F.concat(F.lit("q"), "id").alias("target_question"), F.lit(None).cast("string").alias("target_query"),
     )
-    parts = rating_parts(pairs, FILE, bits=3).orderBy("part").collect()
+    parts = rating_parts(pairs, FILE, size=8).orderBy("part").collect()
     assert [(p.part, p.n_sent, p.first_ord) for p in parts] == [(0, 4, 0), (1, 4, 8), (2, 2, 16)]
     assert parts[2].pairs_json == '[{"nl_question":"q8","sql_query":null},{"nl_question":"q9","sql_query":null}]'
     assert len(rating_parts(pairs, FILE).collect()) == 1
-    placed = place_in_part(pairs, FILE, bits=3).orderBy("ord").collect()
+    placed = place_in_part(pairs, FILE, size=8).orderBy("ord").collect()
     assert [(p.part, p.pos) for p in placed] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
 
 
