@@ -41,6 +41,8 @@ LEXICON = 20_000
 BEGINNINGS = (4, 5, 6)
 LEAST_COUNT = 3
 CUT = 0.3
+#: Texts of fewer distinct words count as that long, so that shortness alone says nothing.
+LEAST_LENGTH = 50
 
 #: What signs look like: fixed values.
 LOOK_ALIKES = {
@@ -102,7 +104,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- channel and decoding
 
-_SIGN, _AS_WRITTEN, _SPACED, _ONCE, _TWICE = 1.0, 7.0, 0.5, 0.4, 1.1
+_SIGN, _AS_WRITTEN, _SPACED, _ONCE, _TWICE = 1.0, 10.0, 0.5, 0.4, 1.1
 _PART = re.compile(r"(.)\1*", re.S)
 
 
@@ -224,9 +226,9 @@ def evidence(t: float, n: float, base: float) -> float:
 
 
 def summary(values: list[float], n_words: int) -> list[float]:
-    """What the regression sees: strongest two, how many are strong, length."""
+    """What the regression sees: strongest two, how many are strong, length (long texts meet odd words by chance)."""
     top = sorted((v for v in values if v > 0), reverse=True)[:2] + [0.0, 0.0]
-    return [top[0], top[1], math.log1p(sum(v > 2.0 for v in values)), math.log1p(n_words)]
+    return [top[0], top[1], math.log1p(sum(v > 2.0 for v in values)), math.log1p(max(n_words, LEAST_LENGTH))]
 
 
 @dataclass
