@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pairloom.functions.vocabulary import QUERY_SECONDS
 from pairloom.operators.workload import catalog_per_target, tables_below
 from pairloom.plans import jobs
 from pairloom.session import build_session
@@ -31,6 +32,9 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--mappings", help="folder of response_<source>.json files, instead of the table of pairs")
     parser.add_argument("--databases", help="folder <target>/<table>.parquet")
     parser.add_argument("--schemas", help="schemas.json of the targets")
+    parser.add_argument("--parallel", type=int, default=8, help="queries at a time")
+    parser.add_argument("--seconds", type=float, default=QUERY_SECONDS, help="time limit of a query")
+    parser.add_argument("--shard", default="0/1", help="which part of the queries this application runs, such as 0/4; all have to be run before labels count")
     return parser.parse_args()
 
 
@@ -47,7 +51,8 @@ def main() -> None:
         jobs.template_stage(spark, settings, pairs, args.work, args.run)
     elif args.stage == "execution":
         sessions = catalog_per_target(spark, tables_below(spark, args.databases))
-        jobs.execution_stage(spark, settings, sessions, args.work, args.run)
+        shard, shards = (int(x) for x in args.shard.split("/"))
+        jobs.execution_stage(spark, settings, sessions, args.work, args.run, args.seconds, args.parallel, shard, shards)
     elif args.stage == "ratings":
         jobs.rating_prompts_stage(spark, settings, files.scan_schemas(spark, args.schemas), args.work, args.run, root=args.root)
     else:

@@ -1,18 +1,19 @@
 """Running the queries of pairs, to see whether they work.
 
 Each distinct query is an ordinary Spark job over its target's tables. The driver
-only submits them: it holds one slice of query texts at a time, and of each result
-at most one row more than is kept.
+only submits them: it holds about one slice of query texts at a time, and of each
+result at most one row more than is kept. Several applications can share one table
+of outcomes, each with its own shard of the queries.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
+import re
 import threading
 import uuid
-from collections.abc import Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Mapping
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import CapturedException
@@ -28,19 +29,40 @@ OUTCOMES = (
 STATEMENT = ["target_db_id", "target_query"]
 
 
-def catalog_per_target(spark: SparkSession, tables: Mapping[str, Mapping[str, str]]) -> dict[str, SparkSession]:
+class TargetSessions(Mapping):
+    """A session per target, opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, tables: Mapping[str, Mapping[str, str]]):
+        self.spark, self.tables = spark, tables
+        self.opened: dict[str, SparkSession] = {}
+        self.lock = threading.Lock()
+
+    def __getitem__(self, target: str) -> SparkSession:
+        paths = self.tables[target]
+        with self.lock:
+            if target not in self.opened:
+                session = self.spark.newSession()
+                for name, path in paths.items():
+                    session.read.parquet(path).createOrReplaceTempView(name)
+                # a query must not name files in place of tables
+                session.conf.set("spark.sql.runSQLOnFiles", "false")
+                self.opened[target] = session
+            return self.opened[target]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
+def catalog_per_target(spark: SparkSession, tables: Mapping[str, Mapping[str, str]]) -> TargetSessions:
     """One session per target, which sees that target's parquet tables and no others.
 
     Sessions share executors and caches but not table names, so nothing has to be
     created in, or cleaned from, the cluster's catalog.
     """
-    sessions = {}
-    for target, paths in tables.items():
-        session = spark.newSession()
-        for name, path in paths.items():
-            session.read.parquet(path).createOrReplaceTempView(name)
-        sessions[target] = session
-    return sessions
+    return TargetSessions(spark, tables)
 
 
 def tables_below(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
@@ -65,6 +87,15 @@ def first_rows(session: SparkSession, sql: str) -> DataFrame:
     return session.sql(query).limit(PREVIEW_ROWS + 1)
 
 
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+_REFLECTION = re.compile(r"\b(java_method|reflect|try_reflect)\b`?\s*\(", re.I)
+
+
+def calls_the_host(sql: str) -> bool:
+    """Does a query call methods of the machine it runs on?"""
+    return bool(_REFLECTION.search(_QUOTED.sub("''", sql)))
+
+
 def _cancel_when_late(context, tag: str, done: threading.Event, late: threading.Event, seconds: float) -> None:
     if done.wait(seconds):
         return
@@ -77,6 +108,8 @@ def _cancel_when_late(context, tag: str, done: threading.Event, late: threading.
 
 def run_statement(session: SparkSession, target: str, sql: str, seconds: float = QUERY_SECONDS) -> tuple:
     """One row of ``OUTCOMES``."""
+    if calls_the_host(sql):
+        return target, sql, "error", 0, f"Error in {target}: reflection is not allowed", "FORBIDDEN_FUNCTION"
     context, tag = session.sparkContext, f"pairloom-{uuid.uuid4().hex}"
     done, late = threading.Event(), threading.Event()
     watcher = threading.Thread(target=_cancel_when_late, args=(context, tag, done, late, seconds), daemon=True)
@@ -103,6 +136,23 @@ def statements(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~is_null_query(F.col("target_query"))).select(*STATEMENT).distinct()
 
 
+def shard_of(rows: DataFrame, shard: int, shards: int) -> DataFrame:
+    """One of ``shards`` disjoint parts of the statements, the same on every run."""
+    return rows.filter(F.pmod(F.xxhash64(*STATEMENT), F.lit(shards)) == shard) if shards > 1 else rows
+
+
+def _as_they_end(pool: ThreadPoolExecutor, run, rows: Iterable, ahead: int) -> Iterator[tuple]:
+    """Results in the order they come; no more than ``ahead`` are waiting or running."""
+    waiting: set[Future] = set()
+    for row in rows:
+        waiting.add(pool.submit(run, row))
+        if len(waiting) >= ahead:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            yield from (one.result() for one in done)
+    for one in waiting:
+        yield one.result()
+
+
 def run_workload(
     pairs: DataFrame,
     sessions: Mapping[str, SparkSession],
@@ -110,17 +160,21 @@ def run_workload(
     seconds: float = QUERY_SECONDS,
     parallel: int = 8,
     slice_size: int = 1000,
+    shard: int = 0,
+    shards: int = 1,
 ) -> DataFrame:
-    """Run the queries of all pairs and give the table of outcomes.
+    """Run the queries of all pairs, or of one shard of them, and give the table of outcomes.
 
     Outcomes are stored slice by slice. A run that was cut off goes on where it
     stopped when it is given the same path.
     """
     spark = pairs.sparkSession
-    waiting = statements(pairs)
     spark.createDataFrame([], OUTCOMES).write.mode("append").parquet(outcome_path)
     ran = spark.read.schema(OUTCOMES).parquet(outcome_path).select(*STATEMENT)
-    todo: Iterable = waiting.join(ran, STATEMENT, "left_anti").toLocalIterator(prefetchPartitions=False)
+    todo = shard_of(statements(pairs), shard, shards).join(ran, STATEMENT, "left_anti")
+    # the driver takes one partition at a time: as many as there are slices
+    slices = todo.count() // slice_size + 1
+    rows = todo.repartition(slices, *STATEMENT).toLocalIterator(prefetchPartitions=False)
 
     def run(row) -> tuple:
         session = sessions.get(row.target_db_id)
@@ -128,10 +182,18 @@ def run_workload(
             return row.target_db_id, row.target_query, "error", 0, f"Error in {row.target_db_id}: no such target", "NO_TARGET"
         return run_statement(session, row.target_db_id, row.target_query, seconds)
 
+    def store(outcomes: list[tuple]) -> None:
+        spark.createDataFrame(outcomes, OUTCOMES).coalesce(1).write.mode("append").parquet(outcome_path)
+
+    held: list[tuple] = []
     with ThreadPoolExecutor(parallel) as pool:
-        for part in itertools.batched(todo, slice_size):
-            outcomes = list(pool.map(run, part))
-            spark.createDataFrame(outcomes, OUTCOMES).coalesce(1).write.mode("append").parquet(outcome_path)
+        for outcome in _as_they_end(pool, run, rows, 2 * parallel):
+            held.append(outcome)
+            if len(held) >= slice_size:
+                store(held)
+                held = []
+    if held:
+        store(held)
     return spark.read.schema(OUTCOMES).parquet(outcome_path)
 
 

@@ -266,10 +266,15 @@ def execution_stage(
     run_ts: str,
     seconds: float = QUERY_SECONDS,
     parallel: int = 8,
+    shard: int = 0,
+    shards: int = 1,
 ) -> DataFrame:
-    """Runs every distinct query once and labels all pairs with its outcome."""
+    """Runs every distinct query once and labels all pairs with its outcome.
+
+    Of several applications each runs its shard; the last one to end, run again or not, labels all.
+    """
     pairs = _allowed(read_run(spark, f"{work}/labelled_template", run_ts), settings)
-    outcomes = run_workload(pairs, sessions, f"{work}/outcomes/run_ts={run_ts}", seconds, parallel)
+    outcomes = run_workload(pairs, sessions, f"{work}/outcomes/run_ts={run_ts}", seconds, parallel, shard=shard, shards=shards)
     labelled = label_workload(pairs, outcomes, [*FILE_KEYS, "ord"])
     sinks.replace_run(labelled, f"{work}/labelled_execution", run_ts, FILE_KEYS)
     labelled = read_run(spark, f"{work}/labelled_execution", run_ts)

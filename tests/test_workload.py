@@ -42,6 +42,30 @@ def test_outcomes(sessions, sql, outcome, rows, condition):
     assert (got[2], got[3], got[5]) == (outcome, rows, condition), got[4]
 
 
+@pytest.mark.parametrize(
+    "sql, condition",
+    [
+        ("SELECT * FROM parquet.`{root}/two/others.parquet`", None),
+        ("SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "FORBIDDEN_FUNCTION"),
+        ("SELECT `reflect` ('java.lang.System', 'lineSeparator')", "FORBIDDEN_FUNCTION"),
+    ],
+)
+def test_nothing_but_the_targets_tables(sessions, sql, condition):
+    root = sessions.tables["two"]["others"].rsplit("/two/", 1)[0]
+    got = W.run_statement(sessions["one"], "one", sql.format(root=root))
+    assert got[2] == "error" and (condition is None or got[5] == condition)
+    assert not W.calls_the_host("SELECT 'reflect(1)' FROM things")
+
+
+def test_shards_make_up_the_whole(spark, sessions, tmp_path):
+    pairs = spark.createDataFrame([("one", f"SELECT {i}") for i in range(9)], "target_db_id string, target_query string")
+    path = f"{tmp_path}/outcomes"
+    first = W.run_workload(pairs, sessions, path, shard=0, shards=2).count()
+    assert 0 < first < 9
+    both = W.run_workload(pairs, sessions, path, shard=1, shards=2)
+    assert both.count() == 9 and both.select("target_query").distinct().count() == 9
+
+
 def test_order_is_kept(sessions):
     got = W.run_statement(sessions["one"], "one", "SELECT id FROM things ORDER BY id DESC")
     assert got[4].startswith("[[59], [58], [57]") and got[4].count("[") == 51
