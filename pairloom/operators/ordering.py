@@ -28,6 +28,16 @@ def by_range(position: Column, bits: int = BUCKET_BITS) -> Column:
     return F.shiftright(position.cast("bigint"), bits)
 
 
+def even_ranges(df: DataFrame, position: str, ranges: int = 4096) -> Column:
+    """At most ``ranges`` buckets of equal width over the positions that occur, whatever their number.
+
+    Evaluates ``df`` once for its smallest and largest position; give it a stored table.
+    """
+    ends = df.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
+    low, width = (ends.low, (ends.high - ends.low) // ranges + 1) if ends.low is not None else (0, 1)
+    return F.floor((F.col(position) - low) / width).cast("bigint")
+
+
 def running_sum(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str
 ) -> DataFrame:

@@ -48,19 +48,10 @@ def known_pipelines(settings: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def pair_sources(settings: DataFrame, dbs: DataFrame) -> DataFrame:
-    """Each pipeline with each source database of its data set that it allows.
-
-    Listed ids are looked up one by one; only pipelines without a list meet all
-    databases of their data set, which is then exactly their result.
-    """
+    """Each pipeline with each source database of its data set that it allows; no list allows all."""
     keys = dbs.select(F.col("dataset").alias("source_dataset"), F.col("db_id").alias("source_db_id"))
-    listed = settings.filter(F.size("source_db_ids") > 0).withColumn(
-        "source_db_id", F.explode(F.array_distinct("source_db_ids"))
-    )
-    open_to_all = settings.filter(F.size("source_db_ids") == 0)
-    return listed.join(keys, ["source_dataset", "source_db_id"]).unionByName(
-        open_to_all.join(keys, ["source_dataset"])
-    )
+    listed = F.array_contains("source_db_ids", F.col("source_db_id"))
+    return settings.join(keys, "source_dataset").filter((F.size("source_db_ids") == 0) | listed)
 
 
 def choose_questions(questions: DataFrame, settings: DataFrame, largest_limit: int = -1) -> DataFrame:

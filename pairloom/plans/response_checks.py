@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pairloom.functions import json_text as J
 from pairloom.functions.vocabulary import ERROR_CLASSES, RATING_FAILURES
 from pairloom.operators import attempts as A
-from pairloom.operators.ordering import by_range
+from pairloom.operators.ordering import even_ranges
 from pairloom.plans.registry import check
+from pairloom.session import stored
 
 FIELDS = ("source_db_id", "target_db_id", "target_query")
 
@@ -157,9 +158,10 @@ def _(t):
 )
 def _(t):
     items = A.explode_items(A.accepted(used(t)), ["source_db_id", "prompt_id"])
-    numbered = A.number_mappings(items, ["source_db_id"], batch="prompt_id")
     query = J.text_field(F.col("item"), "target_query").alias("target_query")
-    return numbered.select("source_db_id", "prompt_id", F.col("pos").cast("bigint").alias("pos"), "ord", query)
+    # numbering looks at its rows twice, the answers are to be read once
+    items = stored(items.select("source_db_id", "prompt_id", F.col("pos").cast("bigint").alias("pos"), query), "items")
+    return A.number_mappings(items, ["source_db_id"], batch="prompt_id")
 
 
 _STATS = f"""
@@ -196,7 +198,8 @@ _COUNTED = f"""SELECT *, CAST(sum(CAST(error IS NOT NULL AS INT)) OVER (ORDER BY
 
 @check("failure_count", f"SELECT prompt_id, attempt, failures FROM ({_COUNTED})", "responses")
 def _(t):
-    counted = A.count_failures(used(t), ["prompt_id", "attempt"], by_range(F.col("prompt_id"), 4))
+    attempts = stored(used(t).select("prompt_id", "attempt", "error_class"), "attempts")
+    counted = A.count_failures(attempts, ["prompt_id", "attempt"], even_ranges(attempts, "prompt_id"))
     return counted.select("prompt_id", "attempt", "failures")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,18 +35,35 @@ def build_session(app: str = "pairloom", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a
+    Only a session of one JVM without ``spark.checkpoint.dir`` (a local test) gets a
     temporary folder, and that one is then remembered in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_MARKED: set[str] = set()
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; it is removed when the application ends."""
+    root = f"{shared_folder(spark)}/pairloom/{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _MARKED.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read again: used twice, it is computed once and survives lost executors."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

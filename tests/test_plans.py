@@ -41,3 +41,10 @@ def test_plan_has(spark, sf_dir, name, parts):
 def test_top_k_needs_no_global_sort(spark, sf_dir, name):
     plan = plan_of(spark, sf_dir, name)
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("name", ["failure_count", "concat_batches"])
+def test_answers_are_read_once(spark, sf_dir, name):
+    # what is counted and numbered is a stored table; reading the answers is not part of the plan any more
+    plan = plan_of(spark, sf_dir, name)
+    assert "ArrowEvalPython" not in plan and "Python" not in plan
