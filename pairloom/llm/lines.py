@@ -31,27 +31,22 @@ WINDOW, DIVISOR = 2, 3
 _FACTOR, _MODULUS = 31, 1_000_003
 
 
-def _hashed(text: Column):
-    """The lines, their hashes, and the rolling hash at a line (counted from 1) over ``_hashes``."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-
-    def rolling(at: Column) -> Column:
-        total = F.lit(0).cast("long")
-        for back in range(WINDOW - 1, -1, -1):
-            held = F.when(at > back, F.get("_hashes", at - 1 - back)).otherwise(0)
-            total = (total * _FACTOR + held) % _MODULUS
-        return total
-
-    return lines, hashes, rolling
+def _rolling(at: Column) -> Column:
+    """The hash over the WINDOW line hashes up to a line (counted from 1)."""
+    total = F.lit(0).cast("long")
+    for back in range(WINDOW - 1, -1, -1):
+        held = F.when(at > back, F.get("_hashes", at - 1 - back)).otherwise(0)
+        total = (total * _FACTOR + held) % _MODULUS
+    return total
 
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_lines`` and ``_ends``: the lines, and the number of each line after which a chunk ends."""
-    lines, hashes, rolling = _hashed(F.col(text))
+    hashes = F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
     count = F.size("_lines")
-    ends = F.filter(F.sequence(F.lit(1), count), lambda at: (at == count) | (rolling(at) % DIVISOR == 0))
-    return docs.withColumn("_lines", lines).withColumn("_hashes", hashes).withColumn("_ends", ends).drop("_hashes")
+    ends = F.filter(F.sequence(F.lit(1), count), lambda at: (at == count) | (_rolling(at) % DIVISOR == 0))
+    lined = docs.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_hashes", hashes)
+    return lined.withColumn("_ends", ends).drop("_hashes")
 
 
 def _spans() -> Column:
