@@ -47,6 +47,22 @@ def known_pipelines(settings: DataFrame, schemas: DataFrame) -> DataFrame:
     return settings.join(unknown_dbs(settings, schemas).select("pipeline_no").distinct(), "pipeline_no", "left_anti")
 
 
+def skipped_pipelines(pipelines: DataFrame, schemas: DataFrame, samples: DataFrame, questions: DataFrame) -> DataFrame:
+    """(pipeline_no, dataset, db_id, reason): why a pipeline, or one of its sources, gives no prompts."""
+    unknown = unknown_dbs(pipelines, schemas).select("pipeline_no", "dataset", "db_id", F.lit("no schema").alias("reason"))
+    target = pipelines.select("pipeline_no", F.col("target_dataset").alias("dataset"), F.col("target_db_id").alias("db_id"))
+    no_samples = target.join(samples.select("dataset", "db_id"), ["dataset", "db_id"], "left_anti")
+    listed = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.explode("source_db_ids").alias("db_id"))
+    known = questions.select("dataset", "db_id").distinct()
+    no_questions = listed.join(known, ["dataset", "db_id"], "left_anti")
+    no_folder = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.lit(None).cast("string").alias("db_id"))
+    no_folder = no_folder.join(known.select("dataset").distinct(), "dataset", "left_anti")
+    out = unknown
+    for rows, reason in ((no_samples, "no samples"), (no_questions, "no questions"), (no_folder, "no questions")):
+        out = out.unionByName(rows.withColumn("reason", F.lit(reason)))
+    return out.distinct()
+
+
 def pair_sources(settings: DataFrame, dbs: DataFrame) -> DataFrame:
     """Each pipeline with each source database of its data set that it allows; no list allows all."""
     keys = dbs.select(F.col("dataset").alias("source_dataset"), F.col("db_id").alias("source_db_id"))

@@ -8,6 +8,7 @@ def all_checks():
         prompt_checks,
         relational_checks,
         response_checks,
+        stage_checks,
         storage_checks,
         template_checks,
         workload_checks,

@@ -121,28 +121,6 @@ def _per_dataset(names, scan) -> DataFrame:
     return reduce(DataFrame.unionByName, scans)
 
 
-def skipped_pipelines(pipelines: DataFrame, schemas: DataFrame, samples: DataFrame, questions: DataFrame) -> DataFrame:
-    """(pipeline_no, dataset, db_id, reason): why a pipeline, or one of its sources, gives no prompts."""
-    unknown = P.unknown_dbs(pipelines, schemas).select("pipeline_no", "dataset", "db_id", F.lit("no schema").alias("reason"))
-    target = pipelines.select("pipeline_no", F.col("target_dataset").alias("dataset"), F.col("target_db_id").alias("db_id"))
-    no_samples = target.join(samples.select("dataset", "db_id"), ["dataset", "db_id"], "left_anti")
-    listed = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.explode("source_db_ids").alias("db_id"))
-    known = questions.select("dataset", "db_id").distinct()
-    no_questions = listed.join(known, ["dataset", "db_id"], "left_anti")
-    no_folder = pipelines.select("pipeline_no", F.col("source_dataset").alias("dataset"), F.lit(None).cast("string").alias("db_id"))
-    no_folder = no_folder.join(known.select("dataset").distinct(), "dataset", "left_anti")
-    out = unknown
-    for rows, reason in ((no_samples, "no samples"), (no_questions, "no questions"), (no_folder, "no questions")):
-        out = out.unionByName(rows.withColumn("reason", F.lit(reason)))
-    return out.distinct()
-
-
-def last_pipelines(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Of pipelines with the same source and target only the last one's rows stay, as a later file replaces an earlier."""
-    last = items.groupBy(*keys).agg(F.max("pipeline_no").alias("pipeline_no"))
-    return lookup(items, last, [*keys, "pipeline_no"], ["batch_no", "pos"], how="left_semi")
-
-
 def prompts_stage(spark: SparkSession, settings: Mapping, root: str, work: str, run_ts: str) -> DataFrame:
     """Source questions, schemas and samples to one prompt per batch of questions."""
     data, options = settings["data"], settings["generation"]
@@ -157,7 +135,7 @@ def prompts_stage(spark: SparkSession, settings: Mapping, root: str, work: str,
     questions = _per_dataset(sources, own)
     schemas = _per_dataset(sources + targets, lambda name: files.scan_schemas(spark, f"{root}/{name}/schemas.json"))
     samples = _per_dataset(targets, lambda name: files.scan_samples(spark, f"{root}/{name}/target_samples"))
-    sinks.replace_run(skipped_pipelines(pipelines, schemas, samples, questions), f"{work}/skipped", run_ts)
+    sinks.replace_run(P.skipped_pipelines(pipelines, schemas, samples, questions), f"{work}/skipped", run_ts)
     skipped = read_run(spark, f"{work}/skipped", run_ts).filter("reason <> 'no questions'").select("pipeline_no").distinct()
     limits = [one.get("source_questions_limit", -1) for one in data]
     chosen = P.choose_questions(
@@ -210,7 +188,7 @@ def mappings_stage(
     used = run.withColumn("items", F.transform("items", lambda text: F.parse_json(text)))
     file = ["target_dataset", "target_db_id", "source_db_id"]
     named = A.accepted(used).withColumn("target_dataset", files.folder_name(F.col("target_dataset")))
-    items = last_pipelines(A.explode_items(named, ["pipeline_no", *file, "batch_no"]), file)
+    items = A.last_pipelines(A.explode_items(named, ["pipeline_no", *file, "batch_no"]), file)
     numbered = A.number_mappings(items, file)
     rest = [name for name in fields if name not in ("target_db_id", "source_db_id")]
     mapped = A.as_mappings(numbered, rest, [*file, "ord"])
