@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines, in column expressions only.
 
 A text is a sequence of lines. A rolling hash over the hashes of the last WINDOW
-lines decides where a chunk ends: after a line where it is divisible by DIVISOR, and
-at the end of the text. Boundaries depend on the lines around them alone, so a
-passage that was moved by other lines before it is cut in the same places.
+lines decides where a chunk ends: after a line where it is divisible by DIVISOR and was
+not one line before, and at the end of the text; never after the first line or before
+the last one. So every chunk of a text of two or more lines has two lines at least, and
+boundaries depend on the lines around them alone: a passage that was moved by other
+lines before it is cut in the same places.
 
 Chunks of two or more lines are looked up globally. Of equal chunks the first stays
 (smallest doc_id, then place in the document); all others are removed once their
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.common import row_key, saved
 
-WINDOW, DIVISOR = 2, 3
+WINDOW, DIVISOR = 2, 2
 _FACTOR, _MODULUS = 31, 1_000_003
 
 
@@ -44,7 +46,12 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_lines`` and ``_ends``: the lines, and the number of each line after which a chunk ends."""
     hashes = F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
     count = F.size("_lines")
-    ends = F.filter(F.sequence(F.lit(1), count), lambda at: (at == count) | (_rolling(at) % DIVISOR == 0))
+
+    def ends_chunk(at: Column) -> Column:
+        marked = (_rolling(at) % DIVISOR == 0) & (_rolling(at - 1) % DIVISOR != 0)
+        return (at == count) | (at.between(2, count - 2) & marked)
+
+    ends = F.filter(F.sequence(F.lit(1), count), ends_chunk)
     lined = docs.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_hashes", hashes)
     return lined.withColumn("_ends", ends).drop("_hashes")
 

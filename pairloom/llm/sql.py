@@ -43,12 +43,15 @@ lines AS (
 ), hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),
 rolled AS (
   SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY pos), 0) % 1000003 * 31 + h) % 1000003 AS r,
-    lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL AS is_last
+    count(*) OVER (PARTITION BY doc_id) AS size
   FROM hashed
+), marked AS (
+  SELECT *, pos = size OR (pos BETWEEN 2 AND size - 2 AND r % 2 = 0 AND lag(r) OVER (PARTITION BY doc_id ORDER BY pos) % 2 <> 0) AS ends
+  FROM rolled
 ), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN r % 3 = 0 OR is_last THEN 1 ELSE 0 END)
+  SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM rolled
+  FROM marked
 ), chunks AS (
   SELECT doc_id, chunk, min(pos) AS start_pos, count(*) AS size, string_agg(line, chr(10) ORDER BY pos) AS bytes
   FROM numbered GROUP BY doc_id, chunk

@@ -130,6 +130,8 @@ def test_repeated_chunks_go_but_the_first(spark):
         assert got[i]._n_removed >= 4 and len(held) == len(left) + got[i]._n_removed
         assert set(held) - set(left) <= set(passage) and got[i].n_chars is not None
     assert got[30].text == "same\n" * 3
+    copies = lines.clean(docs(spark, [(i, rows[0][1]) for i in range(4)] + [(9, "x\n" + rows[0][1]), (10, "a"), (11, "a")]))
+    assert sorted(r.doc_id for r in copies.collect()) == [0, 9, 10, 11]
     cleaned = {r.doc_id: r for r in lines.clean(docs(spark, [(1, "a\nb"), (2, "a\nb"), (3, None)])).collect()}
     assert set(cleaned) == {1, 3} and cleaned[1].text == "a\nb"
     assert lines.clean(docs(spark, rows).limit(0)).count() == 0
