@@ -6,19 +6,23 @@ blanks and control blanks); a shorter text is one shingle. Documents are linked
 
 1. Equal sets form a class with its smallest doc_id as representative, so copies
    are compared with nothing any more.
-2. Each class has a signature of COORDINATES smallest mixed hashes. A link agrees in
-   MATCHES coordinates at least (fewer with probability 2e-5 at similarity 0.85).
+2. Each class has a signature of COORDINATES smallest mixed hashes. The match threshold
+   is the largest number of equal coordinates that a pair right at the similarity asked
+   for misses with a probability below MISS (7 of 16 at 85 %, 6 at 80 %).
 3. Prefix: coordinate-value pairs are ordered by how many classes hold them. Two
-   classes that agree in MATCHES pairs share one among the rarest
-   COORDINATES - MATCHES + 1 of each, so only those are posted. Very common
+   classes that agree in ``matches`` pairs share one among the rarest
+   COORDINATES - matches + 1 of each, so only those are posted. Very common
    coordinate values (a passage that a third of all documents hold) are thus posted
    only by classes that consist of common values.
 4. Stars: in each posting list the class whose coordinates are the most common
    ones serves as hub; each class counts its collisions with its hubs, the best one
    is confirmed on the full sets. This joins groups of copies at linear cost.
 5. Skip: posting lists whose classes are all connected by now are left out. In the
-   others, members of different components are compared in blocks of bounded size;
-   pairs with MATCHES collisions and fitting set sizes are confirmed on full sets.
+   others, members of different components are compared in blocks of bounded size, each
+   pair only in the first list both are posted in. What has no partner with enough
+   collisions and a fitting set size drops out; the full sets of the rest are sent to
+   the list once and compared there, passing over pairs that are connected by then, so
+   only links are given out, fewer than the block has members.
 6. Components by contraction to the smallest neighbour, written after each round.
 
 No list is gathered whole: long ones are dealt as pairs of blocks. Nothing is
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +46,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import bitmap, gram_hashes, in_bitmap, mixed, saved
 
-COORDINATES, MATCHES = 16, 7
-BLOCK = 1024
+COORDINATES, MISS = 16, 5e-5
+#: Members and shingles of a block at most, on average.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 BITS = 24
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def match_threshold(percent: int) -> int:
+    """Coordinates that a pair of this similarity shares, but for a chance of MISS."""
+    p, missed = percent / 100, 0.0
+    for n in range(COORDINATES + 1):
+        missed += comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if missed > MISS:
+            return max(1, n)
+    return COORDINATES
+
+
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = text.lower().split() if text else []
@@ -119,8 +135,8 @@ def _collisions(a: str, b: str):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """rep, n, weight and its posts: the rarest coordinate-value pairs, as hash ``post``."""
+def _prefixes(classes: DataFrame, matches: int) -> DataFrame:
+    """The posts of each class: its rarest coordinate-value pairs; ``mask`` has a bit for each of its posted coordinates."""
     pairs = classes.select("rep", F.posexplode("signature").alias("at", "value"))
     counts = pairs.groupBy("at", "value").agg(F.count(F.lit(1)).alias("held"))
     ranked = (
@@ -131,71 +147,145 @@ def _prefixes(classes: DataFrame) -> DataFrame:
             F.sum("held").alias("weight"),
         )
     )
-    posts = F.slice("pairs", 1, COORDINATES - MATCHES + 1)
-    return ranked.select("rep", "weight", F.explode(F.filter(posts, lambda p: p["held"] > 1)).alias("p")).select(
-        "rep", "weight", "p.at", "p.value", "p.held"
-    )
-
-
-def _compare(percent: int):
-    """Pairs of different components within each run of equal (at, value, left, right), sorted by those."""
-
-    def pairs_of(group, block, left, right, comp, n, signatures):
-        out_a, out_b = [], []
-        size = len(group)
+    posts = F.filter(F.slice("pairs", 1, COORDINATES - matches + 1), lambda p: p["held"] > 1)
+    mask = F.aggregate("posts", F.lit(0).cast("long"), lambda sum_, p: sum_ + F.pow(F.lit(2), p["at"]).cast("long"))
+    return ranked.select("rep", "weight", posts.alias("posts")).select(
+        "rep", "weight", mask.cast("int").alias("mask"), F.explode("posts").alias("p")
+    ).select("rep", "weight", "mask", "p.at", "p.value")
+
+
+_LIST = ("at", "value", "left", "right")
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that no list's rows are torn apart."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None and len(kept) else t
+        if not len(t):
+            continue
+        same = np.all([t[c].to_numpy() == t[c][len(t) - 1].as_py() for c in _LIST], axis=0)
+        cut = 0 if same.all() else len(t) - int(same[::-1].argmin())
+        kept = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if kept is not None and len(kept):
+        yield kept
+
+
+class _Lists:
+    """The columns of some whole lists as arrays, and the pairs to compare in them."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        t = t.combine_chunks()
+        names = (*_LIST, "block", "comp", "n", "rep", "mask")
+        self.col = {c: t[c].to_numpy() for c in names}
+        new = np.ones(len(t), bool)
+        new[1:] = np.any([self.col[c][1:] != self.col[c][:-1] for c in _LIST], axis=0)
+        self.group = np.cumsum(new) - 1
+        flat = t["signature"].combine_chunks()
+        flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.chunked_array(flat).combine_chunks().flatten()
+        self.signatures = flat.to_numpy().reshape(-1, COORDINATES)
+        self.percent, self.matches = percent, match_threshold(percent)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i, j) of pairs of different components that may be linked and meet in no earlier list."""
+        c, size = self.col, len(self.group)
+        bits = 1 << np.arange(COORDINATES)
         alive = np.arange(size)
         for step in range(1, size):
-            alive = alive[(alive + step < size)]
-            alive = alive[group[alive] == group[alive + step]]
+            alive = alive[alive + step < size]
+            alive = alive[self.group[alive] == self.group[alive + step]]
             if not len(alive):
-                break
+                return
             i, j = alive, alive + step
-            ok = comp[i] != comp[j]
+            ok = c["comp"][i] != c["comp"][j]
             # two different blocks meet here only to be compared with each other
-            ok &= (left[i] == right[i]) | (block[i] != block[j])
-            ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            ok &= (c["left"][i] == c["right"][i]) | (c["block"][i] != c["block"][j])
+            ok &= np.minimum(c["n"][i], c["n"][j]) * 100 >= np.maximum(c["n"][i], c["n"][j]) * self.percent
             i, j = i[ok], j[ok]
-            ok = (signatures[i] == signatures[j]).sum(axis=1) >= MATCHES
-            out_a.append(i[ok])
-            out_b.append(j[ok])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+            same = self.signatures[i] == self.signatures[j]
+            posted = same & ((c["mask"][i] & c["mask"][j])[:, None] & bits != 0)
+            ok = (same.sum(axis=1) >= self.matches) & (posted.argmax(axis=1) == c["at"][i])
+            if ok.any():
+                yield i[ok], j[ok]
+
+
+def _partners(percent: int):
+    """Which members of a list have anything to be compared with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            col = {c: t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("at", "value", "left", "right", "block", "comp", "n", "rep")}
-            new = np.ones(len(t), bool)
-            if len(t) > 1:
-                new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("at", "value", "left", "right")], axis=0)
-            signatures = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            i, j = pairs_of(np.cumsum(new), col["block"], col["left"], col["right"], col["comp"], col["n"], signatures)
-            a, b = np.minimum(col["rep"][i], col["rep"][j]), np.maximum(col["rep"][i], col["rep"][j])
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
+        for t in _whole_lists(batches):
+            lists = _Lists(t, percent)
+            named = np.zeros(len(t), bool)
+            for i, j in lists.pairs():
+                named[i] = named[j] = True
+            yield from t.filter(pa.array(named)).combine_chunks().to_batches()
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            if not len(t):
+    return run
+
+
+def _bit_sets(shingles: pa.ChunkedArray) -> list[int]:
+    """The sets as integers with a bit for each shingle that more than one of them holds."""
+    sets = [x.values.to_numpy() for x in shingles]
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    # a shingle of one member alone is in no intersection
+    often = np.bincount(at, minlength=len(values)) > 1
+    place = np.cumsum(often) - 1
+    out, low = [], 0
+    for held in sets:
+        mine = at[low : low + len(held)]
+        low += len(held)
+        bits = np.zeros(int(often.sum()), np.uint8)
+        bits[place[mine[often[mine]]]] = 1
+        out.append(int.from_bytes(np.packbits(bits).tobytes()))
+    return out
+
+
+def _links_in_list(t: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of one list; pairs that are connected by then are passed over."""
+    one = _Lists(t, percent)
+    reps, comps, sizes = (one.col[c].tolist() for c in ("rep", "comp", "n"))
+    sets = _bit_sets(t["shingles"])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for i, j in one.pairs():
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = root(comps[a]), root(comps[b])
+            if x == y:
                 continue
-            last = [t[c][len(t) - 1].as_py() for c in ("at", "value", "left", "right")]
-            same = np.all([t[c].to_numpy() == x for c, x in zip(("at", "value", "left", "right"), last, strict=True)], axis=0)
-            cut = len(t) - int(same[::-1].argmin() if not same.all() else len(t))
-            kept = t.slice(cut)
-            if cut:
-                yield flush(t.slice(0, cut))
-        if kept is not None and len(kept):
-            yield flush(kept)
+            shared = (sets[a] & sets[b]).bit_count()
+            if shared * 100 >= (sizes[a] + sizes[b] - shared) * percent:
+                parent[max(x, y)] = min(x, y)
+                out.append((min(reps[a], reps[b]), max(reps[a], reps[b])))
+    return out
+
+
+def _links_within(percent: int):
+    """Confirm on full sets, list after list, so that memory is bounded by a list's block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            keys = np.stack([t[c].to_numpy() for c in _LIST])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
+            out = [x for low, high in zip(cuts, cuts[1:], strict=False) for x in _links_in_list(t.slice(low, high - low), percent)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
+            )
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = saved(wanted.join(classes.select("rep", "key"), "rep"), "wanted")
+def _full_sets(reps: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of the representatives named in ``reps``."""
+    wanted = saved(reps.select("rep").distinct().join(classes.select("rep", "key"), "rep"), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("hash")), "hash", BITS))
     rep = F.col("doc_id").cast("long")
     found = docs.filter(rep.isNotNull()).select(
@@ -203,7 +293,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     )
     # the bitmap lets through all wanted rows and few others; the join decides
     found = found.mapInArrow(_sets(width, bits), "rep bigint, key binary, shingles array<bigint>")
-    sets = saved(wanted.join(found, ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "shingles"), "sets")
+    return saved(wanted.join(found, ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "shingles"), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets are similar enough."""
+    named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    sets = _full_sets(named, docs, classes, width)
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("other"))
     shared = F.size(F.array_intersect("one", "other"))
@@ -250,7 +346,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     # one doc_id on rows with different texts: its classes are one node
     nodes = classes.select(F.col("rep").alias("node")).distinct()
-    posts = saved(_prefixes(classes), "posts")
+    matches = match_threshold(percent)
+    posts = saved(_prefixes(classes, matches), "posts")
 
     # stars around the class that is most like the rest of a list
     hubs = posts.groupBy("at", "value").agg(
@@ -267,7 +364,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .join(theirs, "hub")
         .filter(_sizes_fit("n", "hub_n", percent))
         .select("rep", "hub", _collisions("signature", "hub_signature").alias("same"))
-        .filter(F.col("same") >= MATCHES)
+        .filter(F.col("same") >= matches)
         .groupBy("rep")
         .agg(F.max(F.struct("same", "hub")).alias("best"))
         .select(F.col("rep").alias("a"), F.col("best.hub").alias("b"))
@@ -276,23 +373,33 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = saved(components(nodes, stars).withColumnRenamed("node", "rep"), "components")
 
     # lists with members of several components
-    labelled = posts.join(first, "rep")
+    labelled = posts.join(first, "rep").join(facts, "rep")
     open_lists = (
         labelled.groupBy("at", "value")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
         .filter("low <> high")
-        .select("at", "value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        .select("at", "value", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
     dealt = (
         labelled.join(open_lists, ["at", "value"])
-        .join(facts, "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("at", "value", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "comp", "n", "rep", "signature")
+        .select(
+            "at", "value", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"),
+            "block", "comp", "n", "rep", "mask", "signature",
+        )
+    )
+    row = "at int, value int, left int, right int, block int, comp bigint, n bigint, rep bigint, mask int, signature array<int>"
+    partners = dealt.repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(_partners(percent), row)
+    partners = saved(partners, "partners")
+    sets = _full_sets(partners, docs, classes, width)
+    compared = partners.join(sets, "rep").select(*partners.columns, "shingles")
+    rest = (
+        compared.repartition(*_LIST)
+        .sortWithinPartitions(*_LIST)
+        .mapInArrow(_links_within(percent), "a bigint, b bigint")
     )
-    key = ["at", "value", "left", "right"]
-    across = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(percent), "a bigint, b bigint")
-    rest = _confirm(saved(across.distinct(), "pairs"), docs, classes, width, percent)
+    rest = saved(rest, "links")
 
     parts = saved(components(nodes, stars.union(rest)).withColumnRenamed("node", "rep"), "components")
     by_class = classes.select("key", "rep").join(parts, "rep").select("key", F.col("comp").alias("component_id"))
