@@ -69,7 +69,8 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> set[str]:
     """The most frequent lower-case words; at most ``size`` of them reach the driver."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word string, n bigint")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return {r.word for r in top.collect()}
+    # written first: the driver then gets ``size`` words, not so many from every task
+    return {r.word for r in saved(top, "dictionary").collect()}
 
 
 def coverage(value: str, words: set[str]) -> float:
