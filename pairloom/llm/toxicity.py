@@ -348,9 +348,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         .filter(F.col("p") > base * 2)
         .orderBy(F.desc("p"), F.desc("t"), "form")
         .limit(lexicon)
-        .collect()
     )
-    model.counts = {r.form: (r.t, r.n) for r in strongest}
+    # written first: the driver then gets ``lexicon`` rows, not so many from every task
+    model.counts = {r.form: (r.t, r.n) for r in saved(strongest, "lexicon").collect()}
     seen = texts.mapInArrow(_left_out(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toArrow()
     x = np.array(seen["x"].to_pylist(), float).reshape(len(seen), -1)
     model.weights = logistic(x, seen["toxic"].to_numpy().astype(float)).tolist()
