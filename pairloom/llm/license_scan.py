@@ -4,7 +4,7 @@ A paragraph is a line. Its features are the word 1- to 3-grams that occur in the
 license templates; a softmax regression over them tells the families and the class
 ``unknown`` apart. It is trained on the templates, on copies of them with words lost or
 added (seeded), and on a bounded sample of the corpus' own paragraphs as ``unknown``
-(SAMPLE_DOCS documents, smallest hash first). Its probabilities are calibrated: a
+(SAMPLE different paragraphs, smallest hash first). Its probabilities are calibrated: a
 temperature is fitted on a part kept out of training, and what stays below
 LEAST_CHANCE is unknown.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-SAMPLE_DOCS, CONFIRM, LEAST_CHANCE = 500, 0.6, 0.5
+SAMPLE, CONFIRM, LEAST_CHANCE = 1000, 0.6, 0.5
 UNKNOWN = "unknown"
 
 #: Notices by family: fixed values.
@@ -158,15 +158,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """Fit on the templates and on paragraphs of a bounded sample of the documents."""
-    chosen = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
+    """Fit on the templates and on a bounded sample of the documents' paragraphs."""
+    hashed = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line"))
+    hashed = hashed.select("line", F.xxhash64("line").alias("hash"))
+    # the hashes alone are ranked; of the texts only the chosen ones are moved
+    last = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash").alias("last")).first().last
+    chosen = [] if last is None else [r.line for r in hashed.filter(F.col("hash") <= last).select("line").distinct().collect()]
     templates = Templates()
-    # of each document's first lines a few are enough to know what ordinary text is like
-    sample = [line[:2000] for r in chosen.select(F.slice(F.split("text", "\n"), 1, 4).alias("lines")).collect() for line in r.lines]
-    unknown = [line for line in sample if templates.best(pairs(words_of(line))) < CONFIRM]
-    return Classifier(examples(sorted(unknown)))
+    return Classifier(examples(sorted(x for x in chosen if templates.best(pairs(words_of(x))) < CONFIRM)))
 
 
 def _find(classifier):
