@@ -170,7 +170,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(rules, host, path).alias("rule")), "judged"
     )
     hosts = saved(host_facts(judged, rules), "hosts")
-    ranks = host_ranks(hosts, host_edges(pages, hosts))
+    # both directions and their degrees use the edges: the pages are read for them once
+    ranks = host_ranks(hosts, saved(host_edges(pages, hosts), "edges"))
     # copies of each host's row, so that the pages of one host are spread; pages choose by their id and path
     copies = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1))))
     spread = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(PAGE_SALTS)).cast("int"))
