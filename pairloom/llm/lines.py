@@ -15,8 +15,15 @@ Counting moves hashes only (128 bits a chunk) and adds up before the shuffle; te
 repeated chunks alone are moved for the comparison, joined with the one first chunk
 of their hash, which Spark can split however many repetitions there are.
 
-``clean`` rewrites documents: a document of which nothing is left goes, the others keep
-their columns with the remaining text (and its length, where there is an ``n_chars``).
+A repeated passage between other neighbours holds such chunks only if two boundaries lie
+inside it; ``repeated_runs`` needs none. It looks up every pair of consecutive lines
+(pairs of blank lines aside), joins it with its first place, and extends hits to the
+longest run of lines that is equal there, which is compared by bytes. The lines of all
+such runs are removed; a run that starts one line after its own first place stays.
+
+``clean`` rewrites documents by ``repeated_runs``: a document of which nothing, or blank
+lines alone, is left goes, the others keep their columns with the remaining text (and its
+length, where there is an ``n_chars``).
 
 Null texts stay null, an empty text is one empty line, rows without doc_id sort
 first. Rows that agree in doc_id and text are repeated rows and share the decision.
@@ -25,7 +32,7 @@ Other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.llm.common import row_key, saved
 
@@ -102,11 +109,70 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return same.select("_id", "_text_hash", "first", "size")
 
 
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """_id, _text_hash, first, size of every longest run of two or more lines that an earlier place holds too."""
+    keyed = docs.select(*row_key(docs), "text").filter(F.col("text").isNotNull())
+    lined = keyed.withColumn("_lines", F.split("text", "\n", -1))
+    pairs = F.transform(
+        F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0))),
+        lambda line, i: F.concat(line, F.lit("\n"), F.get("_lines", i + 1)),
+    )
+    posts = saved(
+        lined.select("_id", "_text_hash", F.posexplode(pairs).alias("_at", "_pair"))
+        .filter(F.col("_pair").rlike("[^ \\t-\\r]"))
+        .select("_id", "_text_hash", (F.col("_at") + 1).alias("first"), F.unhex(F.md5("_pair")).alias("key")),
+        "pairs",
+    )
+    place = F.struct("_id", "first", "_text_hash")
+    firsts = posts.groupBy("key").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    own = (F.col("kept._id") == F.col("_id")) & (F.col("kept._text_hash") == F.col("_text_hash"))
+    hits = (
+        posts.join(firsts, "key")
+        .withColumn("back", F.col("first") - F.col("kept.first"))
+        .filter(~(own & (F.col("back") < 2)))
+        .select("_id", "_text_hash", "first", F.col("kept._id").alias("kept_id"), F.col("kept._text_hash").alias("kept_hash"), "back")
+        .repartition("_id", "_text_hash")
+        .dropDuplicates(["_id", "_text_hash", "first"])  # repeated rows
+    )
+    # neighbouring pairs whose first places are neighbours too are one run
+    row = Window.partitionBy("_id", "_text_hash").orderBy("kept_id", "kept_hash", "back", "first")
+    near = [F.lag(c).over(row) == F.col(c) for c in ("kept_id", "kept_hash", "back")] + [F.lag("first").over(row) == F.col("first") - 1]
+    goes_on = F.coalesce(near[0] & near[1] & near[2] & near[3], F.lit(False))
+    runs = (
+        hits.withColumn("starts", (~goes_on).cast("int"))
+        .withColumn("run", F.sum("starts").over(row))
+        .groupBy("_id", "_text_hash", "run")
+        .agg(F.min("first").alias("first"), (F.count(F.lit(1)) + 1).cast("int").alias("size"), *(F.first(c).alias(c) for c in ("kept_id", "kept_hash", "back")))
+        .drop("run")
+    )
+    runs = saved(runs, "runs")
+    source = [F.col("kept_id"), F.col("kept_hash"), (F.col("first") - F.col("back")).alias("at"), F.col("size")]
+
+    def with_bytes(spans: DataFrame, id_: str, hash_: str, first: str) -> DataFrame:
+        rest = [c for c in spans.columns if c not in (id_, hash_)]
+        held = spans.groupBy(F.col(id_).alias("_id"), F.col(hash_).alias("_text_hash")).agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+        return (
+            lined.join(held, ["_id", "_text_hash"])
+            .withColumn("_span", F.explode("_spans"))
+            .select(F.col("_id").alias(id_), F.col("_text_hash").alias(hash_), "_span.*", _text_of(F.col(f"_span.{first}"), F.col("_span.size")).alias("bytes"))
+        )
+
+    kept = with_bytes(runs.select(*source).distinct(), "kept_id", "kept_hash", "at").withColumnRenamed("bytes", "kept_bytes")
+    # written first: a run that very many rows hold is then a plain join, which Spark can split
+    kept = saved(kept.dropDuplicates(["kept_id", "kept_hash", "at", "size"]), "kept")
+    later = with_bytes(runs.withColumn("at", F.col("first") - F.col("back")), "_id", "_text_hash", "first")
+    same = later.join(kept, ["kept_id", "kept_hash", "at", "size"]).filter(F.col("bytes") == F.col("kept_bytes"))
+    return same.select("_id", "_text_hash", "first", "size")
+
+
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """The documents with later copies of multi-line chunks removed, plus n_lines and n_removed (lines)."""
+    return _without(docs, repeated_chunks(docs))
+
+
+def _without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     gone = (
-        repeated_chunks(docs)
-        .groupBy("_id", "_text_hash")
+        spans.groupBy("_id", "_text_hash")
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("size") - 1)))).alias("_gone"))
     )
     joined = docs.withColumns(dict(zip(("_id", "_text_hash"), row_key(docs), strict=True))).join(
@@ -126,7 +192,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left go."""
-    out = remove_repeated(docs).filter(~((F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))))
+    out = _without(docs, repeated_runs(docs)).filter(~((F.col("_n_removed") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -138,6 +138,38 @@ def test_repeated_chunks_go_but_the_first(spark):
     assert lines.clean(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def plain_left(rows):
+    """What stays when every pair of lines that an earlier place holds goes (a pair that overlaps its first place stays)."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        held = text.split("\n")
+        gone = set()
+        for at in range(len(held) - 1):
+            if not "".join(held[at : at + 2]).strip():
+                continue
+            kept = first.setdefault((held[at], held[at + 1]), (i, at))
+            if kept != (i, at) and kept != (i, at - 1):
+                gone |= {at, at + 1}
+        out[i] = "\n".join(x for at, x in enumerate(held) if at not in gone)
+    return out
+
+
+def test_repeated_runs_of_any_length_go(spark):
+    rng = random.Random(12)
+    rows, passages = [], [[words(rng, 7) for _ in range(size)] for size in range(2, 13)]
+    for n in range(3):
+        for k, passage in enumerate(passages):
+            before, after = ([words(rng, 6) for _ in range(rng.randrange(1, 5))] for _ in range(2))
+            rows.append((100 * n + k, "\n".join(before + passage + after)))
+    rows += [(500, "p\nq\np\nq\np"), (501, "same\n" * 5), (502, "one\n\n\ntwo"), (503, "three\n\n\nfour"), (504, "one\n\n\ntwo"), (505, "alone"), (506, "alone")]
+    got = {r.doc_id: r.text for r in lines.clean(docs(spark, [*rows, (507, None), rows[20]])).collect()}
+    for k, passage in enumerate(passages):
+        assert "\n".join(passage) in got[k]
+        assert not any(x in got[n + k] for x in passage for n in (100, 200)), len(passage)
+    expect = {i: t for i, t in plain_left(rows).items() if i != 504}
+    assert got == expect | {507: None}
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
