@@ -4,8 +4,10 @@
    for everything between words) are counted over all documents, added up in Spark;
    at most CLASSES**3 sums reach the driver, whatever the input.
 2. Deobfuscation: spans that may hide a word (letters mixed with look-alike signs,
-   letters one by one with blanks or signs between, one letter three times or more)
-   become lattices: what each character may stand for, with the cost of the channel.
+   three or more letters or look-alikes, one letter at least, one by one with anything but
+   letters and digits between, one letter three times or more) become lattices: what each character may
+   stand for, with the cost of the channel; letters one by one are joined unless the
+   model finds them cheaper as they are written.
    Viterbi decoding finds the cheapest reading under the language model; every other
    span has a single reading, itself. The decoded spans replace the written ones.
 3. Evidence: among a bounded sample of the given labels (SAMPLE rows, smallest hash of
@@ -29,6 +31,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +120,7 @@ def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
             letters = LOOK_ALIKES[char]
             options = [(x, _SIGN + math.log(len(letters))) for x in letters]
             options += [(x + x, _SIGN + math.log(len(letters)) + _TWICE) for x in letters if size > 1]
-            options.append((" ", _AS_WRITTEN))
+            options.append((" ", _SPACED if spaced and char == "!" and run.end() == len(span) else _AS_WRITTEN))
         elif char.isalpha():
             options = [(char * size, 0.0)] if size < 3 else [(char, _ONCE), (char * 2, _TWICE)]
         elif spaced:
@@ -129,7 +132,12 @@ def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 
 def decode(options: list[list[tuple[str, float]]], costs: list[list[list[float]]]) -> str:
-    """The cheapest path through a lattice under the language model (Viterbi over the last two classes)."""
+    """The cheapest path through a lattice under the language model."""
+    return cheapest(options, costs)[1]
+
+
+def cheapest(options: list[list[tuple[str, float]]], costs: list[list[list[float]]]) -> tuple[float, str]:
+    """Cost and text of that path (Viterbi over the last two classes)."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*options, [(" ", 0.0)]]:
         further: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -147,12 +155,12 @@ def decode(options: list[list[tuple[str, float]]], costs: list[list[list[float]]
                 if held is None or total < held[0]:
                     further[two, one] = (total, (text, path))
         best = further
-    _, path = min(best.values(), key=lambda x: x[0])
+    total, path = min(best.values(), key=lambda x: x[0])
     parts = []
     while path is not None:
         parts.append(path[0])
         path = path[1]
-    return "".join(reversed(parts)).strip()
+    return total, "".join(reversed(parts)).strip()
 
 
 class _Classes(dict):
@@ -168,12 +176,25 @@ _INNER = re.compile(r"[^\W\d_]!+[^\W\d_]")
 _TOKEN = re.compile(r"(?<!\S)\S*[0134578@$|+!]\S*")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _RUNS = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-_ONE_BY_ONE = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*|/][^\W_]){3,}(?![^\s.,;:!?])")
+_LOOKS = "".join(re.escape(c) for c in LOOK_ALIKES if not c.isalnum())
+#: Letters, digits and look-alikes of which no two letters or digits touch; a look-alike after the last letter needs something before it.
+_ONE_BY_ONE = re.compile(rf"(?<!\S)(?:[^\W_]|[{_LOOKS}])(?:[\W_]++[^\W_])*(?:(?:(?![{_LOOKS}])[\W_])++[{_LOOKS}])*(?![^\s.,;:!?])")
+_ONE = re.compile(r"[^\W_]")
 _DECORATION = re.compile(r"^(?:[^\w@$+|!]|([@$+|!])\1\1)+|(?:[^\w@$+|]|([@$+|])\2\2)+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
+def units(span: str) -> list[str]:
+    """What stands one by one in a span: letters, digits, look-alikes.
+
+    A look-alike that stands between all letters is no letter itself (k|i|l|l).
+    """
+    gaps = [set(x) for x in _ONE.split(span)[1:-1]]
+    between = set.intersection(*gaps) if len(gaps) > 1 else set()
+    return "".join(c if c.isalnum() or (c in LOOK_ALIKES and c not in between) else " " for c in span).split()
+
+
 class Restorer:
     """Replaces what may hide a word by its decoded reading."""
 
@@ -186,9 +207,16 @@ class Restorer:
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[key] = decode(lattice(span, spaced), self.costs)
+            self.known[key] = self._joined(span) if spaced else decode(lattice(span, False), self.costs)
         return self.known[key]
 
+    def _joined(self, span: str) -> str:
+        """Letters with one blank between any two: joined, or as they are where that is cheaper."""
+        joined = lattice(span, True)
+        kept = [[(" ", 0.0)] if options == [("", _SPACED)] else options for options in joined]
+        (cost, text), (cost_kept, text_kept) = cheapest(joined, self.costs), cheapest(kept, self.costs)
+        return text if cost <= cost_kept else text_kept
+
     def _token(self, found: re.Match) -> str:
         token = found.group()
         core = _DECORATION.sub("", token)
@@ -196,10 +224,20 @@ class Restorer:
             return token
         return token.replace(core, f" {self._decoded(core, False)} ", 1)
 
+    def _spaced(self, found: re.Match) -> str:
+        span = found.group()
+        if not _LETTER.search(span):
+            return span
+        out, decoded = [], False
+        for single, parts in groupby(units(span), lambda x: len(set(x)) == 1):
+            held = list(parts)
+            if single and len(held) > 2:
+                held, decoded = [self._decoded(" ".join(held), True)], True
+            out += held
+        return " ".join(out) if decoded else span
+
     def restored(self, text: str) -> str:
-        text = text.lower()
-        if _ONE_BY_ONE.search(text):
-            text = _ONE_BY_ONE.sub(lambda m: self._decoded(m.group(), True) if _LETTER.search(m.group()) else m.group(), text)
+        text = _ONE_BY_ONE.sub(self._spaced, text.lower())
         if _SIGNS.search(text) or ("!" in text and _INNER.search(text)):
             text = _TOKEN.sub(self._token, text)
         if _RUN.search(text):

@@ -319,6 +319,23 @@ def test_hidden_words_are_found(spark, model):
     assert max(got[i] for i in (100, 101, 102, 103)) < toxicity.CUT and got[101] == got[102]
 
 
+def test_letters_one_by_one_with_any_sign(spark, model):
+    restorer = toxicity.Restorer(model[2].costs)
+    spellings = {
+        "shit": ["s h ! t", "$ h i t", "s|h|!|t"], "ass": ["a s s", "@ s $", "a.$.$"], "asshole": ["a $ $ h o l e"],
+        "kill": ["k i l l", "k  i  l  l", "k~i~l~l", "k | i | l | l", "k / i - l _ l", "k\ni\nl\nl", "k i 1 +5 k i l l", "k i l l !"],
+    }
+    for word, held in spellings.items():
+        assert [x for x in held if word not in restorer.words(f"the of {x} and in")] == []
+    # no word where the written reading is cheaper, nor where a letter has signs of its own
+    for text in ("a, a, a, a", "ß$$$ ö", "è +1 x", "1, 2, 3", "a +b"):
+        assert restorer.words(text) == set()
+    hidden = ["$ t u p ! d", "m~o~r~o~n", "i  d  i  o  t", "i | d | ! | o | t"]
+    clean = "the of and in that onwhin erthe ndthe is re. thonre atthe inth"
+    got = toxicity.scored(docs(spark, [(i, f"{clean} {x} {clean} {x}") for i, x in enumerate(hidden)]), model[2]).collect()
+    assert [hidden[r.doc_id] for r in got if r._score < toxicity.CUT] == []
+
+
 def test_plain_text_is_left_alone(model):
     restorer = toxicity.Restorer(model[2].costs)
     for text in ("The cat sat, 2 times, on 10.2.3.4!", "a b", "Of%%% athe*** the&&& ernt$$$", "4737920719175045", ""):
