@@ -1,10 +1,15 @@
 """License scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line. Its features are the word 1- to 3-grams that occur in the
-license templates; a softmax regression over them tells the families and the class
+A paragraph is a line, or a join of neighbouring lines that hold words, as notices are
+wrapped: where no line of it is a finding by itself, the first and shortest join that is
+one counts, with the lines after it that add to its template, and is reported by its
+first line. A join goes back until it has REACH words before its last line, and takes REACH
+words of a longer line, from the end that it meets (signs, as of comments, are no words).
+Its features are the word 1- to 3-grams that occur in the license templates; a softmax regression over them tells the families and the class
 ``unknown`` apart. It is trained on the templates, on copies of them with words lost or
 added (seeded), and on a bounded sample of the corpus' own paragraphs as ``unknown``
-(SAMPLE different paragraphs, smallest hash first). Its probabilities are calibrated: a
+(SAMPLE different lines, smallest hash first, none with PART word pairs of a template,
+as parts of wrapped notices have). Its probabilities are calibrated: a
 temperature is fitted on a part kept out of training, and what stays below
 LEAST_CHANCE is unknown.
 
@@ -28,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 SAMPLE, CONFIRM, LEAST_CHANCE = 1000, 0.6, 0.5
+#: Words of a join before its last line, far more than any template has; word pairs of one template by which a line may be part of a notice.
+REACH, PART = 100, 4
 UNKNOWN = "unknown"
 
 #: Notices by family: fixed values.
@@ -99,6 +106,10 @@ class Templates:
     def best(self, found: set[tuple[str, str]]) -> float:
         return max(self.similarity(family, found) for family in self.pairs)
 
+    def unlike(self, found: set[tuple[str, str]]) -> bool:
+        """Neither a notice nor part of one."""
+        return self.best(found) < CONFIRM and max(len(p & found) for held in self.pairs.values() for p in held) < PART
+
 
 def examples(unknown: list[str], seed: int = 3) -> list[tuple[list[str], str]]:
     """Training paragraphs as words, with their family."""
@@ -166,7 +177,60 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     last = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash").alias("last")).first().last
     chosen = [] if last is None else [r.line for r in hashed.filter(F.col("hash") <= last).select("line").distinct().collect()]
     templates = Templates()
-    return Classifier(examples(sorted(x for x in chosen if templates.best(pairs(words_of(x))) < CONFIRM)))
+    return Classifier(examples(sorted(x for x in chosen if templates.unlike(pairs(words_of(x))))))
+
+
+def _judged(words: list[str], model: Classifier, templates: Templates) -> tuple[str, float, float] | None:
+    """Family, chance and similarity of a paragraph that is a finding."""
+    found = templates.any_pair & pairs(words)
+    if not found or templates.best(found) < CONFIRM:
+        return None
+    family, chance = model.predict(words)
+    similarity = templates.similarity(family, found)
+    return (family, chance, similarity) if similarity >= CONFIRM else None
+
+
+def _joined(lines: list[tuple[int, list[str]]], model: Classifier, templates: Templates) -> Iterator[tuple[int, str, float, float]]:
+    """Findings among the joins of neighbouring lines (number, words) of which none is a finding itself."""
+    if len(lines) < 2 or templates.best(templates.any_pair & pairs([w for _, words in lines for w in words])) < CONFIRM:
+        return
+    floor = end = 0
+    while end < len(lines):
+        held, start, judged, before = lines[end][1][:REACH], end, None, 0
+        while start > floor and judged is None and before < REACH:
+            start -= 1
+            held = lines[start][1][-REACH:] + held
+            before += len(lines[start][1])
+            judged = _judged(held, model, templates)
+        end += 1
+        if judged is None:
+            continue
+        while end < len(lines):
+            longer = held + lines[end][1][:REACH]
+            more = _judged(longer, model, templates)
+            if more is None or more[0] != judged[0] or more[2] <= judged[2]:
+                break
+            held, judged, end = longer, more, end + 1
+        yield lines[start][0], *judged
+        floor = end
+
+
+def notices(text: str, model: Classifier, templates: Templates) -> list[tuple[int, str, float, float]]:
+    """Line (from 0), family, chance and similarity of every finding of a text."""
+    if not templates.any_pair & pairs(words_of(text)):
+        return []
+    out, block = [], []
+    for number, line in enumerate([*text.split("\n"), ""]):
+        words = words_of(line)
+        alone = _judged(words, model, templates) if len(templates.any_word.intersection(words)) > 1 else None
+        if words and alone is None:
+            block.append((number, words))
+            continue
+        out += _joined(block, model, templates)
+        block = []
+        if alone is not None:
+            out.append((number, *alone))
+    return out
 
 
 def _find(classifier):
@@ -177,18 +241,9 @@ def _find(classifier):
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for number, line in enumerate((text or "").split("\n")):
-                    words = words_of(line)
-                    if len(templates.any_word.intersection(words)) < 2:
-                        continue
-                    found = templates.any_pair & pairs(words)
-                    if not found:
-                        continue
-                    family, chance = model.predict(words)
-                    similarity = templates.similarity(family, found)
-                    if similarity >= CONFIRM:
-                        for column, cell in zip(out, (doc_id, number, family, chance, similarity), strict=True):
-                            column.append(cell)
+                for found in notices(text or "", model, templates):
+                    for column, cell in zip(out, (doc_id, *found), strict=True):
+                        column.append(cell)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return run
