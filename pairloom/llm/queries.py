@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm import (
-    chat, decontaminate, license_scan, lines, link_trust, near, neighbours, pieces, secrets_scan, sql, toxicity,
+    chat, decontaminate, license_scan, lines, link_trust, near, neighbours, pieces, prefix_trie, secrets_scan, sql,
+    toxicity,
 )
 from pairloom.llm.common import table
 
@@ -91,6 +92,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_near_dedup": op10_near_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -110,4 +116,5 @@ ORACLE = {
     "op6_line_dedup": sql.LINES,
     "op8_decontamination": sql.DECONTAMINATION,
     "op10_near_dedup": sql.NEAR,
+    "op13_prefix_trie": sql.TRIE,
 }

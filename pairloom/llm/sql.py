@@ -178,3 +178,38 @@ SELECT j.page_id, j.host, j.path, j.rule, CASE
   WHEN r.distrust > ({threshold} + 1e-9) * (r.trust + r.distrust) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged j LEFT JOIN ranks r ON j.host = r.host""")
     return ",\n".join(parts)
+
+# crc32 by its bits: the polynomial of zlib, one byte of the decimal id after the other
+TRIE = r"""
+WITH spoken AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id AS c FROM spoken), taken AS (
+  SELECT c, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))
+  )) % 9 AS h FROM ids
+), placed AS (
+  SELECT c, 0 AS part, pos, role, text FROM taken JOIN spoken ON conv_id = c - c % 5 AND pos <= h
+  UNION ALL SELECT c, 1, pos, role, text FROM taken JOIN spoken ON conv_id = c AND pos > h
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM placed),
+keyed AS (
+  SELECT c, d, strlen(text) AS bytes, md5(string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d)) AS key
+  FROM numbered
+), members AS (SELECT c, 0 AS d, 0 AS bytes, 'root' AS key FROM ids UNION ALL SELECT * FROM keyed),
+linked AS (
+  SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS above, d = max(d) OVER (PARTITION BY c) AS ends FROM members
+), nodes AS (
+  SELECT key, any_value(above) AS above, any_value(d) AS d, min(c) AS least, count(*) AS n, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY key
+), kids AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (
+  SELECT m.key, sum((w.n - 1) * w.bytes) AS saved, count(*) FILTER (WHERE k.key IS NULL) AS n_leaves
+  FROM nodes w JOIN members m ON m.c = w.least AND m.d <= w.d LEFT JOIN kids k ON k.key = w.key GROUP BY m.key
+)
+SELECT v.least AS conv_id, v.d AS depth, p.least AS parent_conv_id, v.n AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v LEFT JOIN nodes p ON p.key = v.above LEFT JOIN kids k ON k.key = v.key JOIN below b ON b.key = v.key
+"""
