@@ -19,6 +19,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``saved``, with the folder, for tables that go once their successor is written."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``written`` made."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[Column]:
     """Two null-free columns that tell rows apart: id and hash of the text.
 

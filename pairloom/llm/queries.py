@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm import (
-    chat, decontaminate, license_scan, lines, link_trust, near, neighbours, pieces, prefix_trie, secrets_scan, sql,
-    toxicity,
+    centroids, chat, decontaminate, license_scan, lines, link_trust, near, neighbours, pieces, prefix_trie, secrets_scan, sql,
+    suffix_groups, toxicity,
 )
 from pairloom.llm.common import table
 
@@ -92,6 +92,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
@@ -107,6 +115,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_near_dedup": op10_near_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_centroids": op12_centroids,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -116,5 +126,7 @@ ORACLE = {
     "op6_line_dedup": sql.LINES,
     "op8_decontamination": sql.DECONTAMINATION,
     "op10_near_dedup": sql.NEAR,
+    "op11_suffix_dedup": sql.REPEATS,
+    "op12_centroids": sql.clusters(),
     "op13_prefix_trie": sql.TRIE,
 }

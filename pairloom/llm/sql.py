@@ -213,3 +213,62 @@ SELECT v.least AS conv_id, v.d AS depth, p.least AS parent_conv_id, v.n AS n_con
   n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
 FROM nodes v LEFT JOIN nodes p ON p.key = v.above LEFT JOIN kids k ON k.key = v.key JOIN below b ON b.key = v.key
 """
+
+
+def clusters(k: int = 40, n_rounds: int = 5, seed: int = 2) -> str:
+    """Plain rounds: every distance in every round."""
+    steps = [
+        f"""
+vecs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS j, v AS c FROM vecs
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) <= {k}
+)"""
+    ]
+    for t in range(n_rounds + 1):
+        steps.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT r, vec_id, v, j, d FROM (
+    SELECT r, vec_id, v, j, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM vecs, c{t}
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1
+)""")
+        if t < n_rounds:
+            steps.append(f"""
+m{t} AS (
+  SELECT j, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{t}) GROUP BY j, i) GROUP BY j
+), c{t + 1} AS MATERIALIZED (SELECT c{t}.j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} ON m{t}.j = c{t}.j)""")
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{n_rounds} a JOIN c{n_rounds} c ON c.j = a.j
+"""
+
+REPEATS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), cuts AS (  -- short pieces, since substr reads a string from its start
+  SELECT r, doc_id, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT), 200)) AS low, h FROM docs WHERE length(h) >= 100
+), pieces AS (SELECT r, doc_id, low, substr(h, CAST(2 * low + 1 AS BIGINT), 498) AS h FROM cuts),
+starts AS (SELECT r, doc_id, low, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT))) AS p, h FROM pieces),
+strings AS (
+  SELECT r, doc_id, low + p AS p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM starts
+), least AS (SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING count(*) > 1),
+hit AS (
+  SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50, true) AS fresh FROM strings JOIN least USING (s) WHERE least < doc_id
+), spans AS (
+  SELECT r, span, min(p) AS low, max(p) + 50 AS high
+  FROM (SELECT r, p, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY p) AS span FROM hit) GROUP BY r, span
+), gaps AS (
+  SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL SELECT r, max(high), 1000000000 FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, CAST(2 * low + 1 AS BIGINT), CAST(2 * (gaps.high - low) AS BIGINT)), '' ORDER BY low) AS h FROM gaps JOIN docs USING (r) GROUP BY r
+), counted AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (r) LEFT JOIN counted c USING (r)
+"""
