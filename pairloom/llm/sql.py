@@ -36,44 +36,28 @@ SELECT conv_id, n_turns, turns_sha256, length(under) AS loss_chars, sha256(under
 FROM summed
 """
 
-_LINE_STEPS = r"""
-lines AS (
+# every run of two or more lines that an earlier place holds, as pairs of neighbouring lines
+LINES = r"""
+WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM {source} WHERE text IS NOT NULL
-), hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),
-rolled AS (
-  SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY pos), 0) % 1000003 * 31 + h) % 1000003 AS r,
-    count(*) OVER (PARTITION BY doc_id) AS size
-  FROM hashed
-), marked AS (
-  SELECT *, pos = size OR (pos BETWEEN 2 AND size - 2 AND r % 2 = 0 AND lag(r) OVER (PARTITION BY doc_id ORDER BY pos) % 2 <> 0) AS ends
-  FROM rolled
-), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END)
-    OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM marked
-), chunks AS (
-  SELECT doc_id, chunk, min(pos) AS start_pos, count(*) AS size, string_agg(line, chr(10) ORDER BY pos) AS bytes
-  FROM numbered GROUP BY doc_id, chunk
+  FROM documents WHERE text IS NOT NULL
+), pairs AS (
+  SELECT doc_id, pos, line AS one, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS two FROM lines
+  QUALIFY two IS NOT NULL AND regexp_matches(one || two, '[^ \t-\r]')
+), placed AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS first_id, first_value(pos) OVER w AS first_pos,
+    row_number() OVER w AS nth FROM pairs WINDOW w AS (PARTITION BY one, two ORDER BY doc_id, pos)
 ), gone AS (
-  SELECT doc_id, chunk FROM chunks WHERE size > 1
-  QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start_pos) > 1
+  SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM placed WHERE nth > 1 AND NOT (doc_id = first_id AND pos - first_pos < 2)
 ), left_over AS (
-  SELECT n.doc_id, count(*) AS n_lines, count(g.chunk) AS n_removed,
-    coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE g.chunk IS NULL), '') AS text
-  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.chunk = g.chunk GROUP BY n.doc_id
+  SELECT n.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+    coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+  FROM lines n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id
 )
-"""
-
-LINES = (
-    "WITH "
-    + _LINE_STEPS.format(source="documents")
-    + """
 SELECT d.doc_id, coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_removed, 0) AS n_removed,
   length(l.text) AS n_chars, sha256(l.text) AS text_sha256
 FROM documents d LEFT JOIN left_over l ON d.doc_id = l.doc_id
 """
-)
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}')"
 _ALNUM = _WORDS.replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

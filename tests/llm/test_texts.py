@@ -170,6 +170,26 @@ def test_repeated_runs_of_any_length_go(spark):
     assert got == expect | {507: None}
 
 
+def test_lines_that_only_share_their_hash_stay(spark, monkeypatch):
+    def poor(text):
+        return F.transform(F.split(text, "\n", -1), lambda x: F.length(x).cast("long"))
+
+    monkeypatch.setattr(lines, "line_hashes", poor)
+    table = docs(spark, [(1, "aaa\nbbb"), (2, "ccc\nddd"), (3, "aaa\nbbb"), (4, "eee\nbbb\nff")])
+    got = {r.doc_id: (r.text, r._id, r.key) for r in lines.remove_repeated(table).collect()}
+    assert got == {1: ("aaa\nbbb", "x", "z"), 2: ("ccc\nddd", "x", "z"), 3: ("", "x", "z"), 4: ("eee\nbbb\nff", "x", "z")}
+
+
+def test_runs_in_long_texts(spark):
+    """Work grows with the lines: 60,000 lines of which half are repeated."""
+    rng = random.Random(5)
+    own = [words(rng, 2, 10**6) for _ in range(30_000)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(x if n % 2 else f"{x}\nnew {n}" for n, x in enumerate(own)))]
+    got = {r.doc_id: r for r in lines.remove_repeated(docs(spark, rows)).collect()}
+    assert (got[1]._n_removed, got[2]._n_lines) == (0, 45_000)
+    assert {i: r.text for i, r in got.items()} == plain_left(rows)
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
