@@ -16,7 +16,7 @@ Texts are not sorted whole. A string of ``width`` bytes belongs to the smallest
 the GRAM-grams inside it, so equal strings belong to equal hashes wherever they stand;
 neighbouring strings of one hash are one stretch of text. Stretches are dealt by their
 hash, so all equal strings meet in one task, which builds suffix arrays over blocks of
-whole hashes; neighbours in a suffix array that agree in ``width`` bytes are one class,
+whole hashes (a hash with one stretch alone has nothing to compare); neighbours in a suffix array that agree in ``width`` bytes are one class,
 and the smallest doc_id of a class tells which of its strings go. A stretch that many
 documents hold is one entry with its smallest doc_id.
 
@@ -49,7 +49,8 @@ MOST_BITS = 28
 HOT = 20_000
 LONGEST = 512  # strings in a stretch; longer ones (one hash over a periodic text) are cut
 SLICE = 1 << 17
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+SENT = 50_000  # stretches a task holds before it sends them
 _LOOP = 40  # groups below this size are handled in a plain loop
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -244,7 +245,7 @@ def stretches(data: np.ndarray, ends: np.ndarray, width: int = WIDTH):
         stop = fits.copy()
         stop[:-1] &= (least[1:] != least[:-1]) | ~fits[1:]
         size = np.flatnonzero(stop) - first + 1
-        key = least[first]
+        key = mixed(least[first])  # the smallest of many are no even spread
         if size.max() > LONGEST:
             pieces = -(-size // LONGEST)
             again = np.repeat(np.arange(len(first)), pieces)
@@ -323,6 +324,13 @@ def _sent(chosen: _Chosen, standing, bits: int):
         for batch in _looked_at(batches, standing.value, bits):
             ids = batch["_id"].to_numpy()
             held: dict[bytes, list[int]] = {}
+
+            def rows(held=held) -> pa.RecordBatch:
+                keys, low, high = (pa.array(x, pa.int64()) for x in zip(*held.values(), strict=True))
+                made = pa.RecordBatch.from_arrays([keys, pa.array(list(held), pa.binary()), low, high], ["key", "bytes", "low", "high"])
+                held.clear()
+                return made
+
             for text, first, size, key, doc, _ in chosen.of(batch):
                 for at, end, k, i in zip(first.tolist(), (first + size + chosen.width - 1).tolist(), key.view(np.int64).tolist(), ids[doc].tolist(), strict=True):
                     one = held.setdefault(text[at:end], [k, i, i])
@@ -330,9 +338,10 @@ def _sent(chosen: _Chosen, standing, bits: int):
                         one[1] = i
                     elif i > one[2]:
                         one[2] = i
+                if len(held) > SENT:
+                    yield rows()
             if held:
-                keys, low, high = (pa.array(x, pa.int64()) for x in zip(*held.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(list(held), pa.binary()), low, high], ["key", "bytes", "low", "high"])
+                yield rows()
 
     return run
 
@@ -397,31 +406,56 @@ def _judged(width: int):
         runs: dict[int, list] = {}
         for i, a, b in zip(of.tolist(), (low - starts[of]).tolist(), (high - starts[of]).tolist(), strict=True):
             runs.setdefault(i, []).append({"a": a, "b": b})
-        rows = [(xxhash.xxh3_128_digest(p), x[0], runs.get(i, [])) for i, (p, x) in enumerate(held.items()) if i in runs or x[1] > x[0]]
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["digest", "low", "runs"])
+        return _judged_rows([(xxhash.xxh3_128_digest(p), x[0], runs.get(i, [])) for i, (p, x) in enumerate(held.items()) if i in runs or x[1] > x[0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
+        one: dict[bytes, list[int]] = {}  # of the present key
         size, last = 0, None
+        alone: list[tuple] = []
+
+        def leave() -> int:
+            """Into the block with the stretches of a key; one alone shares its strings with none but its own copies."""
+            nonlocal one
+            grown = 0
+            if len(one) > 1:
+                held.update(one)
+                grown = sum(map(len, one))
+            else:
+                alone.extend((xxhash.xxh3_128_digest(p), x[0], []) for p, x in one.items() if x[1] > x[0])
+            one = {}
+            return grown
+
         for batch in batches:
             for key, piece, low, high in zip(*(batch[c].to_pylist() for c in ("key", "bytes", "low", "high")), strict=True):
-                if key != last and size >= BLOCK:
-                    yield block(held)
-                    held, size = {}, 0
-                last = key
-                one = held.get(piece)
-                if one is None:
-                    held[piece] = [low, high]
-                    size += len(piece)
+                if key != last:
+                    size += leave()
+                    if size >= BLOCK:
+                        yield block(held)
+                        held, size = {}, 0
+                    last = key
+                x = one.get(piece)
+                if x is None:
+                    one[piece] = [low, high]
                 else:
-                    one[0], one[1] = min(one[0], low), max(one[1], high)
+                    x[0], x[1] = min(x[0], low), max(x[1], high)
+            if alone:
+                yield _judged_rows(alone)
+                alone.clear()
+        leave()
+        if alone:
+            yield _judged_rows(alone)
         if held:
             yield block(held)
 
     return run
 
 
+def _judged_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["digest", "low", "runs"])
+
+
 def _bits(rows: int, spare: int) -> int:
     return min(MOST_BITS, max(16, rows.bit_length() + spare))
 
