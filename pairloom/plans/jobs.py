@@ -51,15 +51,16 @@ RATINGS = (
 )
 
 
-METHODS = {"sql-exchange": "guided", "guided": "guided", "zeroshot": "zeroshot"}
+METHODS = ("guided", "zeroshot")
 
 
 def method_of(options: Mapping) -> str:
-    """The method the settings name; an unknown one is refused."""
+    """The method the settings name; ``method_names`` may map other names to these. An unknown one is refused."""
     name = options.get("method")
+    name = options.get("method_names", {}).get(name, name)
     if name not in METHODS:
-        raise ValueError(f"unknown method {name!r}, expected one of {sorted(METHODS)}")
-    return METHODS[name]
+        raise ValueError(f"unknown method {name!r}, expected one of {METHODS}")
+    return name
 
 
 def fields_of(options: Mapping) -> tuple[str, ...]:

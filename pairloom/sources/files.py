@@ -1,16 +1,23 @@
 """Readers of the curation inputs.
 
-The JSON files read here hold one array or object each, so one file is one task's
-work. That is how questions, samples, schemas and answers are exchanged; the jobs
+The JSON files read here hold one array or object each. A file up to LARGE bytes is
+one task's work; an array in a larger one is read by many tasks (``split_json``).
+That is how questions, samples, schemas and answers are exchanged; the jobs
 themselves pass partitioned parquet tables on (see ``sinks``).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions import json_text as J
 from pairloom.functions.vocabulary import BAD_SCHEMA_FILE, EMPTY_SCHEMA_FILE, GUIDED_FIELDS
+from pairloom.sources import split_json
+
+LARGE = 32 << 20
 
 
 def path_key(path: Column, prefix: str, to_first_dot: bool = False) -> Column:
@@ -38,17 +45,23 @@ def existing_runs(spark: SparkSession, path: str) -> list[str]:
     return sorted(one.getPath().getName().removeprefix("run_ts=") for one in found or [])
 
 
-def read_whole(spark: SparkSession, *paths: str, deep: bool = False) -> DataFrame:
+def _wanted(spark: SparkSession, paths: tuple[str, ...], deep: bool) -> list[str]:
+    return [p for path in paths for p in existing(spark, path if deep or path.endswith(".json") else f"{path}/*.json")]
+
+
+def read_whole(spark: SparkSession, *paths: str, deep: bool = False, largest: int | None = None) -> DataFrame:
     """Every JSON file of the paths as one row: ``path`` and ``text``.
 
     A path is a file, or a folder of which the ``*.json`` directly inside are read (each a
     file or a folder of part files), with ``deep`` those at any depth. What does not exist
-    gives no rows.
+    gives no rows, nor do files of more than ``largest`` bytes, which are not opened.
     """
-    wanted = [p for path in paths for p in existing(spark, path if deep or path.endswith(".json") else f"{path}/*.json")]
+    wanted = _wanted(spark, paths, deep)
     if not wanted:
         return spark.createDataFrame([], "path string, text string")
     files = spark.read.option("recursiveFileLookup", "true").text(wanted, wholetext=True)
+    if largest is not None:
+        files = files.filter(F.col("_metadata.file_size") <= largest)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(path.alias("path"), F.col("value").alias("text"))
 
@@ -65,16 +78,29 @@ def readable(files: DataFrame) -> DataFrame:
     return first.withColumn("parts", J.json_parts(F.when(F.col("value").isNull(), F.col("text"))))
 
 
-def _elements(files: DataFrame) -> DataFrame:
+def _larger(spark: SparkSession, wanted: list[str], only: Callable[[Column], Column]) -> list[str]:
+    """The files beyond LARGE, as patterns that match nothing else; their content is not read."""
+    if not wanted:
+        return []
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted)
+    found = listed.filter(F.col("length") > LARGE).filter(only(F.col("path"))).select("path").collect()
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", row.path) for row in found]
+
+
+def _elements(spark: SparkSession, *paths: str, deep: bool, only: Callable[[Column], Column] = lambda path: F.lit(True)) -> DataFrame:
+    """path, ord, item: the elements of the array in each file whose path is wanted."""
+    small = readable(read_whole(spark, *paths, deep=deep, largest=LARGE).filter(only(F.col("path"))))
     items = F.try_variant_get("value", "$", "array<variant>")
     again = F.transform(F.filter("parts", lambda p: p["key"].isNull()), lambda p: F.parse_json(p["text"]))
-    return readable(files).select("path", F.posexplode(F.coalesce(items, again)).alias("ord", "item"))
+    whole = small.select("path", F.posexplode(F.coalesce(items, again)).alias("ord", "item"))
+    large = _larger(spark, _wanted(spark, paths, deep), only)
+    return whole.unionByName(split_json.elements(spark, large)) if large else whole
 
 
 def scan_questions(spark: SparkSession, *folders: str, deep: bool = False) -> DataFrame:
     """Source questions with their place in the file; broken and empty files give no rows."""
     names = ("dataset", "db_id", "question", "query")
-    return _elements(read_whole(spark, *folders, deep=deep)).select(
+    return _elements(spark, *folders, deep=deep).select(
         F.col("path").alias("src_file"),
         F.col("ord").cast("bigint").alias("ord"),
         *[J.text_field(F.col("item"), name).alias(name) for name in names],
@@ -126,8 +152,10 @@ def scan_mappings(spark: SparkSession, *folders: str, fields=GUIDED_FIELDS) -> D
     The path gives the keys and wins over ids inside the rows. Raw judge answers
     (``..llm.json``) lying beside are passed over.
     """
-    files = read_whole(spark, *folders, deep=True)
-    wanted = files.filter(path_key(F.col("path"), "response_") != "").filter(~F.rlike("path", F.lit(r"llm\.json(?:/[^/]*)?$")))
+
+    def answers(path: Column) -> Column:
+        return (path_key(path, "response_") != "") & ~F.rlike(path, F.lit(r"llm\.json(?:/[^/]*)?$"))
+
     segments = F.split(F.regexp_replace("path", r"/[^/]*response_[^/]*\.json(?:/[^/]*)?$", ""), "/")
     plain = lambda c: F.regexp_replace(c, r"^[^=]*=", "")
     keys = {
@@ -137,7 +165,7 @@ def scan_mappings(spark: SparkSession, *folders: str, fields=GUIDED_FIELDS) -> D
         "source_db_id": path_key(F.col("path"), "response_"),
     }
     rest = [name for name in fields if name not in keys]
-    return _elements(wanted).select(
+    return _elements(spark, *folders, deep=True, only=answers).select(
         *[key.alias(name) for name, key in keys.items()],
         F.col("ord").cast("bigint").alias("ord"),
         *[J.text_field(F.col("item"), name).alias(name) for name in rest],

@@ -1,6 +1,8 @@
 """Readers over files that are good, odd or broken; writers."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +107,81 @@ def test_partition_overwrite_keeps_the_others(spark, tmp_path):
 def test_folders_do_not_collide(spark):
     assert fresh_folder(spark, "x") != fresh_folder(spark, "x")
     assert fresh_folder(spark, "x").startswith(shared_folder(spark))
+
+
+def _documents(rng, n):
+    """Array elements with brackets, quotes and backslashes wherever they can stand."""
+    odd = ["}", "{", "]", '"', "\\", "é", "a", ",", "\n", "[{", '\\"}']
+
+    def text():
+        return "".join(rng.choice(odd) for _ in range(rng.randrange(8)))
+
+    def value(depth):
+        kind = rng.randrange(8)
+        if kind < 4 or depth > 2:
+            return text()
+        if kind == 4:
+            return {text() or str(i): value(depth + 1) for i in range(rng.randrange(3))}
+        return [value(depth + 1) for _ in range(rng.randrange(3))] if kind == 5 else rng.choice([1, None, True, 2.5])
+
+    return [{"db_id": text(), "query": text(), "question": str(i), "more": value(0)} if rng.random() < 0.9 else value(1) for i in range(n)]
+
+
+@pytest.fixture
+def small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(files, "LARGE", 0)
+    monkeypatch.setattr(files.split_json, "CHUNK", 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "397")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _plain(path):
+    rows = json.loads(path.read_text())
+    known = lambda r, k: r[k] if isinstance(r, dict) and k in r else None
+    return [(path.name, i, known(r, "db_id"), known(r, "question"), known(r, "query")) for i, r in enumerate(rows)]
+
+
+def test_one_array_read_by_many_tasks(spark, tmp_path, small_ranges):
+    rng = random.Random(9)
+    expect = []
+    for n in range(5):
+        path = tmp_path / f"questions/question_{n}.json"
+        rows = _documents(rng, 40)
+        put(path, json.dumps(rows, ensure_ascii=n % 2 == 0, indent=n % 3 or None))
+        expect += _plain(path)
+    put(tmp_path / "questions/question_short.json", '[ {"db_id": "x"} , "}", {"db_id": "y", "db_id": "z", "query": NaN} , [1] ]\n')
+    put(tmp_path / "questions/question_none.json", " [ ] ")
+    got = files.scan_questions(spark, f"{tmp_path}/questions")
+    assert got.select("src_file").distinct().count() == 6
+    rows = sorted((r.src_file.rsplit("/", 1)[1], r.ord, r.db_id, r.question, r.query) for r in got.collect() if "short" not in r.src_file)
+    assert rows == sorted(expect)
+    short = [(r.ord, r.db_id, r.query) for r in got.filter(F.col("src_file").contains("short")).orderBy("ord").collect()]
+    assert short == [(0, "x", None), (1, None, None), (2, "z", "NaN"), (3, None, None)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"a": 1} {"a": 2}]', '[{"a": 1}]}', '[{"a": 1}], {"a": 2}]', '[{"a": 1}', '{"a": 1}', '{"a": [{"b": 1}]}', '[{"a": 1},]', "[,{}]", '[{"a": "x]', "", "[{}] x", '[{"a": {"b": 1}}, {"c": }]', "[}{]"],
+)
+def test_broken_arrays_give_no_rows(spark, tmp_path, small_ranges, text):
+    put(tmp_path / "q/question_b.json", text)
+    put(tmp_path / "q/question_g.json", [{"db_id": str(i)} for i in range(30)])
+    assert [r.db_id for r in files.scan_questions(spark, f"{tmp_path}/q").orderBy("ord").collect()] == [str(i) for i in range(30)]
+
+
+def test_transducer_composes():
+    rng = random.Random(3)
+    text = json.dumps(_documents(rng, 50))
+    for piece in text.split("}"):
+        swaps, outside, inside = files.split_json.piece_moves(piece)
+        bare = re.sub(r"\\.", "", piece)
+        assert swaps == (bare.count('"') % 2 == 1) and isinstance(outside + inside, int)
+    depth, within = 0, False
+    for piece in text.split("}")[:-1]:
+        swaps, outside, inside = files.split_json.piece_moves(piece)
+        depth += inside if within else outside
+        within ^= swaps
+    assert (depth, within) == (1, False)

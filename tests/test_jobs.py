@@ -172,7 +172,7 @@ def real(settings, corpus):
     for name, text in (("base.txt", "BASE FILE"), ("sys.txt", "SYSTEM"), ("zero.txt", "ZERO"), ("judge.txt", "JUDGE "), ("ex.txt", "EXAMPLES")):
         dump(corpus / "prompts" / name, text)
     generation = {
-        "max_question_length_per_prompt": 10, "method": "sql-exchange", "prompt_directory": "prompts", "base_prompt_file": "base.txt",
+        "max_question_length_per_prompt": 10, "method": "guided", "prompt_directory": "prompts", "base_prompt_file": "base.txt",
         "system_instruction_file": "sys.txt", "system_instruction_file_zeroshot": "zero.txt", "fields_to_check": list(GUIDED_FIELDS),
         "fields_to_check_zeroshot": ["source_db_id", "target_db_id", "target_question", "target_query"],
     }
