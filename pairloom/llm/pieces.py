@@ -2,20 +2,24 @@
 
 Encoding starts from characters and always carries out the best-scored merge of two
 neighbours, leftmost first among equals, until none is left. With dropout each
-candidate merge is skipped, once and for all, if a keyed hash of (seed, variant, unit,
-place, lengths) falls below the rate: the same seed gives the same segmentation on any
-cluster, other seeds give other ones. Every segmentation decodes to the same text.
+candidate merge is skipped, once and for all, if a keyed hash of (seed, document, place of
+the unit in it, place of the merge, lengths) falls below the rate: every occurrence of a
+word draws for itself, the same seed gives the same segmentation on any cluster, other
+seeds give other ones. Every segmentation decodes to the same text.
 
 A text falls into units (blanks and the characters up to the next blank or line end),
 since no piece of the vocabulary reaches across; this is checked when a vocabulary is
-read. Each place in a document draws one of VARIANTS dropout patterns for its unit by
-keyed hash, so a batch segments each (unit, pattern) it holds once, all of them
-together in numpy; very long units use a heap. Documents are independent: no shuffle,
-no state between batches.
+read. The plain segmentation of a unit and its merges are found once and remembered (up
+to REMEMBERED units, then anew). Dropout that skips none of these merges changes nothing,
+so occurrences are drawn against them first; those that lose one are segmented again, each
+with its own draws, all of a batch together in numpy; very long units use a heap.
+Documents are independent: no shuffle.
 
 Blanks become the piece mark; a piece mark in the text itself, and any character the
 vocabulary lacks, is spelled in byte pieces. Null texts give null ids, empty texts
-none, repeated rows the same ids. Other columns play no part.
+none, repeated rows the same ids; rows without doc_id draw alike. Texts of any length are
+taken whole, an empty table gives no rows. Merges of equal rank have no tie: the leftmost
+is first. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,14 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import mixed
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS = 8
+REMEMBERED = 300_000
 LONG_UNIT = 48
 CHUNK_CHARS = 2_000_000
 _NEVER = np.int32(2**31 - 1)
@@ -130,8 +133,8 @@ def _skipped(keys, start, left, right, limit: int):
         return (mixed(keys ^ mixed(place + np.uint64(1))) >> np.uint64(1)) < np.uint64(limit)
 
 
-def segment_long(symbols: np.ndarray, key: np.uint64, limit: int, vocabulary: Vocabulary) -> list[int]:
-    """One unit with a heap as agenda: for units of any length."""
+def segment_long(symbols: np.ndarray, key: np.uint64, limit: int, vocabulary: Vocabulary, merges: list | None = None) -> list[int]:
+    """One unit with a heap as agenda: for units of any length. ``merges`` gets (start, lengths) of each merge."""
     n = len(symbols)
     held, size = symbols.astype(np.int64).tolist(), [1] * n
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -155,6 +158,8 @@ def segment_long(symbols: np.ndarray, key: np.uint64, limit: int, vocabulary: Vo
         j = after[i] if size[i] == x else -1
         if j < 0 or size[j] != y or size[i] != x:
             continue
+        if merges is not None:
+            merges.append((i, x, y))
         held[i], size[i], size[j], after[i] = m, x + y, 0, after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -166,8 +171,11 @@ def segment_long(symbols: np.ndarray, key: np.uint64, limit: int, vocabulary: Vo
     return out
 
 
-def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int, vocabulary: Vocabulary):
-    """Units of similar length together: (symbols, counts) after all merges, one row a unit."""
+def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int, vocabulary: Vocabulary, merges: list | None = None):
+    """Units of similar length together: (symbols, counts) after all merges, one row a unit.
+
+    ``merges`` gets (row, start, lengths) of all merges, as arrays.
+    """
     n, width = symbols.shape
     columns = np.arange(width)
     start = np.minimum(columns[None, :], sizes[:, None]).astype(np.int32)
@@ -202,6 +210,9 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, lim
         if not len(index):
             break
         held[here, best] = merged[here, best]
+        if merges is not None:
+            a, b, c = (start[here, best + k] for k in range(3))
+            merges.append((index, a, b - a, c - b))
         # close the gap behind the merged symbol
         take = columns[None, :] + (columns[None, :] > best[:, None])
         held = np.take_along_axis(np.concatenate([held, np.full((len(index), 1), -1, held.dtype)], axis=1), take, axis=1)
@@ -221,10 +232,6 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, lim
     return out, counts
 
 
-def _unit_keys(units: list[str], seed: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), np.uint64, len(units))
-
-
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -236,13 +243,21 @@ class Encoder:
     """Encodes batches of texts; ``rate`` 0 is plain BPE."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int):
-        self.vocabulary, self.seed = vocabulary, seed
+        self.vocabulary = vocabulary
+        self.salt = mixed(np.array([seed % 2**64], np.uint64))[0]  # near seeds are no near keys
         self.limit = int(rate * 2**63)
-        self.variants = VARIANTS if rate > 0 else 1
         self.table = vocabulary.symbols()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        none = np.zeros(0, np.int64)
+        # of the plain segmentations: ids, where each unit's begin, merges, where each unit's begin
+        self.ids, self.id_ends = none.astype(np.int32), np.zeros(1, np.int64)
+        self.merges, self.merge_ends = np.zeros((3, 0), np.int64), np.zeros(1, np.int64)
 
-    def _segment(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of distinct (unit, dropout key)."""
+    def _segment(self, units: list[str], keys: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of units, each with its own dropout key."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         flat = self.table[points]
@@ -258,11 +273,17 @@ class Encoder:
                 at = begin[part][:, None] + np.arange(high)[None, :]
                 inside = np.arange(high)[None, :] < sizes[part][:, None]
                 block = np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1).astype(np.int32)
-                held, counts = _segment_block(block, sizes[part], keys[part], self.limit, self.vocabulary)
+                done: list | None = None if merges is None else []
+                held, counts = _segment_block(block, sizes[part], keys[part], limit, self.vocabulary, done)
+                if merges is not None:
+                    merges += [(part[rows], *rest) for rows, *rest in done]
                 for i, row, count in zip(part.tolist(), held, counts.tolist(), strict=True):
                     results[i] = row[:count]
         for i in np.flatnonzero(sizes > LONG_UNIT).tolist():
-            results[i] = np.array(segment_long(flat[begin[i] : begin[i + 1]], keys[i], self.limit, self.vocabulary), np.int64)
+            steps: list = []
+            results[i] = np.array(segment_long(flat[begin[i] : begin[i + 1]], keys[i], limit, self.vocabulary, steps), np.int64)
+            if merges is not None and steps:
+                merges.append((np.full(len(steps), i), *np.array(steps).T))
         ids, counts = [], np.zeros(len(units), np.int64)
         unknown = set(np.flatnonzero(np.add.reduceat((flat < 0).astype(np.int64), begin[:-1]) if len(units) else []).tolist())
         for i, row in enumerate(results):
@@ -272,6 +293,26 @@ class Encoder:
             counts[i] = len(row)
         return np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32), counts
 
+    def _remember(self, units: list[str]) -> None:
+        """The plain segmentations of new units, and the merges that lead to them."""
+        merges: list = []
+        ids, counts = self._segment(units, np.zeros(len(units), np.uint64), 0, merges if self.limit else None)
+        self.ids = np.concatenate([self.ids, ids])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(counts)])
+        rows, *rest = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*merges, strict=True)) if merges else np.zeros((4, 0), np.int64)
+        order = np.argsort(rows, kind="stable")
+        self.merges = np.concatenate([self.merges, np.array(rest, np.int64)[:, order]], axis=1)
+        self.merge_ends = np.concatenate([self.merge_ends, self.merge_ends[-1] + np.cumsum(np.bincount(rows, minlength=len(units)))])
+
+    def _changed(self, unit: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences whose draws skip a merge of the plain segmentation."""
+        counts = self.merge_ends[unit + 1] - self.merge_ends[unit]
+        past = np.cumsum(counts)
+        of = np.repeat(np.arange(len(unit)), counts)
+        at = np.arange(len(of)) + np.repeat(self.merge_ends[unit] - (past - counts), counts)
+        start, left, right = self.merges[:, at]
+        return np.unique(of[_skipped(keys[of], start, left, right, self.limit)])
+
     def _spelled(self, symbol: int) -> list[int]:
         """The id of a piece, or the byte pieces of a character the vocabulary lacks."""
         if symbol >= 0:
@@ -279,32 +320,34 @@ class Encoder:
         return [int(self.vocabulary.byte_ids[b]) for b in chr(-2 - symbol).encode("utf-8", "surrogatepass")]
 
     def encode(self, texts: list[str | None], documents: np.ndarray) -> list[np.ndarray | None]:
-        """Ids of each text; ``documents`` is a 64-bit key of each that picks the patterns."""
-        known: dict[str, int] = {}
+        """Ids of each text; ``documents`` is a 64-bit key of each, part of the key of its draws."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, old = self.known, len(self.known)
         numbers, lengths = [], []
         for text in texts:
             found = units_of(text) if text else []
             numbers.append([known.setdefault(u, len(known)) for u in found])
             lengths.append(len(found))
-        if not known:
+        if not any(lengths):
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
+        names = list(known)
+        if len(known) > old:
+            self._remember(names[old:])
         unit = np.concatenate([np.asarray(x, np.int64) for x in numbers])
         begin = np.concatenate([[0], np.cumsum(lengths)])
-        with np.errstate(over="ignore"):
-            place = np.arange(len(unit), dtype=np.uint64) - np.repeat(begin[:-1], lengths).astype(np.uint64)
-            drawn = mixed(np.repeat(mixed(documents ^ np.uint64(self.seed)), lengths) + place)
-        choice = unit * self.variants + (drawn % np.uint64(self.variants)).astype(np.int64)
-        used = np.zeros(len(known) * self.variants, bool)
-        used[choice] = True
-        distinct = np.flatnonzero(used)
-        names = list(known)
-        keys = mixed(_unit_keys(names, self.seed)[distinct // self.variants] + (distinct % self.variants).astype(np.uint64))
-        ids, counts = self._segment([names[i] for i in (distinct // self.variants).tolist()], keys)
-        number = np.cumsum(used)[choice] - 1
-        first = np.concatenate([[0], np.cumsum(counts)])[number]
-        size = counts[number]
+        first, size, pool = self.id_ends[unit], self.id_ends[unit + 1] - self.id_ends[unit], self.ids
+        if self.limit:
+            with np.errstate(over="ignore"):
+                place = np.arange(len(unit), dtype=np.uint64) - np.repeat(begin[:-1], lengths).astype(np.uint64)
+                keys = mixed(np.repeat(mixed(documents ^ self.salt), lengths) + place)
+            changed = self._changed(unit, keys)
+            ids, counts = self._segment([names[i] for i in unit[changed].tolist()], keys[changed], self.limit)
+            first[changed] = len(pool) + np.cumsum(counts) - counts
+            size[changed] = counts
+            pool = np.concatenate([pool, ids])
         past = np.cumsum(size)
-        flat = ids[np.arange(past[-1]) - np.repeat(past - size - first, size)]
+        flat = pool[np.arange(past[-1]) - np.repeat(past - size - first, size)]
         ends = np.concatenate([[0], past])[begin]
         return [None if t is None else flat[a:b] for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
 
