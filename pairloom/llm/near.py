@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of words (A-Z folded, words split a
 blanks and control blanks); a shorter text is one shingle. Documents are linked if
 100 * |A and B| >= percent * |A or B|. The steps:
 
-1. Equal sets form a class with its smallest doc_id as representative, so copies
-   are compared with nothing any more.
+1. Equal sets form a class, whose set is read from the document with its smallest
+   doc_id, so copies are compared with nothing any more.
 2. Each class has a signature of COORDINATES smallest mixed hashes. The match threshold
    is the largest number of equal coordinates that a pair right at the similarity asked
    for misses with a probability below MISS (7 of 16 at 85 %, 6 at 80 %).
@@ -30,7 +30,9 @@ dropped or capped.
 
 Nulls and texts without words have an empty set and are linked with nothing; rows
 without doc_id are kept and take no part; repeated rows of one doc_id share its
-component. Other columns play no part.
+component. A doc_id on rows with different texts belongs to one component, the texts keep
+their own groups where one of each is to stay. An empty table stays empty; very long
+texts are one set like any other. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -94,8 +96,8 @@ def _sign(width: int):
                 keys.append(class_key(shingles) if len(shingles) else None)
                 signatures.append(signature(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "key", "signature"],
+                [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
+                names=["doc_id", "text_hash", "n_shingles", "key", "signature"],
             )
 
     return run
@@ -111,19 +113,18 @@ def _sets(width: int, wanted):
             offsets = np.cumsum([0, *map(len, found)])
             values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["rep"], pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
-                names=["rep", "key", "shingles"],
+                [batch["doc_id"], pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
+                names=["doc_id", "key", "shingles"],
             )
 
     return run
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key, signature of every row."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return saved(
-        source.mapInArrow(_sign(width), "doc_id bigint, n_shingles bigint, key binary, signature array<int>"), "signatures"
-    )
+    """doc_id, text_hash, n_shingles, key, signature of every row."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    signed = source.mapInArrow(_sign(width), "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, signature array<int>")
+    return saved(signed, "signatures")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -284,16 +285,16 @@ def _links_within(percent: int):
 
 
 def _full_sets(reps: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) of the representatives named in ``reps``."""
-    wanted = saved(reps.select("rep").distinct().join(classes.select("rep", "key"), "rep"), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("hash")), "hash", BITS))
-    rep = F.col("doc_id").cast("long")
-    found = docs.filter(rep.isNotNull()).select(
-        rep.alias("rep"), F.xxhash64(rep).alias("hash"), F.col("text").cast("binary").alias("text")
+    """(rep, shingles) of the classes named in ``reps``, from the text of their first document."""
+    wanted = saved(reps.select("rep").distinct().join(classes.select("rep", "key", "doc_id"), "rep"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("hash")), "hash", BITS))
+    doc_id = F.col("doc_id").cast("long")
+    found = docs.filter(doc_id.isNotNull()).select(
+        doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("hash"), F.col("text").cast("binary").alias("text")
     )
     # the bitmap lets through all wanted rows and few others; the join decides
-    found = found.mapInArrow(_sets(width, bits), "rep bigint, key binary, shingles array<bigint>")
-    return saved(wanted.join(found, ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "shingles"), "sets")
+    found = found.mapInArrow(_sets(width, bits), "doc_id bigint, key binary, shingles array<bigint>")
+    return saved(wanted.join(found, ["doc_id", "key"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -335,17 +336,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return label
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row per document row."""
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, key of every row, with the component ``comp`` of its class and the class's first document."""
     signed = _signed(docs, width)
+    # a class has a number of its own, since a doc_id may stand on rows of several classes
     classes = saved(
         signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    # one doc_id on rows with different texts: its classes are one node
-    nodes = classes.select(F.col("rep").alias("node")).distinct()
+    nodes = classes.select(F.col("rep").alias("node"))
     matches = match_threshold(percent)
     posts = saved(_prefixes(classes, matches), "posts")
 
@@ -402,18 +404,41 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rest = saved(rest, "links")
 
     parts = saved(components(nodes, stars.union(rest)).withColumnRenamed("node", "rep"), "components")
-    by_class = classes.select("key", "rep").join(parts, "rep").select("key", F.col("comp").alias("component_id"))
-    # a doc_id on rows with different texts belongs to the smallest of their components
-    out = signed.select("doc_id", "n_shingles", "key").join(by_class, "key", "left")
-    return out.select(
+    by_class = classes.select("key", "rep", F.col("doc_id").alias("first_id")).join(parts, "rep").select("key", "comp", "first_id")
+    return saved(signed.select("doc_id", "text_hash", "n_shingles", "key").join(by_class, "key", "left"), "linked")
+
+
+def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row per document row.
+
+    A doc_id on rows with different texts is one node: it links whatever its texts are linked with.
+    """
+    rows = _linked(docs, width, percent)
+    known = rows.filter(F.col("comp").isNotNull() & F.col("doc_id").isNotNull())
+    several = known.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("high")).filter("a <> high").select("doc_id", "a")
+    joined = saved(known.join(several, "doc_id").select("a", F.col("comp").alias("b")).filter("a <> b").distinct(), "shared_ids")
+    if not joined.isEmpty():
+        merged = components(known.select(F.col("comp").alias("node")).distinct(), joined).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        rows = rows.join(merged, "comp", "left").drop("comp").withColumnRenamed("whole", "comp")
+    least = rows.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first_id").alias("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.join(least, "comp", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; columns as they are."""
-    gone = link(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One text of each group of linked texts, that with the smallest doc_id; columns as they are.
+
+    Rows are judged by their text: of a doc_id on rows with different texts each one stays or goes with its own group.
+    """
+    rows = _linked(docs, width, percent).filter(F.col("comp").isNotNull() & F.col("doc_id").isNotNull())
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "key", "text_hash")).alias("first"))
+    gone = rows.join(first, "comp").filter(F.struct("doc_id", "key", "text_hash") != F.col("first"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("_row"))
+    same = (F.col("_row.doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("_row.text") == F.col("_gone_hash"))
+    return held.join(gone, same, "left_anti").select("_row.*")

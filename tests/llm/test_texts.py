@@ -70,9 +70,9 @@ def test_without_dropout_as_the_library(spark, sf_dir, vocabulary):
 def brute_force(text, encoder, document):
     """One unit after the other with the plainest agenda: look at all pairs, take the best that is not skipped."""
     vocabulary, out = encoder.vocabulary, []
-    drawn = pieces.mixed(pieces.mixed(np.array([document], np.uint64) ^ np.uint64(encoder.seed)) + np.arange(len(pieces.units_of(text)), dtype=np.uint64))
-    for unit, draw in zip(pieces.units_of(text), drawn, strict=True):
-        key = pieces.mixed(pieces._unit_keys([unit], encoder.seed) + np.uint64(int(draw) % encoder.variants))
+    drawn = pieces.mixed(pieces.mixed(np.array([document], np.uint64) ^ encoder.salt) + np.arange(len(pieces.units_of(text)), dtype=np.uint64))
+    for unit, key in zip(pieces.units_of(text), drawn, strict=True):
+        key = np.array([key])
         held = [(int(s), i, 1) for i, s in enumerate(encoder.table[[ord(c) for c in unit]])]
         while True:
             options = []
@@ -100,6 +100,58 @@ def test_dropout_against_brute_force(vocabulary):
             assert pieces.decode(ids, vocabulary.pieces).decode() == text
 
 
+def test_every_occurrence_draws_for_itself(vocabulary):
+    """Shares of all segmentations of a word, against draws of each candidate merge one by one."""
+    n, rate = 20_000, 0.1
+    for word in ("the", "and", "information"):
+        encoder = pieces.Encoder(vocabulary, rate, 3)
+        ids = encoder.encode([" ".join([word] * 40)] * (n // 40), np.arange(n // 40, dtype=np.uint64))
+        counts = {}
+        for row in ids:
+            cut, held = [], []
+            for x in row.tolist():
+                piece = vocabulary.pieces[x].decode()
+                if piece.startswith(" ") and held:
+                    cut.append(tuple(held))
+                    held = []
+                held.append(piece)
+            for one in [*cut, tuple(held)]:
+                counts[one] = counts.get(one, 0) + 1
+        expect = chances(" " + word, vocabulary, encoder, rate)
+        assert sum(counts.values()) == n and set(counts) <= set(expect) and abs(sum(expect.values()) - 1) < 1e-9
+        often = {one: share for one, share in expect.items() if share * n >= 5}
+        for one, share in often.items():
+            if share >= 0.01:
+                assert abs(counts.get(one, 0) / n - share) <= 3 * (share * (1 - share) / n) ** 0.5, (word, one)
+        # all of them together: chi-square, three standard deviations above its mean
+        chi = sum((counts.get(one, 0) - share * n) ** 2 / (share * n) for one, share in often.items())
+        assert chi <= len(often) + 3 * (2 * len(often)) ** 0.5, word
+
+
+def chances(unit, vocabulary, encoder, rate):
+    """The chance of every segmentation, by following both outcomes of each draw."""
+    out = {}
+
+    def follow(held, skipped, chance):
+        options = []
+        for i in range(len(held) - 1):
+            (a, start, x), (b, _, y) = held[i], held[i + 1]
+            rank, merged = vocabulary.look_up(np.array([a]), np.array([b]))
+            if rank[0] < pieces._NEVER and (start, x, y) not in skipped:
+                options.append((rank[0], i, int(merged[0])))
+        if not options:
+            one = tuple(vocabulary.pieces[s].decode() for s, _, _ in held)
+            out[one] = out.get(one, 0) + chance
+            return
+        _, i, merged = min(options)
+        (_, start, x), (_, _, y) = held[i], held[i + 1]
+        follow([*held[:i], (merged, start, x + y), *held[i + 2 :]], skipped, chance * (1 - rate))
+        follow(held, skipped | {(start, x, y)}, chance * rate)
+
+    follow([(int(s), i, 1) for i, s in enumerate(encoder.table[[ord(c) for c in unit]])], frozenset(), 1.0)
+    return out
+
+
 def test_pieces_table(spark):
     table = docs(spark, [(1, "the end of the matter " * 20), (2, "the end of the matter " * 20), (3, None), (4, ""), (None, "x"), (1, "the end of the matter " * 20)])
     one, again, other, plain = (
@@ -290,6 +342,34 @@ def test_near_copies_against_brute_force(spark, monkeypatch, width, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in got if i == c)
 
 
+def test_one_id_on_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    a, b = "a b c d e f g h", "s t u v w x y z"
+    rows = [(0, a), (1, a), (1, b), (6, b)]
+    assert {(r.doc_id, r.component_id) for r in near.link(docs(spark, rows)).collect()} == {(0, 0), (1, 0), (6, 0)}
+    assert sorted((r.doc_id, r.text) for r in near.keep_one(docs(spark, rows)).collect()) == [(0, a), (1, b)]
+    # two near copies under one id: one of them stays
+    long = " ".join(f"w{i}" for i in range(100))
+    assert near.keep_one(docs(spark, [(3, long), (3, long + " end"), (4, long)])).count() == 1
+    rng = random.Random(2)
+    bases = [words(rng, 120) for _ in range(12)]
+    rows = [(rng.randrange(60), edited(rng, rng.choice(bases), rng.randrange(4))) for _ in range(150)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near.link(docs(spark, rows)).collect())
+    assert got == sorted(plain_components(rows, 5, 80))
+    # of every group of linked texts exactly one is left
+    kept = {(r.doc_id, r.text) for r in near.keep_one(docs(spark, rows)).collect()}
+    groups = text_groups(rows)
+    texts = {c: min((i, t) for i, t in rows if groups[t] == c) for c in set(groups.values())}
+    assert {t for _, t in kept} <= {t for _, t in rows} and len(kept) == len(texts)
+    assert {i for i, _ in kept} == {i for i, _ in texts.values()}
+
+
+def text_groups(rows):
+    """text -> group of linked texts."""
+    distinct = sorted({t for _, t in rows})
+    return {distinct[i]: c for i, _, c in plain_components(list(enumerate(distinct)), 5, 80)}
+
+
 def test_near_copies_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (None, None)]
     got = sorted((str(r.doc_id), r.kept) for r in near.link(docs(spark, rows)).collect())
