@@ -51,7 +51,7 @@ LONGEST = 512  # strings in a stretch; longer ones (one hash over a periodic tex
 SLICE = 1 << 17
 BLOCK = 1 << 18
 SENT = 50_000  # stretches a task holds before it sends them
-_LOOP = 40  # groups below this size are handled in a plain loop
+_LOOP = 64  # groups below this size are handled in a plain loop
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
@@ -118,6 +118,17 @@ def lyndon_groups(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     insert(len(lower) - 1 if old == owner else old)
                     members.append(_held(to[bounds[i] : bounds[i + 1]]))
                     owner = old
+        elif len(held) == 1:  # most of them: no run, one suffix before it
+            i = held[0]
+            if group_at[i] == g:
+                to, end = left_at[i], right_at[i]
+                next_at[i] = right_at[to] = end
+                left_at[end] = to
+                old = group_at[to]
+                if old:
+                    group_at[to] = len(lower)
+                    members.append([to])
+                    insert(old)
         else:
             moves: dict[int, list[int]] = {}
             for i in held:
@@ -159,28 +170,43 @@ def _held(positions: np.ndarray):
 
 
 def emitted(group: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """The suffix array: suffixes enter their group in the order of the suffixes that follow their prefix."""
+    """The suffix array: groups in ascending order, the members of one in the order of the suffixes that follow their prefix.
+
+    Those suffixes lie in lower groups, so their places are known; groups are taken together
+    until one follows on another of them. A prefix may also be followed by itself: then its
+    group is emitted in waves, each behind the one it follows on.
+    """
     n = len(group)
-    counts = np.bincount(group)
-    free = (np.cumsum(counts) - counts).tolist()
-    inner = np.flatnonzero(group)
-    by = inner[np.argsort(following[inner], kind="stable")]
-    to = following[by]
-    head, sibling = np.full(n, -1), np.full(n, -1)
-    new = np.r_[True, to[1:] != to[:-1]][: len(by)]
-    head[to[new]] = by[new]
-    sibling[by[:-1]] = np.where(new[1:], -1, by[1:])
-    head, sibling, groups = head.tolist(), sibling.tolist(), group.tolist()
-    out = np.flatnonzero(group == 0).tolist()
-    out += [0] * (n - len(out))
-    for k in range(n):
-        i = head[out[k]]
-        while i >= 0:
-            g = groups[i]
-            out[free[g]] = i
-            free[g] += 1
-            i = sibling[i]
-    return np.array(out)
+    _, group = np.unique(group, return_inverse=True)
+    out = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(group[out]) > 0])
+    place = np.empty(n, np.int64)
+    place[out] = np.arange(n)  # right for the separators, all others are set below
+    needs = np.maximum.reduceat(group[following[out]], starts).tolist()
+    bounds = [*starts.tolist(), n]
+
+    def put(begin: int, held: np.ndarray) -> int:
+        end = begin + len(held)
+        out[begin:end], place[held] = held, np.arange(begin, end)
+        return end
+
+    low = 1
+    for g in range(2, len(starts) + 1):
+        if g < len(starts) and needs[g] < low and needs[low] < low:
+            continue
+        held = out[bounds[low] : bounds[g]]
+        if needs[low] < low:
+            put(bounds[low], held[np.argsort(group[held] * n + place[following[held]], kind="stable")])
+        else:  # one group
+            own = group[following[held]] == low
+            wave, rest, at = held[~own], held[own], bounds[low]
+            while len(wave):
+                wave = wave[np.argsort(place[following[wave]], kind="stable")]
+                at = put(at, wave)
+                ready = np.isin(following[rest], wave)
+                wave, rest = rest[ready], rest[~ready]
+        low = g
+    return out
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -379,7 +405,7 @@ def repeated_strings(pieces: list[bytes], ids: np.ndarray, width: int = WIDTH) -
     # neighbours that agree in all bytes, eight at a time
     eights = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
     same = np.arange(1, len(order))
-    for at in [*range(0, width - 7, 8), width - 8] if width >= 8 else []:
+    for at in [width - 8, *range(0, width - 8, 8)] if width >= 8 else []:
         same = same[eights[order[same] + at] == eights[order[same - 1] + at]]
     for at in range(width) if width < 8 else []:
         same = same[data[order[same] + at] == data[order[same - 1] + at]]
@@ -500,7 +526,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     seen = texts.mapInArrow(_counted(standing, bits, width), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     seen = saved(seen.filter(F.col("n") % (1 << 32) > 1), "hashes")
-    known_bits, hot_rows = _bits(seen.count(), 4), seen.filter(F.col("n") >= HOT * (1 << 32))
+    known_bits, hot_rows = _bits(seen.count(), 5), seen.filter(F.col("n") >= HOT * (1 << 32))
     known, n_hot = share(bitmap(seen, "hash", known_bits)), hot_rows.count()
     hot_bits = _bits(n_hot, 6)
     hot = share(bitmap(hot_rows, "hash", hot_bits)) if n_hot else None
