@@ -43,6 +43,33 @@ def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[Co
     ]
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key``, or all if there are no more.
+
+    A bound on the hash goes first, so that tasks give away a little more than ``n`` rows
+    together, and not ``n`` rows each.
+    """
+    total = rows.count()
+    if total <= n:
+        return rows
+    hashed = F.xxhash64(F.lit(n), F.col(key))
+    share = min(1.0, (n + 10 * n**0.5 + 10) / total)
+    near = rows.filter(F.shiftrightunsigned(hashed, 1) < int(share * (2**63 - 1)))
+    return near.orderBy(hashed, key).limit(n)
+
+
+def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """The rows among which the ``size`` largest counts are, and no more of them than a power of two brings along."""
+    power = F.floor(F.log2(F.col(n)))
+    held = sorted(((r.power, r.rows) for r in counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, so_far = 0, 0
+    for at, rows in held:
+        if so_far >= size:
+            break
+        least, so_far = at, so_far + rows
+    return counts.filter(F.col(n) >= 2**least)
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A filter of 2**bits bits over 64-bit hashes, in words of 64 bits.
 

@@ -12,15 +12,17 @@
    span has a single reading, itself. The decoded spans replace the written ones.
 3. Evidence: among a bounded sample of the given labels (SAMPLE rows, smallest hash of
    the doc_id first) the words and word beginnings of restored texts are counted by
-   label in Spark; those that speak for label 1 form the lexicon (LEXICON entries at
-   most, strongest first). A word's evidence is that of its best form.
+   label in Spark; all that speak for label 1 and stand in LEAST_COUNT of its texts form
+   the lexicon, which the sample bounds. A word's evidence is that of its best form.
 4. A logistic regression turns a text's strongest evidence into a probability. It is
    fitted on the same sample, leaving each text's own counts out.
 
 Null texts count as empty; an empty text gets the score of no evidence. Without
 labels, or with one label only, all scores are the share of label 1 (0 if none).
 Repeated rows get equal scores; of several labels of a doc_id the largest counts;
-null labels are left out. Scores depend on nothing but the text.
+null labels are left out. An empty table gives no rows. Scores depend on nothing but the
+text, and the time they take grows with its length: in long words only the stretches that
+have several readings are decoded. Of equally cheap readings the first one found stays.
 """
 
 from __future__ import annotations
@@ -37,10 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pairloom.llm.common import saved
+from pairloom.llm.common import bounded_sample, saved
 
 SAMPLE = 20_000
-LEXICON = 20_000
 BEGINNINGS = (4, 5, 6)
 LEAST_COUNT = 3
 CUT = 0.3
@@ -137,7 +138,13 @@ def decode(options: list[list[tuple[str, float]]], costs: list[list[list[float]]
 
 
 def cheapest(options: list[list[tuple[str, float]]], costs: list[list[list[float]]]) -> tuple[float, str]:
-    """Cost and text of that path (Viterbi over the last two classes)."""
+    """Cost and text of that path."""
+    total, parts = cheapest_parts(options, costs)
+    return total, "".join(parts).strip()
+
+
+def cheapest_parts(options: list[list[tuple[str, float]]], costs: list[list[list[float]]]) -> tuple[float, list[str]]:
+    """Its cost and what it takes at each place (Viterbi over the last two classes)."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*options, [(" ", 0.0)]]:
         further: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -160,7 +167,36 @@ def cheapest(options: list[list[tuple[str, float]]], costs: list[list[list[float
     while path is not None:
         parts.append(path[0])
         path = path[1]
-    return total, "".join(reversed(parts)).strip()
+    return total, parts[:0:-1]
+
+
+def decode_span(span: str, costs: list[list[list[float]]]) -> str:
+    """As ``decode(lattice(span, False), costs)`` up to blanks, at the cost of the places with several readings.
+
+    The model looks back two characters, so two characters with one reading on either
+    side are all that a choice depends on.
+    """
+    windows: list[list[int]] = []
+    for found in _CHOICE.finditer(span):
+        if windows and found.start() - windows[-1][1] <= 4:
+            windows[-1][1] = found.end()
+        else:
+            windows.append([found.start(), found.end()])
+    out, at = [], 0
+    for low, high in windows:
+        out.append(_one_reading(span[at:low]))
+        first = max(0, low - 2)
+        options = lattice(span[first : high + 2], False)
+        # the lattice has a place for each run of equal characters; runs do not reach over the ends of a window
+        before = sum(1 for _ in _PART.finditer(span[first:low]))
+        inside = sum(1 for _ in _PART.finditer(span[low:high]))
+        out += cheapest_parts(options, costs)[1][before : before + inside]
+        at = high
+    return "".join([*out, _one_reading(span[at:])]).strip()
+
+
+def _one_reading(text: str) -> str:
+    return text if text.isalpha() else "".join(c if c.isalpha() else " " for c in text)
 
 
 class _Classes(dict):
@@ -175,12 +211,14 @@ _SIGNS = re.compile(r"[0134578@$|+]")
 _INNER = re.compile(r"[^\W\d_]!+[^\W\d_]")
 _TOKEN = re.compile(r"(?<!\S)\S*[0134578@$|+!]\S*")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_RUNS = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_LETTERS = re.compile(r"[^\W\d_]*")
+_CHOICE = re.compile(r"[0134578@$|+!]+|([^\W\d_])\1\1+")
 _LOOKS = "".join(re.escape(c) for c in LOOK_ALIKES if not c.isalnum())
 #: Letters, digits and look-alikes of which no two letters or digits touch; a look-alike after the last letter needs something before it.
 _ONE_BY_ONE = re.compile(rf"(?<!\S)(?:[^\W_]|[{_LOOKS}])(?:[\W_]++[^\W_])*(?:(?:(?![{_LOOKS}])[\W_])++[{_LOOKS}])*(?![^\s.,;:!?])")
 _ONE = re.compile(r"[^\W_]")
-_DECORATION = re.compile(r"^(?:[^\w@$+|!]|([@$+|!])\1\1)+|(?:[^\w@$+|]|([@$+|])\2\2)+$")
+_LEADING = re.compile(r"(?:[^\w@$+|!]|([@$+|!])\1\1)*")
+_TRAILING = re.compile(r"(?:[^\w@$+|]|([@$+|])\1\1)*")  # read from the end
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -207,7 +245,7 @@ class Restorer:
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[key] = self._joined(span) if spaced else decode(lattice(span, False), self.costs)
+            self.known[key] = self._joined(span) if spaced else decode_span(span, self.costs)
         return self.known[key]
 
     def _joined(self, span: str) -> str:
@@ -219,7 +257,8 @@ class Restorer:
 
     def _token(self, found: re.Match) -> str:
         token = found.group()
-        core = _DECORATION.sub("", token)
+        core = token[_LEADING.match(token).end() :]
+        core = core[: len(core) - _TRAILING.match(core[::-1]).end()]
         if not _LETTER.search(core) or not any(c in LOOK_ALIKES for c in core):
             return token
         return token.replace(core, f" {self._decoded(core, False)} ", 1)
@@ -241,9 +280,23 @@ class Restorer:
         if _SIGNS.search(text) or ("!" in text and _INNER.search(text)):
             text = _TOKEN.sub(self._token, text)
         if _RUN.search(text):
-            text = _RUNS.sub(lambda m: self._decoded(m.group(), False), text)
+            text = self._runs(text)
         return text
 
+    def _runs(self, text: str) -> str:
+        """Words with three equal letters in a row, decoded; a word is found from its first such run, to both sides."""
+        out, at = [], 0
+        for found in _RUN.finditer(text):
+            low = found.start()
+            if low < at:
+                continue
+            while low > at and _LETTER.match(text, low - 1):
+                low -= 1
+            high = _LETTERS.match(text, found.end()).end()
+            out += [text[at:low], self._decoded(text[low:high], False)]
+            at = high
+        return "".join([*out, text[at:]])
+
     def words(self, text: str | None) -> set[str]:
         return set(_WORD.findall(self.restored(text))) if text else set()
 
@@ -271,7 +324,7 @@ def summary(values: list[float], n_words: int) -> list[float]:
 
 @dataclass
 class Model:
-    """All that scoring needs; its size is bounded by CLASSES and LEXICON."""
+    """All that scoring needs; its size is bounded by CLASSES and the labelled sample."""
 
     costs: np.ndarray
     base: float = 0.0
@@ -354,7 +407,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from labels (doc_id, toxic); language statistics come from all of docs."""
     spark = docs.sparkSession
     costs = language_model(docs)
@@ -363,9 +416,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
     )
+    known = bounded_sample(known, "doc_id", sample)
     # bounded by ``sample``, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = rows.join(F.broadcast(known), "doc_id").select("toxic", "text")
@@ -384,11 +436,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         .filter(F.col("t") >= LEAST_COUNT)
         .withColumn("p", p)
         .filter(F.col("p") > base * 2)
-        .orderBy(F.desc("p"), F.desc("t"), "form")
-        .limit(lexicon)
     )
-    # written first: the driver then gets ``lexicon`` rows, not so many from every task
-    model.counts = {r.form: (r.t, r.n) for r in saved(strongest, "lexicon").collect()}
+    # forms that LEAST_COUNT of at most ``sample`` texts hold
+    model.counts = {r.form: (r.t, r.n) for r in strongest.collect()}
     seen = texts.mapInArrow(_left_out(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toArrow()
     x = np.array(seen["x"].to_pylist(), float).reshape(len(seen), -1)
     model.weights = logistic(x, seen["toxic"].to_numpy().astype(float)).tolist()

@@ -472,3 +472,43 @@ def test_without_labels(spark):
     only = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     assert toxicity.scored(table, toxicity.train(table, only)).first()._score == 1
     assert toxicity.scored(table.limit(0), toxicity.train(table.limit(0), none)).count() == 0
+
+
+def test_stretches_with_one_reading_are_not_decoded(model):
+    costs, rng = model[2].costs.tolist(), random.Random(6)
+    for n in range(400):
+        span = "".join(rng.choice(["a", "b", "ß", "ttt", "eeeee", "漢", "1", "$", "0!", ".", "..", "2", "the", "nd"]) for _ in range(rng.randrange(1, 25)))
+        whole = toxicity.decode(toxicity.lattice(span, False), costs)
+        assert toxicity.decode_span(span, costs).split() == whole.split(), (n, span)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 10**6, "ab" * 500_000, "x1" + "." * 10**6 + "y", "漢字仮名" * 80_000, "." * 10**6, "x" + ".$" * 50_000, "漢字仮名" * 40_000 + "ooo" + "漢字仮名" * 40_000, "1" * 10**6, "a . " * 60_000, "$" * 10**6 + "a1"],
+)
+def test_long_words_take_time_by_their_length(model, text):
+    import time
+
+    restorer = toxicity.Restorer(model[2].costs)
+    begin = time.process_time()
+    restorer.restored(text)
+    assert time.process_time() - begin < 3
+
+
+def test_clashing_labels_and_repeated_rows(spark):
+    table = docs(spark, [(1, "bad word here"), (1, "bad word here"), (2, "good words here"), (3, "bad word there"), (4, "more good words"), (5, "bad word again"), *((i, f"fine text number {i}") for i in range(6, 30))])
+    labels = [(1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), *((i, 0) for i in range(6, 30)), (6, None)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {}
+    for r in toxicity.scored(table, toxicity.train(table, labels)).collect():
+        assert got.setdefault(r.doc_id, r._score) == r._score
+    assert min(got[i] for i in (1, 3, 5)) > max(got[i] for i in (2, 4, 6))
+
+
+def test_bounded_sample(spark):
+    from pairloom.llm.common import bounded_sample
+
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    one = {r.doc_id for r in bounded_sample(rows, "doc_id", 300).collect()}
+    assert len(one) == 300 and one == {r.doc_id for r in bounded_sample(rows.repartition(7), "doc_id", 300).collect()}
+    assert bounded_sample(rows, "doc_id", 5000).count() == 5000
