@@ -53,8 +53,8 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     if total <= n:
         return rows
     hashed = F.xxhash64(F.lit(n), F.col(key))
-    share = min(1.0, (n + 10 * n**0.5 + 10) / total)
-    near = rows.filter(F.shiftrightunsigned(hashed, 1) < int(share * (2**63 - 1)))
+    bound = min(2**63 - 1, (n + 10 * int(n**0.5) + 10) * 2**63 // total)
+    near = rows.filter(F.shiftrightunsigned(hashed, 1) <= bound)
     return near.orderBy(hashed, key).limit(n)
 
 
