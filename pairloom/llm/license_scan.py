@@ -98,6 +98,12 @@ class Templates:
         self.pairs = {family: [pairs(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
         self.any_pair = set().union(*(p for held in self.pairs.values() for p in held))
         self.any_word = {w for p in self.any_pair for w in p}
+        held = [p for sets in self.pairs.values() for p in sets]
+        self.sizes = [len(p) for p in held]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for number, one in enumerate(held):
+            for pair in one:
+                self.holders.setdefault(pair, []).append(number)
 
     def similarity(self, family: str, found: set[tuple[str, str]]) -> float:
         """The largest share of a template's pairs that is found."""
@@ -174,7 +180,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     hashed = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line"))
     hashed = hashed.select("line", F.xxhash64("line").alias("hash"))
     # the hashes alone are ranked; of the texts only the chosen ones are moved
-    last = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash").alias("last")).first().last
+    total = hashed.agg(F.approx_count_distinct("hash").alias("n")).first().n or 0
+    share = min(1.0, 1.5 * sample / max(1, total))
+    near = hashed.filter(F.col("hash") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else hashed
+    last = near.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash").alias("last")).first().last
     chosen = [] if last is None else [r.line for r in hashed.filter(F.col("hash") <= last).select("line").distinct().collect()]
     templates = Templates()
     return Classifier(examples(sorted(x for x in chosen if templates.unlike(pairs(words_of(x))))))
@@ -190,6 +199,21 @@ def _judged(words: list[str], model: Classifier, templates: Templates) -> tuple[
     return (family, chance, similarity) if similarity >= CONFIRM else None
 
 
+class _Seen:
+    """Counts each template's pairs while words are put in front, so that a longer join is not counted anew."""
+
+    def __init__(self, templates: Templates) -> None:
+        self.templates, self.pairs, self.counts, self.enough = templates, set(), [0] * len(templates.sizes), False
+
+    def add(self, words: list[str]) -> None:
+        for pair in zip(words, words[1:], strict=False):
+            if pair in self.templates.holders and pair not in self.pairs:
+                self.pairs.add(pair)
+                for t in self.templates.holders[pair]:
+                    self.counts[t] += 1
+                    self.enough |= self.counts[t] / self.templates.sizes[t] >= CONFIRM
+
+
 def _joined(lines: list[tuple[int, list[str]]], model: Classifier, templates: Templates) -> Iterator[tuple[int, str, float, float]]:
     """Findings among the joins of neighbouring lines (number, words) of which none is a finding itself."""
     if len(lines) < 2 or templates.best(templates.any_pair & pairs([w for _, words in lines for w in words])) < CONFIRM:
@@ -197,11 +221,16 @@ def _joined(lines: list[tuple[int, list[str]]], model: Classifier, templates: Te
     floor = end = 0
     while end < len(lines):
         held, start, judged, before = lines[end][1][:REACH], end, None, 0
+        seen = _Seen(templates)
+        seen.add(held)
         while start > floor and judged is None and before < REACH:
             start -= 1
-            held = lines[start][1][-REACH:] + held
+            line = lines[start][1][-REACH:]
+            seen.add([*line, *held[:1]])
+            held = line + held
             before += len(lines[start][1])
-            judged = _judged(held, model, templates)
+            if seen.enough:
+                judged = _judged(held, model, templates)
         end += 1
         if judged is None:
             continue
