@@ -7,9 +7,13 @@ Pages without a rule get their host's verdict. Hosts with allowed pages are trus
 seeds, hosts with blocked pages distrusted ones, each weighted by its pages. Trust is a
 personalised PageRank from the trusted seeds along the links; distrust runs from the
 blocked seeds against the links (who links to bad hosts is suspect). Links are the
-absolute hrefs of the pages; besides, a host and its nearest parent host that has pages
-of its own link to each other (FAMILY times each). A host is blocked if its distrust
-exceeds THRESHOLD times the sum of both; a host that neither reaches is allowed.
+absolute hrefs of the pages; besides, a host and the domain it lies in link to each other
+(FAMILY times each), up to the domain of two labels, whether that has pages or not: hosts
+of one domain meet there. A host is blocked if its distrust exceeds THRESHOLD times the
+sum of both; a host that neither reaches is allowed.
+
+A step passes on DAMPING of all rank, so after n steps at most DAMPING**n of it is still to
+come: STEPS is the first number that leaves less than TOLERANCE, whatever the links.
 
 Host pairs are counted before anything is joined; both ranks are computed in one pass
 per step, over edges that carry their share. A host with very many links is dealt over
@@ -19,18 +23,21 @@ Host and path: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; then up to ``?``, ``#`` or the end. A null url or one without ``://`` has
 both empty, fits no rule and is allowed like any host of which nothing is known. Null
 html has no links. Repeated rows are judged each; their pages and links count each.
-Other columns play no part.
+Equally long rules are taken by their text. Very long texts are searched whole for links.
+An empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.common import saved
 
-DAMPING, STEPS, WRITE_EVERY = 0.85, 12, 4
+DAMPING, TOLERANCE, WRITE_EVERY = 0.85, 1e-3, 4
+STEPS = ceil(log(TOLERANCE) / log(DAMPING))
 THRESHOLD, FAMILY = 0.5, 1
 LINKS_PER_SALT = 100_000
 PAGE_SALTS = 16
@@ -103,14 +110,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     found = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("dst"))
     links = found.select("src", folded(F.col("dst")).alias("dst")).filter("src <> '' and dst <> src")
     links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    # every shorter name is a possible parent; the longest that has pages is the nearest
+    # a name and the one without its first label, as long as that has two
     names = F.split("host", r"\.")
-    parents = hosts.select("host", F.posexplode(F.sequence(F.lit(2), F.size(names))).alias("up", "start")).filter(
-        F.size(names) > 1
+    above = F.transform(
+        F.when(F.size(names) > 2, F.sequence(F.lit(1), F.size(names) - 2)),
+        lambda i: F.struct(F.array_join(F.slice(names, i, F.size(names)), ".").alias("host"), F.array_join(F.slice(names, i + 1, F.size(names)), ".").alias("parent")),
     )
-    parents = parents.select("host", "up", F.array_join(F.call_function("slice", names, F.col("start"), F.size(names)), ".").alias("parent"))
-    known = hosts.select(F.col("host").alias("parent"))
-    family = parents.join(known, "parent").groupBy("host").agg(F.min_by("parent", "up").alias("parent"))
+    family = hosts.select(F.explode(above).alias("f")).select("f.*").distinct()
     count = F.lit(FAMILY).cast("long").alias("n")
     both = family.select(F.col("host").alias("src"), F.col("parent").alias("dst"), count).union(
         family.select(F.col("parent").alias("src"), F.col("host").alias("dst"), count)
@@ -118,8 +124,8 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def host_ranks(hosts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust) after STEPS steps; every kind starts with a sum of 1 over its seeds."""
+def host_ranks(hosts: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(host, trust, distrust) after ``steps`` steps; every kind starts with a sum of 1 over its seeds."""
     good, bad = F.lit("good"), F.lit("bad")
     ways = edges.select(good.alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(
         edges.select(bad.alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
@@ -145,7 +151,7 @@ def host_ranks(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     )
     seeds = saved(seeds.select("s.kind", "host", "s.seed").filter("seed > 0"), "seeds")
     ranks = seeds.withColumnRenamed("seed", "rank")
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         spread = ranks.join(degree.select("kind", "host", "salts"), ["kind", "host"]).withColumn(
             "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
         )
@@ -154,7 +160,7 @@ def host_ranks(hosts: DataFrame, edges: DataFrame) -> DataFrame:
         )
         again = seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
         ranks = moved.union(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % WRITE_EVERY == 0 or step == STEPS:
+        if step % WRITE_EVERY == 0 or step == steps:
             ranks = saved(ranks, "ranks")
     kind = F.col("kind")
     return ranks.groupBy("host").agg(
@@ -163,15 +169,15 @@ def host_ranks(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of every page."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, steps: int = STEPS) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of every page; without steps a host knows its own seeds alone."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = saved(
         pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(rules, host, path).alias("rule")), "judged"
     )
     hosts = saved(host_facts(judged, rules), "hosts")
     # both directions and their degrees use the edges: the pages are read for them once
-    ranks = host_ranks(hosts, saved(host_edges(pages, hosts), "edges"))
+    ranks = host_ranks(hosts, saved(host_edges(pages, hosts), "edges"), steps)
     # copies of each host's row, so that the pages of one host are spread; pages choose by their id and path
     copies = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1))))
     spread = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(PAGE_SALTS)).cast("int"))

@@ -119,7 +119,7 @@ WITH judged AS (
       translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
-), hosts AS (
+), hosts AS MATERIALIZED (
   SELECT host, count(*) FILTER (WHERE rule IN ('org/', 'com/fr/')) AS good,
     count(*) FILTER (WHERE rule IS NOT NULL AND rule NOT IN ('org/', 'com/fr/')) AS bad
   FROM judged WHERE host <> '' GROUP BY host
@@ -127,17 +127,18 @@ WITH judged AS (
   SELECT host AS src, translate(unnest(regexp_extract_all(html,
       'href\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM judged WHERE host <> ''
-), family AS (
-  SELECT h.host, arg_max(p.host, length(p.host)) AS parent FROM hosts h JOIN hosts p ON ends_with(h.host, '.' || p.host)
-  GROUP BY h.host
-), edges AS (
+), names AS (SELECT host, string_split(host, '.') AS n FROM hosts),
+family AS (
+  SELECT DISTINCT array_to_string(n[r.i : ], '.') AS host, array_to_string(n[r.i + 1 : ], '.') AS parent
+  FROM names, range(1, CAST(len(n) - 1 AS BIGINT)) AS r(i)
+), edges AS MATERIALIZED (
   SELECT src, dst, sum(n) AS n FROM (
     SELECT src, dst, 1 AS n FROM links WHERE src <> dst
     UNION ALL SELECT host, parent, 1 FROM family UNION ALL SELECT parent, host, 1 FROM family) GROUP BY src, dst
 ), ways AS (
   SELECT 'good' AS kind, src AS host, dst AS target, n FROM edges UNION ALL SELECT 'bad', dst, src, n FROM edges
-), shares AS (SELECT *, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways),
-seeds AS (
+), shares AS MATERIALIZED (SELECT *, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways),
+seeds AS MATERIALIZED (
   SELECT 'good' AS kind, host, good / (SELECT sum(good) FROM hosts) AS seed FROM hosts WHERE good > 0
   UNION ALL SELECT 'bad', host, bad / (SELECT sum(bad) FROM hosts) FROM hosts WHERE bad > 0
 ), rank0 AS (SELECT kind, host, seed AS r FROM seeds)"""
@@ -147,7 +148,7 @@ def trust(steps: int, damping: float, threshold: float) -> str:
     """The rank iteration, written out step by step."""
     parts = [_TRUST_START]
     for i in range(steps):
-        parts.append(f"""rank{i + 1} AS (
+        parts.append(f"""rank{i + 1} AS MATERIALIZED (
   SELECT kind, host, sum(r) AS r FROM (
     SELECT s.kind, s.target AS host, r.r * s.share * {damping} AS r
     FROM rank{i} r JOIN shares s ON r.kind = s.kind AND r.host = s.host
