@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.json_text import rating_part, rating_value
 from pairloom.functions.vocabulary import NO_SCHEMA, RATING_FORMAT
 from pairloom.operators.joins import lookup
+from pairloom.operators.ordering import by_range, running_number
 
 FILE = ["target_db_id", "source_db_id"]
 RATED = ("meaningful_nl_question", "correct_target_nl_sql_mapping", "nl_thought", "sql_thought")
@@ -47,12 +48,14 @@ def rating_parts(pairs: DataFrame, keys: list[str] | None = None, size: int | No
 
 
 def place_in_part(pairs: DataFrame, keys: list[str] | None = None, size: int | None = None) -> DataFrame:
-    """Add ``part`` and ``pos``, where each pair stands in the prompt that holds it."""
+    """Add ``part`` and ``pos``, where each pair stands in the prompt that holds it.
+
+    A file is numbered in ranges of positions, so one with very many pairs is many tasks' work.
+    """
     keys = keys or FILE
-    stretch = Window.partitionBy(*keys, "part").orderBy("ord")
-    return pairs.withColumn("part", part_of(F.col("ord"), size)).withColumn(
-        "pos", F.row_number().over(stretch) - 1
-    )
+    parts = pairs.withColumn("part", part_of(F.col("ord"), size))
+    numbered = running_number(parts, [*keys, "part"], by_range(F.col("ord")), [F.col("ord")], "pos")
+    return numbered.withColumn("pos", F.col("pos") - 1)
 
 
 def read_ratings(items: DataFrame, keep: list[str]) -> DataFrame:

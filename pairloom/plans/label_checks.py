@@ -12,6 +12,8 @@ from pairloom.operators.rollups import at_level, execution_summary, semantic_sum
 from pairloom.operators.template_labels import label_templates
 from pairloom.plans.registry import check
 from pairloom.plans.template_checks import _LABELLED
+from pairloom.session import fresh_folder
+from pairloom.sources.buckets import chained, read_bucketed, write_bucketed
 
 col = F.col
 
@@ -241,14 +243,31 @@ def _(t):
     return R.select_pairs(raw).select("ord", "kind")
 
 
-@check(
-    "chain_labels",
-    f"""SELECT p.ord, p.same_template, {_STATUS.replace('target_query', 'e.target_query')} AS result_status
-        FROM ({_LABELLED}) p JOIN executions e ON p.ord = e.ord""",
-    "pairs",
-    "executions",
-)
-def _(t):
+_CHAIN = f"""SELECT p.ord, p.same_template, {_STATUS.replace('target_query', 'e.target_query')} AS result_status,
+    r.is_clear_and_meaningful, r.is_correct_mapping
+  FROM ({_LABELLED}) p JOIN executions e ON p.ord = e.ord JOIN ratings r ON p.ord = r.ord AND r.is_generated = 'True'"""
+
+
+def _label_tables(t):
+    """The template, execution and judge labels of each pair."""
     template = label_templates(t.view("pairs")).select("ord", "same_template")
     execution = X.label_executions(t.view("executions")).select("ord", "result_status")
-    return template.join(execution, "ord")
+    semantic = R.label_rated(t.view("ratings")).select("ord", "is_clear_and_meaningful", "is_correct_mapping")
+    return [template, execution, semantic]
+
+
+@check("chain_labels", _CHAIN, "pairs", "executions", "ratings")
+def _(t):
+    """The labels as they are made: each is moved once, to its pair."""
+    return chained(_label_tables(t), ["ord"])
+
+
+@check("chain_label_tables", _CHAIN, "pairs", "executions", "ratings")
+def _(t):
+    """The labels as written tables in equal buckets: none is moved."""
+    tables = []
+    for number, labels in enumerate(_label_tables(t)):
+        path = fresh_folder(t.spark, f"labels-{number}")
+        buckets = write_bucketed(labels, path, ["ord"])
+        tables.append(read_bucketed(t.spark, path, ["ord"], buckets))
+    return chained(tables, ["ord"])

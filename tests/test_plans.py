@@ -48,3 +48,20 @@ def test_answers_are_read_once(spark, sf_dir, name):
     # what is counted and numbered is a stored table; reading the answers is not part of the plan any more
     plan = plan_of(spark, sf_dir, name)
     assert "ArrowEvalPython" not in plan and "Python" not in plan
+
+
+def test_label_tables_are_joined_where_they_lie(spark, sf_dir):
+    chain = QUERIES["chain_label_tables"](spark, sf_dir)
+    plan = chain._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2, plan
+    assert {"same_template", "result_status", "is_clear_and_meaningful", "is_correct_mapping"} < set(chain.columns)
+
+
+def test_a_file_is_numbered_by_many_tasks(spark):
+    from pairloom.operators.ratings import place_in_part
+
+    pairs = spark.range(300_000).selectExpr("id AS ord", "'a' AS target_db_id", "'b' AS source_db_id")
+    placed = place_in_part(pairs)
+    assert placed.filter("pos <> ord").count() == 0
+    windows = [line for line in placed._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [" in line]
+    assert windows and all("_bucket" in line for line in windows), windows
