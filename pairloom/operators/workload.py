@@ -1,6 +1,7 @@
 """Running the queries of pairs, to see whether they work.
 
-Each distinct query is an ordinary Spark job over its target's tables. The driver
+Each distinct query is an ordinary Spark job over its target's tables; queries that only
+are written differently share one. The driver
 only submits them: it holds about one slice of query texts at a time, and of each
 result at most one row more than is kept. Several applications can share one table
 of outcomes, each with its own shard of the queries.
@@ -12,6 +13,7 @@ import json
 import re
 import threading
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
@@ -131,6 +133,53 @@ def run_statement(session: SparkSession, target: str, sql: str, seconds: float =
     return target, sql, "ok", len(rows), kept, None
 
 
+class EqualQueries:
+    """Runs queries that mean the same once per target, however they are written.
+
+    Texts are analysed, not run; those with one hash of the canonical plan are compared
+    in full. Blanks, case, names of tables and of computed columns make no difference; a
+    plain column under another name does. Who comes second waits for the first one's result. An error carries its own
+    text, so whoever meets one runs by itself. At most ``most`` plans are remembered,
+    the oldest goes first.
+    """
+
+    def __init__(self, most: int = 10_000):
+        self.most, self.lock = most, threading.Lock()
+        self.known: OrderedDict[tuple[str, int], list[tuple[DataFrame, Future]]] = OrderedDict()
+
+    def _first(self, target: str, plan: DataFrame) -> tuple[Future, bool]:
+        with self.lock:
+            alike = self.known.setdefault((target, plan.semanticHash()), [])
+            for other, future in alike:
+                if other.sameSemantics(plan):
+                    return future, False
+            alike.append((plan, Future()))
+            if len(self.known) > self.most:
+                self.known.popitem(last=False)
+            return alike[-1][1], True
+
+    def run(self, session: SparkSession, target: str, sql: str, seconds: float = QUERY_SECONDS) -> tuple:
+        """As ``run_statement``."""
+        try:
+            plan = None if calls_the_host(sql) else first_rows(session, sql)
+        except Exception:  # it cannot be analysed: running it gives the label
+            plan = None
+        if plan is None:
+            return run_statement(session, target, sql, seconds)
+        future, ours = self._first(target, plan)
+        if not ours:
+            outcome = future.result()
+            if outcome is not None and outcome[2] != "error":
+                return target, sql, *outcome[2:]
+            return run_statement(session, target, sql, seconds)
+        outcome = None
+        try:
+            outcome = run_statement(session, target, sql, seconds)
+        finally:
+            future.set_result(outcome)
+        return outcome
+
+
 def statements(pairs: DataFrame) -> DataFrame:
     """Distinct queries per target; a query that many pairs share runs once."""
     return pairs.filter(~is_null_query(F.col("target_query"))).select(*STATEMENT).distinct()
@@ -175,12 +224,13 @@ def run_workload(
     # the driver takes one partition at a time: as many as there are slices
     slices = todo.count() // slice_size + 1
     rows = todo.repartition(slices, *STATEMENT).toLocalIterator(prefetchPartitions=False)
+    equal = EqualQueries()
 
     def run(row) -> tuple:
         session = sessions.get(row.target_db_id)
         if session is None:
             return row.target_db_id, row.target_query, "error", 0, f"Error in {row.target_db_id}: no such target", "NO_TARGET"
-        return run_statement(session, row.target_db_id, row.target_query, seconds)
+        return equal.run(session, row.target_db_id, row.target_query, seconds)
 
     def store(outcomes: list[tuple]) -> None:
         spark.createDataFrame(outcomes, OUTCOMES).coalesce(1).write.mode("append").parquet(outcome_path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.operators.joins import not_in
+from pairloom.operators.range_join import join_below
 from pairloom.plans.registry import check
 
 col = F.col
@@ -141,6 +142,19 @@ def _(t):
     return t.orders.filter(col("o_orderstatus") == "P").join(t.lineitem, early).select("o_orderkey", "l_linenumber")
 
 
+@check(
+    "join_below",
+    "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate < o_orderdate "
+    "WHERE o_orderstatus = 'P'",
+)
+def _(t):
+    """The same, with keys that may hold any share of the rows."""
+    orders = t.orders.filter(col("o_orderstatus") == "P").select("o_orderkey", "o_orderdate")
+    items = t.lineitem.select(col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate")
+    day = lambda c: c.cast("timestamp").cast("double")
+    return join_below(orders, items, "o_orderkey", "o_orderdate", "l_shipdate", number=day).select("o_orderkey", "l_linenumber")
+
+
 @check(
     "k_semi_in",
     "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)",

@@ -101,3 +101,22 @@ def test_preview_keeps_fifty_and_knows_of_more(spark):
     kept = {r.q: r for r in X.preview_rows(X.fetch_cap(rows, ["q"], ["id"]), ["q"], F.col("id")).collect()}
     assert kept[0].fetched_rows == 51 and kept[0].execution_result == list(range(50))
     assert kept[1].fetched_rows == 20 and kept[1].execution_result == list(range(401, 500, 5))
+
+
+def test_join_below_with_a_hot_key(spark):
+    from pairloom.operators.range_join import dealt, join_below
+
+    left = spark.range(400).selectExpr("id AS l", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "CASE WHEN id % 50 = 0 THEN NULL ELSE (id * 37) % 101 END AS u")
+    right = spark.range(3000).selectExpr("id AS r", "CASE WHEN id % 3 > 0 THEN 7 ELSE id % 400 END AS k", "CASE WHEN id % 5 = 0 THEN 50 WHEN id % 97 = 0 THEN NULL ELSE (id * 53) % 103 END AS v")
+    plain = left.join(right, "k").filter("v < u")
+    for hot_rows in (100, 10**6):
+        got = join_below(left, right, "k", "u", "v", hot_rows=hot_rows, bins=16)
+        assert sorted(got.select("l", "r").collect()) == sorted(plain.select("l", "r").collect())
+    # a third of a large table under one key, a fifth of that with one value
+    big = spark.range(300_000).selectExpr("id AS r", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "CASE WHEN id % 5 = 0 THEN 50 ELSE (id * 53) % 10007 END AS v")
+    few = spark.range(60).selectExpr("id AS l", "7L AS k", "id * 170 AS u")
+    met, there = dealt(few, big.filter("k = 7"), "k", F.col("u").cast("double"), F.col("v").cast("double"), 4000, 32)
+    parts = there.groupBy("k", "_bin", "_block").count()
+    assert parts.agg(F.max("count")).first()[0] < 0.05 * 300_000
+    # rows of the other side meet no bin above their own
+    assert met.filter("NOT _border").join(there, ["k", "_bin", "_block"]).filter("v >= u").isEmpty()

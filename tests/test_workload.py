@@ -95,3 +95,27 @@ def test_each_query_once_and_resumable(spark, sessions, tmp_path, monkeypatch):
     counts = {r.result_status: r["count"] for r in labelled.groupBy("result_status").count().collect()}
     assert counts == {"Success": 20, "Error": 1, "Null_Query": 2}
     assert labelled.filter("ord = 91").first().execution_result == "Null_Query"
+
+
+def test_equal_queries_written_differently_run_once(spark, sessions, tmp_path, monkeypatch):
+    texts = [
+        "SELECT count(*) FROM things WHERE id > 5", "select COUNT( * )  as n\nfrom THINGS where id > 5 -- same", "SELECT count(*) FROM things t WHERE t.id > 5;",
+        "SELECT count(*) FROM things WHERE id > 6", "SELECT id FROM things ORDER BY id LIMIT 3", "SELECT x.id FROM things AS x ORDER BY x.id LIMIT 3",
+        "SELECT raise_error('x') FROM things", "SELECT  raise_error('x') FROM things", "SELECT nope FROM things", "select nope FROM things",
+    ]
+    apart = {t: W.run_statement(sessions["one"], "one", t)[2:] for t in texts}
+    ran = []
+    plain = W.run_statement
+    monkeypatch.setattr(W, "run_statement", lambda session, target, sql, seconds: ran.append(sql) or plain(session, target, sql, seconds))
+    pairs = spark.createDataFrame([("one", t) for t in texts], "target_db_id string, target_query string")
+    got = {r.target_query: tuple(r)[2:] for r in W.run_workload(pairs, sessions, str(tmp_path / "equal"), 60).collect()}
+    assert got == apart
+    # three groups of equal queries and all that end in an error
+    assert len(ran) == 3 + 4 and len(set(ran)) == len(ran)
+
+
+def test_plans_are_forgotten_oldest_first(sessions):
+    equal = W.EqualQueries(most=2)
+    for n in (1, 2, 3, 1):
+        assert equal.run(sessions["one"], "one", f"SELECT id + {n} FROM things LIMIT 1")[2] == "ok"
+    assert len(equal.known) == 2
