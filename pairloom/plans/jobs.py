@@ -208,12 +208,26 @@ def mappings_stage(
 
 
 def merge_counters(spark: SparkSession, stats: str, run_ts: str, path: str) -> None:
-    """Counters per source over all runs so far: this run's values win, sources only known before stay."""
-    earlier = [p for p in files.existing_runs(spark, path) if p < run_ts]
+    """Counters per source over all runs up to each one: the newest run that knows a value wins.
+
+    Every run leaves its own small sums, and those are merged, never an earlier merged table. So a run
+    that is repeated, or ends after a later one, gives the same counters as runs one after the other.
+    """
     new = read_run(spark, stats, run_ts).filter("depth = 2").drop("depth")
     new = new.groupBy("source_db_id").agg(*[F.sum(c).alias(c) for c in new.columns if c not in ("source_db_id", "pipeline_no")])
-    merged = sinks.upsert_stats(read_run(spark, path, max(earlier)), new) if earlier else new
-    sinks.replace_run(merged, path, run_ts)
+    sinks.replace_run(new, f"{path}_by_run", run_ts)
+    runs = files.existing_runs(spark, f"{path}_by_run")
+    for run in runs:
+        if run >= run_ts:
+            sinks.replace_run(_newest(spark, f"{path}_by_run", [r for r in runs if r <= run]), path, run)
+
+
+def _newest(spark: SparkSession, path: str, runs: list[str]) -> DataFrame:
+    """Per source the last value of every counter over the named runs, in their order."""
+    sums = [read_run(spark, path, run).withColumn("_run", F.lit(number)) for number, run in enumerate(runs)]
+    every = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), sums)
+    counters = [c for c in every.columns if c not in ("source_db_id", "_run")]
+    return every.groupBy("source_db_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_run"))).alias(c) for c in counters])
 
 
 def _allowed(pairs: DataFrame, settings: Mapping) -> DataFrame:

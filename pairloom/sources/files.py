@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions import json_text as J
 from pairloom.functions.vocabulary import BAD_SCHEMA_FILE, EMPTY_SCHEMA_FILE, GUIDED_FIELDS
+from pairloom.session import stored
 from pairloom.sources import split_json
 
 LARGE = 32 << 20
+FEW_IDS = 100
 
 
 def path_key(path: Column, prefix: str, to_first_dot: bool = False) -> Column:
@@ -172,10 +174,20 @@ def scan_mappings(spark: SparkSession, *folders: str, fields=GUIDED_FIELDS) -> D
     )
 
 
+def _allowed(table: DataFrame, name: str, ids) -> DataFrame:
+    """Rows whose partition is on the list: a few ids by value, a longer list or a table by a join that prunes partitions."""
+    if not isinstance(ids, DataFrame):
+        if len(ids) <= FEW_IDS:
+            return table.filter(F.col(name).isin(list(ids))) if ids else table
+        ids = stored(table.sparkSession.createDataFrame([(i,) for i in ids], "id string"), "allowed")
+    # any comparison lets the planner count on the list being selective
+    listed = ids.select(F.col(ids.columns[0]).cast("string").alias(name)).filter(F.col(name) >= "").distinct()
+    return table.join(listed, name, "left_semi")
+
+
 def scan_table(spark: SparkSession, path: str, targets=(), sources=()) -> DataFrame:
-    """A labelled table, the input of the next stage; id lists prune its partitions."""
+    """A labelled table, the input of the next stage; lists of ids, or tables of them (first column), prune its partitions."""
     table = spark.read.parquet(path)
     for name, ids in (("target_db_id", targets), ("source_db_id", sources)):
-        if ids:
-            table = table.filter(F.col(name).isin(list(ids)))
-    return table
+        table = _allowed(table, name, ids)
+    return table.select(*spark.read.parquet(path).columns)

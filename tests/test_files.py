@@ -185,3 +185,22 @@ def test_transducer_composes():
         depth += inside if within else outside
         within ^= swaps
     assert (depth, within) == (1, False)
+
+
+def test_long_lists_prune_partitions(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "concat('t', id % 20) AS target_db_id", "concat('s', id % 7) AS source_db_id")
+    rows.write.partitionBy("target_db_id", "source_db_id").parquet(f"{tmp_path}/table")
+    wanted = [f"t{i}" for i in range(3)] + [f"none{i}" for i in range(10_000)]
+    table = spark.createDataFrame([("s1",), ("s2",), (None,)], "db string")
+    table.write.parquet(f"{tmp_path}/allowed")
+    for targets, sources in ((wanted, ()), (wanted, spark.read.parquet(f"{tmp_path}/allowed")), (wanted[:3], ["s1", "s2"])):
+        got = files.scan_table(spark, f"{tmp_path}/table", targets, sources)
+        expect = rows.filter(F.col("target_db_id").isin("t0", "t1", "t2"))
+        if sources:
+            expect = expect.filter(F.col("source_db_id").isin("s1", "s2"))
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in expect.collect())
+        plan = got._jdf.queryExecution().toString()
+        assert len(plan) < 50_000 and "none77" not in plan
+        if targets is wanted:
+            assert "dynamicpruning" in plan.lower()
+    assert files.scan_table(spark, f"{tmp_path}/table").count() == 200

@@ -242,3 +242,18 @@ def test_a_file_is_rated_whole_or_not_at_all(spark, tmp_path):
     assert rows(spark.read.parquet(f"{work}/unrated"), "target_db_id", "source_db_id") == [("t", "s")]
     # without the setting a file is one prompt
     assert rows(jobs.rating_prompts_stage(spark, {}, schemas, work, RUN, "J"), "part", "n_sent") == [(0, n)]
+
+
+def test_counters_do_not_depend_on_the_order_of_runs(spark, tmp_path):
+    held = {"1": [("a", 1, 10), ("b", 2, 20)], "2": [("a", 5, None)], "3": [("c", 7, 70)]}
+
+    def merged(name, order):
+        for run in order:
+            stats = [(2, 0, db, n, t) for db, n, t in held[run]]
+            jobs.sinks.replace_run(spark.createDataFrame(stats, "depth int, pipeline_no int, source_db_id string, request long, time long"), f"{tmp_path}/{name}/stats", run)
+            jobs.merge_counters(spark, f"{tmp_path}/{name}/stats", run, f"{tmp_path}/{name}/counters")
+        return [sorted(tuple(r) for r in jobs.read_run(spark, f"{tmp_path}/{name}/counters", run).collect()) for run in "123"]
+
+    expect = [[("a", 1, 10), ("b", 2, 20)], [("a", 5, 10), ("b", 2, 20)], [("a", 5, 10), ("b", 2, 20), ("c", 7, 70)]]
+    assert merged("one", "123") == expect
+    assert merged("other", "31223") == expect
