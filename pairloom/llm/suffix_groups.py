@@ -488,17 +488,23 @@ def _bits(rows: int, spare: int) -> int:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping and touching spans of a row, as one."""
+    apart = 1 << 32  # more than any text is long
     for batch in batches:
-        out = []
-        for spans in batch["spans"].to_pylist():
-            whole: list[dict] = []
-            for s in sorted(spans, key=lambda s: s["start"]):
-                if whole and s["start"] <= whole[-1]["end"]:
-                    whole[-1]["end"] = max(whole[-1]["end"], s["end"])
-                else:
-                    whole.append(dict(s))
-            out.append(whole)
-        yield pa.RecordBatch.from_arrays([batch["_id"], batch["_text_hash"], pa.array(out, _SPANS)], ["_id", "_text_hash", "spans"])
+        if not len(batch):
+            continue
+        flat = batch["spans"].flatten()
+        start, end = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "end"))
+        row = np.repeat(np.arange(len(batch)), batch["spans"].value_lengths().to_numpy())
+        order = np.lexsort((start, row))
+        start, end, row = start[order], end[order], row[order]
+        # how far the spans up to here reach, rows one behind the other
+        reach = np.maximum.accumulate(row * apart + end)
+        first = np.flatnonzero(np.r_[True, row[1:] * apart + start[1:] > reach[:-1]])
+        last = np.r_[first[1:], len(row)] - 1
+        both = [pa.array(x.astype(np.int32)) for x in (start[first], reach[last] - row[last] * apart)]
+        offsets = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(batch)))].astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(both, fields=list(_SPANS.value_type)))
+        yield pa.RecordBatch.from_arrays([batch["_id"], batch["_text_hash"], spans], ["_id", "_text_hash", "spans"])
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

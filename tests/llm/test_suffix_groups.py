@@ -146,3 +146,15 @@ def test_kept_bytes_and_spans(spark):
     spans = suffix_groups.repeated_spans(table)
     assert [[(s.start, s.end) for s in r.spans] for r in spans.collect()] == [[(7, 67)]]
     assert [bytes(r.kept) for r in suffix_groups.cut(table, spans).collect()] == [b"y" * 7 + b"z" * 4]
+
+
+def test_spans_become_one_where_they_touch():
+    import pyarrow as pa
+
+    held = [[(5, 9), (0, 3), (3, 4)], [(0, 2), (1, 8), (2, 3), (9, 10)], [(7, 8)]]
+    lists = pa.array([[{"start": a, "end": b} for a, b in x] for x in held], suffix_groups._SPANS)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), lists], ["_id", "_text_hash", "spans"])
+    (out,) = suffix_groups._merged(iter([batch, batch.slice(0, 0)]))
+    assert [[(s["start"], s["end"]) for s in x] for x in out["spans"].to_pylist()] == [[(0, 4), (5, 9)], [(0, 8), (9, 10)], [(7, 8)]]
+    (again,) = suffix_groups._merged(iter([batch.slice(1, 2)]))
+    assert again["spans"].to_pylist() == out["spans"].to_pylist()[1:]
