@@ -239,6 +239,14 @@ def units_of(text: str) -> list[str]:
     return _UNIT.findall(" " + text) if text else []
 
 
+class _Numbers(dict):
+    """Numbers units in the order they come."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes batches of texts; ``rate`` 0 is plain BPE."""
 
@@ -250,7 +258,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         none = np.zeros(0, np.int64)
         # of the plain segmentations: ids, where each unit's begin, merges, where each unit's begin
         self.ids, self.id_ends = none.astype(np.int32), np.zeros(1, np.int64)
@@ -327,14 +335,14 @@ class Encoder:
         numbers, lengths = [], []
         for text in texts:
             found = units_of(text) if text else []
-            numbers.append([known.setdefault(u, len(known)) for u in found])
+            numbers.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
             lengths.append(len(found))
         if not any(lengths):
             return [None if t is None else np.zeros(0, np.int32) for t in texts]
         names = list(known)
         if len(known) > old:
             self._remember(names[old:])
-        unit = np.concatenate([np.asarray(x, np.int64) for x in numbers])
+        unit = np.concatenate(numbers)
         begin = np.concatenate([[0], np.cumsum(lengths)])
         first, size, pool = self.id_ends[unit], self.id_ends[unit + 1] - self.id_ends[unit], self.ids
         if self.limit:
