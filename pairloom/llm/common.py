@@ -70,22 +70,48 @@ def frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
     return counts.filter(F.col(n) >= 2**least)
 
 
+def _bit_words(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """(word, bits): the words of 64 bits of a bitmap over 64-bit hashes that are not zero."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    return hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(_bit_of(at)).alias("bits"))
+
+
+def _bit_of(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A filter of 2**bits bits over 64-bit hashes, in words of 64 bits.
 
     Its size is fixed, however many hashes there are: at most 2**bits / 64 partial
     words reach the driver. A full filter lets everything through and loses nothing.
     """
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")
-    )
+    words = _bit_words(hashes, column, bits)
     out = np.zeros(max(1, 2**bits // 64), np.uint64)
     rows = words.toArrow()
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def rows_without(rows: DataFrame, gone: DataFrame, key: list[Column], bits: int = 24) -> DataFrame:
+    """The rows whose ``key`` no row of ``gone`` holds (its columns stand in the key's order); columns as they are.
+
+    Rows stay where they lie: a bitmap of fixed size over the keys of ``gone`` goes to them, and
+    only those with its bit set, the gone ones and few others, move to be joined. A full bitmap
+    moves them all and loses nothing. A key with a null equals no other.
+    """
+    names = [f"_gone_{n}" for n in range(len(key))]
+    gone = saved(gone.toDF(*names).distinct(), "gone")
+    words = F.broadcast(_bit_words(gone.select(F.xxhash64(*names).alias("hash")), "hash", bits))
+    held = rows.select(F.struct(*rows.columns).alias("_row"), F.struct(*(k.alias(n) for k, n in zip(key, names, strict=True))).alias("_key"))
+    at = F.shiftrightunsigned(F.xxhash64(*(F.col("_key")[n] for n in names)), 64 - bits)
+    marked = held.withColumn("_at", at).join(words, F.shiftright("_at", 6) == F.col("word"), "left")
+    marked = marked.withColumn("_marked", F.coalesce(F.col("bits").bitwiseAND(_bit_of(F.col("_at"))) != 0, F.lit(False)))
+    same = [F.col("_key")[n] == F.col(n) for n in names]
+    left = marked.filter("_marked").select("_row", "_key").join(gone, same, "left_anti")
+    return marked.filter(~F.col("_marked")).select("_row.*").union(left.select("_row.*"))
+
+
 def in_bitmap(filter_words: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     at = hashes >> np.uint64(64 - bits)
     return (filter_words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

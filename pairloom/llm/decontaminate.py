@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import bitmap, gram_hashes, in_bitmap, row_key, saved
+from pairloom.llm.common import bitmap, gram_hashes, in_bitmap, row_key, rows_without, saved
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -218,7 +218,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their columns as they are."""
     scanned, hits = scan(docs, benchmark)
-    bad = scanned.join(hits.select("_row").distinct(), "_row", "left_semi").select("_id", "_text_hash").distinct()
-    return docs.withColumns(dict(zip(("_id", "_text_hash"), row_key(docs), strict=True))).join(
-        bad, ["_id", "_text_hash"], "left_anti"
-    ).select(*docs.columns)
+    bad = scanned.join(hits.select("_row").distinct(), "_row", "left_semi").select("_id", "_text_hash")
+    return rows_without(docs, bad, row_key(docs))

@@ -46,7 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import bitmap, gram_hashes, in_bitmap, mixed, saved
+from pairloom.llm.common import bitmap, gram_hashes, in_bitmap, mixed, rows_without, saved
 
 COORDINATES, MISS = 16, 5e-5
 #: Members and shingles of a block at most, on average.
@@ -438,7 +438,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = _linked(docs, width, percent).filter(F.col("comp").isNotNull() & F.col("doc_id").isNotNull())
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "key", "text_hash")).alias("first"))
     gone = rows.join(first, "comp").filter(F.struct("doc_id", "key", "text_hash") != F.col("first"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    held = docs.select(F.struct(*docs.columns).alias("_row"))
-    same = (F.col("_row.doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("_row.text") == F.col("_gone_hash"))
-    return held.join(gone, same, "left_anti").select("_row.*")
+    return rows_without(docs, gone.select("doc_id", "text_hash"), [F.col("doc_id").cast("long"), F.xxhash64("text")])

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pairloom.llm import chat, decontaminate, lines, near, pieces, toxicity
+from pairloom.llm.common import row_key, rows_without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, rep string, key string"
 
@@ -391,6 +392,54 @@ def test_components_of_long_chains(spark):
     assert got == parent
 
 
+# ---------------------------------------------------------------- rows that stay
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_rows_without(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "", "a", "b", "c"])) for _ in range(400)]
+    held = {(i, t) for i, t in rows if rng.randrange(3) == 0}
+    table = docs(spark, rows)
+    gone = docs(spark, sorted(held, key=str) * 2)
+    got = rows_without(table, gone.select(*row_key(gone)), row_key(table), bits)
+    assert got.columns == table.columns and {(r._id, r.rep, r.key) for r in got.collect()} == {("x", "y", "z")}
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted((r for r in rows if r not in held), key=str)
+    # a null in a key equals nothing
+    key = [F.col("doc_id"), F.col("text")]
+    left = [(r.doc_id, r.text) for r in rows_without(table, gone.select(*key), key, bits).collect()]
+    assert sorted(left, key=str) == sorted((r for r in rows if r not in held or None in r), key=str)
+    assert rows_without(table, gone.limit(0).select(*key), key, bits).count() == len(rows)
+    assert rows_without(table.limit(0), gone.select(*key), key, bits).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["near copies", "benchmark passages"])
+def test_texts_that_stay_are_not_moved(spark, stage, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(1000))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(8)]
+    docs(spark, rows).repartition(4).write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    benchmark = spark.createDataFrame([(i, " ".join(rows[i][1].split()[50:80])) for i in range(8)], "item_id long, text string")
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what goes were many rows
+    try:
+        before = shuffled()
+        kept = near.keep_one(table) if stage == "near copies" else decontaminate.clean(table, benchmark)
+        ids = sorted(r.doc_id for r in kept.select("doc_id", F.md5("text")).collect())
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert ids == (list(range(200)) if stage == "near copies" else list(range(8, 200)))
+    assert moved < sum(len(t) for _, t in rows) / 4
+
+
 # ---------------------------------------------------------------- toxicity
 
 
