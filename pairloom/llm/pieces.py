@@ -10,7 +10,8 @@ seeds give other ones. Every segmentation decodes to the same text.
 A text falls into units (blanks and the characters up to the next blank or line end),
 since no piece of the vocabulary reaches across; this is checked when a vocabulary is
 read. The plain segmentation of a unit and its merges are found once and remembered (up
-to REMEMBERED units, then anew). Dropout that skips none of these merges changes nothing,
+to REMEMBERED units, then anew); texts are taken in chunks of CHUNK_CHARS characters, so a
+task holds little more than its batch of rows and its longest text need. Dropout that skips none of these merges changes nothing,
 so occurrences are drawn against them first; those that lose one are segmented again, each
 with its own draws, all of a batch together in numpy; very long units use a heap.
 Documents are independent: no shuffle.
@@ -31,15 +32,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import mixed
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONG_UNIT = 48
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -262,7 +264,7 @@ class Encoder:
         none = np.zeros(0, np.int64)
         # of the plain segmentations: ids, where each unit's begin, merges, where each unit's begin
         self.ids, self.id_ends = none.astype(np.int32), np.zeros(1, np.int64)
-        self.merges, self.merge_ends = np.zeros((3, 0), np.int64), np.zeros(1, np.int64)
+        self.merges, self.merge_ends = np.zeros((3, 0), np.int32), np.zeros(1, np.int64)
 
     def _segment(self, units: list[str], keys: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of units, each with its own dropout key."""
@@ -309,7 +311,7 @@ class Encoder:
         self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(counts)])
         rows, *rest = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*merges, strict=True)) if merges else np.zeros((4, 0), np.int64)
         order = np.argsort(rows, kind="stable")
-        self.merges = np.concatenate([self.merges, np.array(rest, np.int64)[:, order]], axis=1)
+        self.merges = np.concatenate([self.merges, np.array(rest, np.int32)[:, order]], axis=1)
         self.merge_ends = np.concatenate([self.merge_ends, self.merge_ends[-1] + np.cumsum(np.bincount(rows, minlength=len(units)))])
 
     def _changed(self, unit: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -367,7 +369,7 @@ def decode(ids: list[int] | np.ndarray, pieces: list[bytes]) -> bytes:
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text size, at least one row each."""
-    sizes = np.cumsum(np.nan_to_num(batch["text"].cast(pa.large_binary()).to_pandas().str.len().to_numpy(float)))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
     low = 0
     while low < len(batch):
         done = sizes[low - 1] if low else 0

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -169,6 +170,27 @@ def test_pieces_table(spark):
 # ---------------------------------------------------------------- lines
 
 
+def test_memory_of_the_encoder_is_bounded(vocabulary):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = random.Random(3)
+    words = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    # hardly a unit comes twice
+    texts = [" ".join(words[at : at + 5] for at in range(low, low + 5000, 5)) for low in range(0, len(words), 5000)]
+    rows = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([rows, rows, pa.array(texts)], ["doc_id", "key", "text"])
+    run = pieces._encode(SimpleNamespace(value=vocabulary), 0.1, 17)
+    tracemalloc.start()
+    try:
+        encoded = sum(len(x) for x in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert encoded == len(texts)
+    assert peak < 130e6
+
+
 def test_repeated_chunks_go_but_the_first(spark):
     rng = random.Random(3)
     passage = [words(rng, 8) for _ in range(12)]
