@@ -16,7 +16,9 @@ Texts are not sorted whole. A string of ``width`` bytes belongs to the smallest
 the GRAM-grams inside it, so equal strings belong to equal hashes wherever they stand;
 neighbouring strings of one hash are one stretch of text. Stretches are dealt by their
 hash, so all equal strings meet in one task, which builds suffix arrays over blocks of
-whole hashes (a hash with one stretch alone has nothing to compare); neighbours in a suffix array that agree in ``width`` bytes are one class,
+whole hashes (a hash with one stretch alone has nothing to compare, nor has a stretch
+none of whose strings has its hash in a second place of the block: neither enters a suffix
+array); neighbours in a suffix array that agree in ``width`` bytes are one class,
 and the smallest doc_id of a class tells which of its strings go. A stretch that many
 documents hold is one entry with its smallest doc_id.
 
@@ -183,6 +185,7 @@ def emitted(group: np.ndarray, following: np.ndarray) -> np.ndarray:
     place = np.empty(n, np.int64)
     place[out] = np.arange(n)  # right for the separators, all others are set below
     needs = np.maximum.reduceat(group[following[out]], starts).tolist()
+    ready = np.zeros(n, bool)  # what the present wave has put in place
     bounds = [*starts.tolist(), n]
 
     def put(begin: int, held: np.ndarray) -> int:
@@ -203,8 +206,10 @@ def emitted(group: np.ndarray, following: np.ndarray) -> np.ndarray:
             while len(wave):
                 wave = wave[np.argsort(place[following[wave]], kind="stable")]
                 at = put(at, wave)
-                ready = np.isin(following[rest], wave)
-                wave, rest = rest[ready], rest[~ready]
+                ready[wave] = True
+                goes = ready[following[rest]]
+                ready[wave] = False
+                wave, rest = rest[goes], rest[~goes]
         low = g
     return out
 
@@ -308,10 +313,13 @@ def _counted(standing, bits: int, width: int):
             doc = batch["_id"].to_numpy()[doc]
             # the first bytes and the length tell stretches apart well enough for an estimate
             alike = data[first].astype(np.int64) | data[first + 8].astype(np.int64) << 8 | data[first + size + width - 2].astype(np.int64) << 16 | size << 24
-            order = np.lexsort((alike, key))
+            order = np.argsort(key)
             key, doc, alike = key[order], doc[order], alike[order]
             new = np.r_[True, key[1:] != key[:-1]]
             at = np.flatnonzero(new)
+            # most keys stand once; only the others need their stretches in order
+            inside = np.flatnonzero(~(new & np.r_[new[1:], True]))
+            alike[inside] = alike[inside[np.lexsort((alike[inside], key[inside]))]]
             several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
             kinds = np.add.reduceat((new | np.r_[True, alike[1:] != alike[:-1]]).astype(np.int64), at)
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(1 + several + (kinds << 32))], ["hash", "n"])
@@ -419,19 +427,37 @@ def repeated_strings(pieces: list[bytes], ids: np.ndarray, width: int = WIDTH) -
     return out
 
 
+def _meets(pieces: list[bytes], width: int) -> np.ndarray:
+    """Which pieces hold a string whose hash stands in a second place; the strings of the others are in no other piece."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    piece = np.repeat(np.arange(len(pieces)), lengths)[: len(data) - width + 1]
+    at = np.flatnonzero(np.arange(len(piece)) + width <= np.cumsum(lengths)[piece])
+    hashes = _grams(data, width)[at]
+    order = np.argsort(hashes)
+    twice = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    out = np.zeros(len(pieces), bool)
+    out[piece[at[order[twice]]]] = out[piece[at[order[twice + 1]]]] = True
+    return out
+
+
 def _judged(width: int):
     """Suffix arrays over blocks of whole keys: digest, smallest id and runs of strings that go, for stretches that matter."""
 
     def block(held: dict[bytes, list[int]]) -> pa.RecordBatch:
-        pieces, ids = list(held), np.array([x[0] for x in held.values()], np.int64)
-        gone = repeated_strings(pieces, ids, width)
-        edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-        low, high = edge[::2], edge[1::2]
-        starts = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - [len(p) for p in pieces]
-        of = np.searchsorted(starts, low, side="right") - 1
+        pieces = list(held)
+        meets = np.flatnonzero(_meets(pieces, width))
         runs: dict[int, list] = {}
-        for i, a, b in zip(of.tolist(), (low - starts[of]).tolist(), (high - starts[of]).tolist(), strict=True):
-            runs.setdefault(i, []).append({"a": a, "b": b})
+        if len(meets):
+            pieces, ids = [pieces[i] for i in meets.tolist()], np.fromiter((x[0] for x in held.values()), np.int64, len(held))[meets]
+            gone = repeated_strings(pieces, ids, width)
+            edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+            low, high = edge[::2], edge[1::2]
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            starts = np.cumsum(lengths + 1) - lengths
+            of = np.searchsorted(starts, low, side="right") - 1
+            for i, a, b in zip(meets[of].tolist(), (low - starts[of]).tolist(), (high - starts[of]).tolist(), strict=True):
+                runs.setdefault(i, []).append({"a": a, "b": b})
         return _judged_rows([(xxhash.xxh3_128_digest(p), x[0], runs.get(i, [])) for i, (p, x) in enumerate(held.items()) if i in runs or x[1] > x[0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
