@@ -179,8 +179,8 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, lim
     ``merges`` gets (row, start, lengths) of all merges, as arrays.
     """
     n, width = symbols.shape
-    columns = np.arange(width)
-    start = np.minimum(columns[None, :], sizes[:, None]).astype(np.int32)
+    columns = np.arange(width + 1)
+    start = np.minimum(columns[None, :width], sizes[:, None]).astype(np.int32)
     start = np.concatenate([start, sizes[:, None].astype(np.int32)], axis=1)  # past the end: where the unit ends
 
     def ranks(rows, cols, held, start, keys):
@@ -192,17 +192,21 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, lim
     out, counts = np.full((n, width), -1, np.int32), sizes.copy()
     if width == 1:
         return symbols, counts
-    held = symbols.astype(np.int64)
-    rows, cols = np.nonzero(columns[None, :-1] + 1 < sizes[:, None])
+    held = symbols.copy()
+    rows, cols = np.nonzero(columns[None, 1:width] < sizes[:, None])
     rank, merged = np.full((n, width - 1), _NEVER, np.int32), np.zeros((n, width - 1), np.int32)
     rank[rows, cols], merged[rows, cols] = ranks(rows, cols, held, start, keys)
     index = np.arange(n)
     while len(index):
+        width = held.shape[1]
+        if width == 1:
+            out[index, :1], counts[index] = held, sizes
+            break
         best = rank.argmin(axis=1)
         here = np.arange(len(index))
         going = rank[here, best] < _NEVER
         done = index[~going]
-        out[done] = held[~going]
+        out[done, :width] = held[~going]
         counts[done] = sizes[~going]
         if not going.all():
             index, held, start, rank, merged, keys, sizes, best = (
@@ -215,19 +219,17 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, lim
         if merges is not None:
             a, b, c = (start[here, best + k] for k in range(3))
             merges.append((index, a, b - a, c - b))
-        # close the gap behind the merged symbol
-        take = columns[None, :] + (columns[None, :] > best[:, None])
-        held = np.take_along_axis(np.concatenate([held, np.full((len(index), 1), -1, held.dtype)], axis=1), take, axis=1)
-        start = np.concatenate([np.take_along_axis(start, take, axis=1), start[:, -1:]], axis=1)
-        small = take[:, : width - 1]
-        pad = np.full((len(index), 1), _NEVER, np.int32)
-        rank = np.take_along_axis(np.concatenate([rank, pad], axis=1), small, axis=1)
-        merged = np.take_along_axis(np.concatenate([merged, pad], axis=1), small, axis=1)
+        # close the gap behind the merged symbol: every row loses one
+        n = len(index)
+        keep = columns[None, : width + 1] != best[:, None] + 1
+        held, start = held[keep[:, :width]].reshape(n, width - 1), start[keep].reshape(n, width)
+        keep = columns[None, : width - 1] != np.minimum(best + 1, width - 2)[:, None]
+        rank, merged = rank[keep].reshape(n, width - 2), merged[keep].reshape(n, width - 2)
         sizes = sizes - 1
         for shift in (-1, 0):
             col = best + shift
             row = np.flatnonzero((col >= 0) & (col + 1 < sizes))
-            other = np.flatnonzero((col >= 0) & (col + 1 >= sizes) & (col < width - 1))
+            other = np.flatnonzero((col >= 0) & (col + 1 >= sizes) & (col < width - 2))
             rank[other, col[other]] = _NEVER
             if len(row):
                 rank[row, col[row]], merged[row, col[row]] = ranks(row, col[row], held, start, keys)
@@ -272,7 +274,7 @@ class Encoder:
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         flat = self.table[points]
         begin = np.concatenate([[0], np.cumsum(sizes)])
-        results: list[np.ndarray | list[int] | None] = [None] * len(units)
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]  # symbols, those of a unit together
         low = 0
         for high in (1, 2, 4, 6, 8, 12, 16, 24, 32, LONG_UNIT):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
@@ -287,21 +289,29 @@ class Encoder:
                 held, counts = _segment_block(block, sizes[part], keys[part], limit, self.vocabulary, done)
                 if merges is not None:
                     merges += [(part[rows], *rest) for rows, *rest in done]
-                for i, row, count in zip(part.tolist(), held, counts.tolist(), strict=True):
-                    results[i] = row[:count]
+                owners.append(np.repeat(part, counts))
+                found.append(held[np.arange(high)[None, :] < counts[:, None]])
         for i in np.flatnonzero(sizes > LONG_UNIT).tolist():
             steps: list = []
-            results[i] = np.array(segment_long(flat[begin[i] : begin[i + 1]], keys[i], limit, self.vocabulary, steps), np.int64)
+            found.append(np.array(segment_long(flat[begin[i] : begin[i + 1]], keys[i], limit, self.vocabulary, steps), np.int32))
+            owners.append(np.full(len(found[-1]), i))
             if merges is not None and steps:
                 merges.append((np.full(len(steps), i), *np.array(steps).T))
-        ids, counts = [], np.zeros(len(units), np.int64)
-        unknown = set(np.flatnonzero(np.add.reduceat((flat < 0).astype(np.int64), begin[:-1]) if len(units) else []).tolist())
-        for i, row in enumerate(results):
-            if i in unknown:
-                row = np.array([x for s in row.tolist() for x in self._spelled(s)], np.int32)
-            ids.append(row)
-            counts[i] = len(row)
-        return np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32), counts
+        owner, symbols = np.concatenate(owners), np.concatenate(found)
+        unknown = np.flatnonzero(symbols < 0)
+        if len(unknown):
+            spelled = [self._spelled(x) for x in symbols[unknown].tolist()]
+            sizes = np.ones(len(symbols), np.int64)
+            sizes[unknown] = [len(x) for x in spelled]
+            owner, symbols = np.repeat(owner, sizes), np.repeat(symbols, sizes)
+            symbols[symbols < 0] = np.concatenate(spelled)
+        counts = np.bincount(owner, minlength=len(units))
+        ids = np.empty(len(symbols), np.int32)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+        # from the place among what was found to the place in the order of units
+        move = (np.cumsum(counts) - counts)[owner[first]] - first
+        ids[np.arange(len(symbols)) + np.repeat(move, counts[owner[first]])] = symbols
+        return ids, counts
 
     def _remember(self, units: list[str]) -> None:
         """The plain segmentations of new units, and the merges that lead to them."""
@@ -367,6 +377,15 @@ def decode(ids: list[int] | np.ndarray, pieces: list[bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, ids))[1:]
 
 
+def _decoded(values: np.ndarray, ends: np.ndarray, joined: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """As ``decode``, of many lists of ids at once; ``joined`` and ``sizes`` are of all pieces."""
+    size = sizes[values]
+    past = np.r_[0, np.cumsum(size)]
+    first = (np.cumsum(sizes) - sizes)[values] - past[:-1]
+    flat = joined[np.arange(past[-1]) + np.repeat(first, size)].tobytes()
+    return [flat[a + 1 : b] for a, b in zip(past[ends[:-1]].tolist(), past[ends[1:]].tolist(), strict=True)]
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text size, at least one row each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
@@ -381,14 +400,16 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _encode(vocabulary, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, rate, seed)
+        stand_for = encoder.vocabulary.pieces
+        joined, sizes = np.frombuffer(b"".join(stand_for), np.uint8), np.fromiter(map(len, stand_for), np.int64, len(stand_for))
         for whole in batches:
             for batch in _chunks(whole):
                 texts = batch["text"].to_pylist()
                 keys = batch["key"].to_numpy().view(np.uint64)
                 ids = encoder.encode(texts, keys)
-                exact = [t is None or decode(i, encoder.vocabulary.pieces) == t.encode("utf-8") for t, i in zip(texts, ids, strict=True)]
                 ends = np.cumsum([0, *(0 if i is None else len(i) for i in ids)])
                 values = np.concatenate([np.zeros(0, np.int32), *(i for i in ids if i is not None)])
+                exact = [t is None or back == t.encode("utf-8") for t, back in zip(texts, _decoded(values, ends, joined, sizes), strict=True)]
                 missing = pa.array([i is None for i in ids], pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=missing)
                 yield pa.RecordBatch.from_arrays(

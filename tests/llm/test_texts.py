@@ -170,6 +170,16 @@ def test_pieces_table(spark):
 # ---------------------------------------------------------------- lines
 
 
+def test_lists_decode_together_as_one_by_one(vocabulary):
+    held = vocabulary.pieces
+    lists = [[], *(np.random.default_rng(i).integers(0, len(held), 40 * i).tolist() for i in range(4)), []]
+    ends = np.cumsum([0, *map(len, lists)])
+    joined, sizes = np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held])
+    values = np.array([x for one in lists for x in one], np.int32)
+    assert pieces._decoded(values, ends, joined, sizes) == [pieces.decode(one, held) for one in lists]
+    assert pieces._decoded(values[:0], np.zeros(3, np.int64), joined, sizes) == [b"", b""]
+
+
 def test_memory_of_the_encoder_is_bounded(vocabulary):
     import tracemalloc
     from types import SimpleNamespace
